@@ -6,8 +6,9 @@ documents but the one with the largest id; there every such line stays.
 
 Plan. The lines are exploded with their positions and hashed to 128 bits. Grouping first by (hash,
 document) and then by hash counts distinct documents with partial sums on both levels, so that a line
-of every document costs a task one row per upstream task. Repeated keys join back to the lines; that is
-a plain equi-join, so adaptive execution splits the partition of a frequent key. Only positions are gathered per
+of every document costs a task one row per upstream task. Repeated keys are written to the shared folder and
+join back to the lines; both sides of that equi-join are shuffled for it alone, so adaptive execution can
+split the partition of a frequent key. Only positions are gathered per
 document; the text is shuffled once, to meet them.
 
 Cases. Null or empty text: one empty line. Rows that share an id count as one document but keep their
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 from .common import replace_columns
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -49,10 +51,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines"))
     lines = _lines(slim, min_chars)
-    repeated = (
+    repeated = materialise(
         lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-        .where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+        .where(F.col("n") >= min_docs).select("h1", "h2", "keeper"),
+        "repeated-lines",
     )
     losing = (
         lines.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
