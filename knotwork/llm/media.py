@@ -13,6 +13,7 @@ the same name. Repeated rows give equal values. An empty table gives an empty re
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ ALAW, MULAW, ADPCM = 6, 7, 17
 NAMES = {ALAW: "alaw", MULAW: "mulaw", ADPCM: "ima_adpcm"}
 #: Data bytes of an ADPCM block after its header of four bytes; payloads are padded to a multiple of it.
 BLOCK = 192
+#: Bytes of files decoded at once; their samples take sixteen times as much.
+BATCH = 1 << 20
 #: Step sizes and index changes of IMA ADPCM (fixed values).
 STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -182,16 +185,21 @@ def _others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
+def store(payload: bytes | None, codec: int | None = None) -> bytes:
+    """The padded payload as a file, in the given format or the one chosen by the content."""
+    padded = pad(payload or b"")
+    return wav(choose_codec(padded) if codec is None else codec, padded)
+
+
 def store_bytes(df: DataFrame, payload_col: str, codec: int | None = None) -> DataFrame:
     """``df`` with ``media``: a WAV file of the column's bytes (or of a string's UTF-8), padded with spaces."""
     keep = _others(df, "media")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [pad(x) if x is not None else pad(b"") for x in pdf.pop("__payload")]
-            yield pdf.assign(media=[wav(codec or choose_codec(x), x) for x in rows])
+            yield pdf.assign(media=[store(x, codec) for x in pdf.pop("__payload")])
 
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, megabytes=2)
     source = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{payload_col}`"].cast("binary").alias("__payload"))
     return source.mapInPandas(run, with_fields(df.select(*[df[f"`{c}`"] for c in keep]), media="binary"))
 
@@ -202,23 +210,39 @@ def decode_audio(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo, hi in slices(np.array([len(m) if m is not None else 0 for m in pdf[media_col]]), 2 << 20):
+            for lo, hi in slices(np.array([len(m) if m is not None else 0 for m in pdf[media_col]]), BATCH):
                 part = pdf.iloc[lo:hi]
                 payload, pcm, said = zip(*decode_files(part[media_col].tolist()), strict=True)
                 yield part.assign(payload=list(payload), pcm=list(pcm), feature=list(said))
 
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, megabytes=2)
     kept = df.select(*[df[f"`{c}`"] for c in keep])
     return kept.mapInPandas(run, with_fields(kept, payload="binary", pcm="binary", feature="string"))
 
 
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+
+
 def text_as_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of each text stored as audio and read back: the columns of query ``op1_media``."""
-    text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("raw"))
-    stored = store_bytes(text, "raw").select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), "media")
-    back = decode_audio(stored)
-    return back.select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature", F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
-    )
+    """Digests of each text stored as audio and read back from the stored bytes: the columns of query ``op1_media``.
+
+    Storing and decoding follow each other within a batch, so that only digests leave the Python worker.
+    """
+
+    def digests(doc: object, raw: bytes, media: bytes, back: tuple[bytes, bytes, str]) -> tuple:
+        payload, pcm, said = back
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return doc, len(raw), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(media), sha(media), said, len(pcm), sha(pcm)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in DIGESTS.split(", ")]
+        for pdf in batches:
+            raws = [x if x is not None else b"" for x in pdf["raw"]]
+            for lo, hi in slices(np.array([len(x) for x in raws]), BATCH):
+                files = [store(x) for x in raws[lo:hi]]
+                out = map(digests, pdf["doc_id"][lo:hi], raws[lo:hi], files, decode_files(files))
+                yield pd.DataFrame(list(out), columns=names).astype({"doc_id": "Int64"})
+
+    bound_batches(docs.sparkSession)
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
+    return slim.mapInPandas(run, DIGESTS)
