@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import public_tokenizers
@@ -18,29 +19,31 @@ class ChunkIds(dict):
     """Ids (little-endian uint32 bytes) by chunk of text between ASCII white space.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its
-    chunks in turn; each distinct chunk is encoded once. The cache is emptied when it has grown to
-    ``most`` chunks.
+    chunks in turn; each distinct chunk is encoded once. There are two generations: when this one has grown to
+    ``most`` chunks it becomes the older one, from which chunks that still occur come back.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
     def learn(self, chunks: set[bytes]) -> None:
-        import numpy as np
-
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
-        new = [c for c in chunks if c not in self]
+        missing = chunks - self.keys()
+        known = missing & self.older.keys()
+        self.update((c, self.older[c]) for c in known)
+        new = list(missing - known)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
-                self[c] = np.asarray(e.ids, "<u4").tobytes()
+            made = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
+            self.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, made, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
