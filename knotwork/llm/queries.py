@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, quality
 from .common import table
+from .html_text import extract
 from .line_dedup import dedup_lines
 from .media import text_as_audio
 from .near_dup import near_duplicate_groups
@@ -36,6 +37,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html_text": op5_html_text,
     "op7_packing": op7_packing,
     "op10_near_dup": op10_near_dup,
 }
