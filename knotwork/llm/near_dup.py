@@ -1,4 +1,4 @@
-"""Near-duplicate documents: SuperMinHash, banding, exact verification and grouping of linked documents.
+r"""Near-duplicate documents: SuperMinHash, banding, exact verification and grouping of linked documents.
 
 A document's set is its distinct shingles of ``width`` words (``shingles.py``). Two documents are linked if
 their sets overlap by ``percent`` of their union; groups are the connected components of all links.
@@ -8,10 +8,13 @@ their sets overlap by ``percent`` of their union; groups are the connected compo
 2. Documents with equal sets form a class, named by its smallest id; from here on classes stand for them. A
    group of any number of copies is one row after a grouped minimum.
 3. Classes meet where a band agrees. In each bucket of two or more, every class is paired with the smallest
-   class there, so pairs grow as the bucket, not as its square. Pairs are verified on their whole
+   class there, its head, so pairs grow as the bucket, not as its square. Pairs are verified on their whole
    sets, and verified links joined into components.
-4. Buckets that still hold several components get the pairs across components, each once; these are
-   verified too. Pairs inside one component can't change the result, so no link that matters is lost.
+4. In buckets that still hold several components, pairs across components remain; pairs inside one can't
+   change the result. Most are ruled out exactly by what is known from the head h: sets x and y share at most
+   min(|x & h|, |y & h|) elements of h, and outside h no more than |(x - h) & (y - h)|, which a bit mask of 512
+   bits of either rest bounds from above. What the bound leaves is verified like the others. So members
+   of a large group that are too far from its head meet only those with the same further changes.
 5. Components of all links are the groups.
 
 At similarity 0.8, a pair shares none of 42 bands of 6 slots with a chance of 3 in a million.
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import stars
@@ -37,6 +40,8 @@ from .common import bound_batches, mix64, slices
 from .shingles import GOLDEN, SuperMinHash, band_keys, shingle_sets
 
 BANDS, ROWS = 42, 6
+#: 64-bit words of a member's mask.
+MASKS = 8
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,13 +87,51 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "v long, n long, set array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap by ``percent`` of their union at least."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes na and nb of their sets, the sets, and how many elements they share."""
     left = sets.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
     right = sets.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    both = met.select("a", "b", F.col("na") + F.col("nb"), F.size(F.array_intersect("sa", "sb")).cast("long")).toDF("a", "b", "total", "shared")
-    return both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
+
+
+def needed(na: Column, nb: Column, percent: int) -> Column:
+    """The least number of shared elements of two linked sets of these sizes."""
+    return F.ceil(percent * (na + nb) / (100 + percent) - 1e-6)
+
+
+def linked(met: DataFrame, percent: int) -> DataFrame:
+    return met.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+
+
+def mask_words(rest: str) -> Column:
+    """Eight 64-bit words; each element of the column ``rest`` sets one of their 512 bits."""
+    one = "shiftleft(1L, CAST(shiftrightunsigned(x, 3) & 63 AS INT))"
+    return F.expr(f"transform(sequence(0, {MASKS - 1}), i -> aggregate(filter({rest}, x -> (x & {MASKS - 1}) = i), 0L, (got, x) -> got | {one}))")
+
+
+def _ones(words: list[Column]) -> Column:
+    total = F.lit(0)
+    for w in words:
+        total = total + F.bit_count(w)
+    return total
+
+
+def seen_from_head(starred: DataFrame, sets: DataFrame) -> DataFrame:
+    """The head-member pairs (a, b) with sizes, overlap, the mask m0..m7 of the member's rest, and its elements that share a bit."""
+    met = overlaps(starred, sets).withColumn("rest", F.array_except("sb", "sa")).select("a", "b", "na", "nb", "shared", mask_words("rest").alias("m"))
+    wide = met.select("a", "b", "na", "nb", "shared", *[F.get("m", i).alias(f"m{i}") for i in range(MASKS)])
+    return wide.withColumn("doubled", F.col("nb") - F.col("shared") - _ones([F.col(f"m{i}") for i in range(MASKS)]))
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that the bound from the bucket's head doesn't rule out."""
+    names = ["v", "n", "c", "shared", "doubled", *[f"m{i}" for i in range(MASKS)]]
+    x, y = (members.select("key", *[F.col(n).alias(f"{side}_{n}") for n in names]) for side in "xy")
+    c = F.col
+    need = needed(c("x_n"), c("y_n"), percent) - F.least("x_shared", "y_shared")
+    common = _ones([c(f"x_m{i}").bitwiseAND(c(f"y_m{i}")) for i in range(MASKS)]) + F.least("x_doubled", "y_doubled")
+    met = x.join(y, "key").where((c("x_v") < c("y_v")) & (c("x_c") != c("y_c")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
+    return met.where((need <= F.least(c("x_n") - c("x_shared"), c("y_n") - c("y_shared"))) & (need <= common)).select(c("x_v").alias("a"), c("y_v").alias("b")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -108,20 +151,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     involved = members.df.select(F.col("v").alias("doc_id")).distinct()
     wanted = docs.join(involved, "doc_id", "left_semi")
     sets = Table(whole_sets(wanted, width), "sets")
-    links = Table(verified(starred.df, sets.df, percent), "links")
+    seen = Table(seen_from_head(starred.df, sets.df), "seen")
+    links = linked(seen.df, percent)
 
-    first = stars(links.df)
-    placed = members.df.join(first, "v", "left").select("key", "v", "n", F.coalesce("component", "v").alias("c"))
+    first = materialise(stars(links), "placed")
+    placed = members.df.join(first, "v", "left").select("key", "head", "v", "n", F.coalesce("component", "v").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_members = Table(placed.join(mixed, "key"), "open")
-    left, right = open_members.df.toDF("key", "a", "na", "ca"), open_members.df.toDF("key", "b", "nb", "cb")
-    across = (
-        left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select("a", "b").distinct().join(starred.df, ["a", "b"], "left_anti")
-    )
-    more = Table(verified(across, sets.df, percent), "links")
-    groups = stars(links.df.union(more.df))
+    profile = seen.df.drop("na", "nb").withColumnsRenamed({"a": "head", "b": "v"})
+    whole = {"shared": F.col("n")} | {k: F.lit(0).cast("long") for k in ("doubled", *[f"m{i}" for i in range(MASKS)])}
+    open_members = Table(placed.join(mixed, "key").join(profile, ["head", "v"], "left").withColumns({k: F.coalesce(k, v) for k, v in whole.items()}), "open")
+    pairs = across(open_members.df, percent).join(starred.df, ["a", "b"], "left_anti")
+    more = Table(linked(overlaps(pairs, sets.df), percent), "links")
+    groups = stars(links.union(more.df))
 
     named = classes.df.join(groups.withColumnRenamed("v", "class"), "class", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "class").alias("component"))
     of_row = signed.df.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
