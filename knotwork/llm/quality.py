@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, crc_of_id
 from .langid import grams, sampled, windows
 
-DIMS, ORDERS, TRAIN_ROWS = 1 << 18, (1, 2, 3), 12_000
+DIMS, ORDERS, TRAIN_ROWS = 1 << 18, (1, 2, 3), 8_000
 THRESHOLD = 0.7
 
 
@@ -45,8 +45,10 @@ def indicators(texts: list[str | None], dims: int = DIMS) -> list[np.ndarray]:
 
 
 def log_count_ratio(rows: list[np.ndarray], good: np.ndarray, dims: int, alpha: float = 1.0) -> np.ndarray:
-    counts = [alpha + np.bincount(np.concatenate([r for r, g in zip(rows, good, strict=True) if g == kind] or [np.empty(0, int)]), minlength=dims) for kind in (True, False)]
-    return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+    counts = np.full((2, dims), alpha)
+    for r, g in zip(rows, good, strict=True):
+        counts[int(g), r] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, dims: int, cost: float, rounds: int = 30, tolerance: float = 0.05) -> tuple[np.ndarray, float]:
@@ -115,7 +117,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, dims: int = DIMS, cost: float
     use = np.flatnonzero(~aside)
     own = [rows[i] for i in use]
     ratio = log_count_ratio(own, good[use], dims)
-    values = [ratio[r] / np.sqrt((ratio[r] ** 2).sum() + 1e-12) for r in own]
+    values = [(ratio[r] / np.sqrt((ratio[r] ** 2).sum() + 1e-12)).astype(np.float32) for r in own]
     w, bias = dual_coordinate_descent(own, values, good[use], dims, cost)
     model = Model(w * ratio, ratio, bias, (1.0, 0.0))
     test = np.flatnonzero(aside) if aside.any() else use
@@ -128,15 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].astype("string"), "good": pdf["good"], "row": indicators(pdf["text"].tolist())})
+            yield pd.DataFrame({"id": pdf["id"].astype("string"), "good": pdf["good"], "row": [r.tobytes() for r in indicators(pdf["text"].tolist())]})
 
     bound_batches(docs.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("q")).where("id is not null and q is not null").groupBy("id").agg((F.min("q") > 0).alias("good"))
     few = sampled(marks, "id", train_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    got = few.join(texts, "id").select(F.col("id").cast("string").alias("id"), "good", "text").mapInPandas(run, "id string, good boolean, row array<int>").toPandas()
+    got = few.join(texts, "id").select(F.col("id").cast("string").alias("id"), "good", "text").mapInPandas(run, "id string, good boolean, row binary").toPandas()
     got = got.sort_values("id", kind="stable")
-    return fit([np.asarray(r, np.int32) for r in got["row"]], got["good"].to_numpy(bool))
+    return fit([np.frombuffer(r, np.int32) for r in got["row"]], got["good"].to_numpy(bool))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
