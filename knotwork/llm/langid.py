@@ -17,12 +17,12 @@ gives an empty result.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, crc_of_id, mix64, slices
@@ -134,21 +134,34 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(languages, log_p, np.log(docs / docs.sum()), orders)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of each row."""
-    spark = docs.sparkSession
+def identifier(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A column function from texts to (lang_pred, score), with the model broadcast."""
     shared = spark.sparkContext.broadcast(pickle.dumps(model))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own: Model = pickle.loads(shared.value)
-        for pdf in batches:
-            names, scores = own.predict(pdf.pop("text").tolist())
-            yield pdf.assign(lang_pred=names, score=scores)
+        for texts in batches:
+            names, scores = own.predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     bound_batches(spark)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInPandas(run, f"doc_id {id_type}, lang_pred string, score double")
+    return F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of each row."""
+    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), identifier(docs.sparkSession, model)(F.col(f"`{text_col}`")).alias("found"))
+    return found.select("doc_id", "found.lang_pred", "found.score")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` in a known language, with all their columns.
+
+    Texts without a letter, texts of no clear language (score below ``least``) and texts whose stated language is another go.
+    """
+    found = docs.withColumn("__found", identifier(docs.sparkSession, model)(F.col(f"`{text_col}`")))
+    pred, stated = F.col("__found.lang_pred"), F.col(f"`{lang_col}`").cast("string")
+    return found.where((pred != UNKNOWN) & (F.col("__found.score") >= least) & (stated.isNull() | (stated == pred))).drop("__found")
 
 
 def held_out(doc_id: Column) -> Column:

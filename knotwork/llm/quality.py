@@ -18,11 +18,11 @@ windows whose indicators are united. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, crc_of_id
@@ -141,24 +141,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(r, np.int32) for r in got["row"]], got["good"].to_numpy(bool))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) of each row."""
-    spark = docs.sparkSession
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A column function from texts to scores, with the model broadcast."""
     shared = spark.sparkContext.broadcast((model.weights, model.squares, model.bias, model.curve))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Model.__new__(Model)
         own.weights, own.squares, own.bias, own.curve = shared.value
-        for pdf in batches:
-            yield pdf.assign(score=own.score(pdf.pop("text").tolist()))
+        for texts in batches:
+            yield pd.Series(own.score(texts.tolist()))
 
     bound_batches(spark)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    scored = slim.mapInPandas(run, f"doc_id {id_type}, score double")
+    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, score, predicted) of each row."""
+    scored = docs.select(F.col(f"`{id_col}`").alias("doc_id"), scorer(docs.sparkSession, model)(F.col(f"`{text_col}`")).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all their columns."""
+    scored = docs.withColumn("__score", scorer(docs.sparkSession, model)(F.col(f"`{text_col}`")))
+    return scored.where(F.col("__score") >= threshold).drop("__score")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that training leaves aside: a quarter, by the checksum of the id as text."""
     return crc_of_id(doc_id) % 4 == 2

@@ -15,6 +15,8 @@ from .line_dedup import dedup_lines
 from .media import text_as_audio
 from .near_dup import near_duplicate_groups
 from .packing import pack
+from .piece_viterbi import round_trips
+from .token_shards import read_slots, write_shards
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,14 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_slots(spark, write_shards(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -60,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_html_text": op5_html_text,
+    "op6_pieces": op6_pieces,
     "op7_packing": op7_packing,
+    "op8_token_shards": op8_token_shards,
     "op9_nearest": op9_nearest,
     "op10_near_dup": op10_near_dup,
 }
