@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import Table
+from .graph import Graph
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -56,3 +57,45 @@ def stars(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     return now.df.select(F.col("b").alias("v"), F.col("a").alias("component"))
+
+
+def components(graph: Graph) -> DataFrame:
+    """(v, component): the smallest id of each vertex's component."""
+    found = stars(graph.edges.toDF("a", "b"))
+    return graph.vertices.join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+
+
+def max_label_components(graph: Graph) -> DataFrame:
+    """(v, component) with the largest id of each component as its label."""
+    own = components(graph)
+    largest = own.groupBy("component").agg(F.max("v").alias("label"))
+    return own.join(largest, "component").select("v", F.col("label").alias("component"))
+
+
+def component_stats(labels: DataFrame) -> DataFrame:
+    """One row: number of components, size of the largest, and how many have more than one vertex."""
+    sizes = labels.groupBy("component").count()
+    return sizes.agg(F.count(F.lit(1)).alias("components"), F.max("count").alias("largest"), F.count(F.when(F.col("count") > 1, 1)).alias("nontrivial"))
+
+
+def largest_component(labels: DataFrame) -> DataFrame:
+    """(component, size) of the largest component; of equal ones, that with the largest label."""
+    return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), F.desc("component")).limit(1)
+
+
+def keep_largest(graph: Graph) -> Graph:
+    """The subgraph on the largest component."""
+    labels = max_label_components(graph)
+    return graph.induced(labels.join(largest_component(labels), "component", "left_semi"))
+
+
+def component_of(graph: Graph, v: int) -> DataFrame:
+    """(v) of all vertices that can be reached from one vertex."""
+    labels = components(graph)
+    return labels.join(labels.where(F.col("v") == v).select("component"), "component", "left_semi").select("v")
+
+
+def wrong_labels(graph: Graph, labels: DataFrame) -> DataFrame:
+    """Edges whose ends have different labels; none, if the labels are right."""
+    ends = graph.edges.join(labels.toDF("src", "c1"), "src").join(labels.toDF("dst", "c2"), "dst")
+    return ends.where("c1 <> c2").select("src", "dst")
