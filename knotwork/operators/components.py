@@ -35,24 +35,22 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).distinct().toDF("a", "b")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A count and an order-free checksum of the edges, and how many vertices are both ends of a link."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _links(edges: DataFrame) -> Table:
+    """The edges written out, with their count and an order-free checksum."""
+    return Table(edges, "links", n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
 
 
 def stars(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(v, component) of every vertex of ``edges`` (columns a, b) that isn't the smallest of its component."""
     slim = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    now = Table(slim, "links")
-    mark = _mark(now.df)
+    now = _links(slim)
     for _ in range(max_rounds):
-        if mark[0] == 0:
+        if not now.found["n"]:
             break
-        after = Table(small_star(large_star(now.df)), "links")
-        now.drop()
-        now, before, mark = after, mark, _mark(after.df)
-        if mark == before:
+        before = now
+        now = _links(small_star(large_star(before.df)))
+        before.drop()
+        if now.found == before.found:
             break
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")

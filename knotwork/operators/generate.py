@@ -21,16 +21,14 @@ def uniform(spark: SparkSession, n: int, edges: int, seed: str = "u") -> DataFra
 def recursive_matrix(spark: SparkSession, scale: int, edges: int, seed: str = "r") -> DataFrame:
     """Edges between 2**scale vertices; each of ``scale`` levels picks a quadrant of the adjacency matrix."""
     a, b, c = QUADRANTS
-    drawn = spark.range(edges)
-    src, dst = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for level in range(scale):
-        u = hash32(seed, level, F.col("id")) / float(1 << 32)
-        shift = (hash32(seed, "n", level, F.col("id")) % 1001 - 500) / 10000.0
-        pa, pb, pc = F.lit(a) * (1 + shift), F.lit(b) * (1 - shift), F.lit(c) * (1 - shift)
-        right = (u >= pa) & (u < pa + pb) | (u >= pa + pb + pc)
-        down = u >= pa + pb
-        src, dst = src * 2 + down.cast("long"), dst * 2 + right.cast("long")
-    return canonical(drawn.select(src.alias("src"), dst.alias("dst")))
+    level = F.explode(F.sequence(F.lit(0), F.lit(scale - 1))).alias("level")
+    drawn = spark.range(edges).select("id", level)
+    drawn = drawn.select("id", "level", (hash32(seed, F.col("level"), F.col("id")) / float(1 << 32)).alias("u"), ((hash32(seed, "n", F.col("level"), F.col("id")) % 1001 - 500) / 10000.0).alias("shift"))
+    pa, pb, pc = F.lit(a) * (1 + F.col("shift")), F.lit(b) * (1 - F.col("shift")), F.lit(c) * (1 - F.col("shift"))
+    u = F.col("u")
+    right = (u >= pa) & (u < pa + pb) | (u >= pa + pb + pc)
+    bits = drawn.select("id", F.expr(f"shiftleft(1L, {scale - 1} - level)").alias("bit"), (u >= pa + pb).cast("long").alias("down"), right.cast("long").alias("right"))
+    return canonical(bits.groupBy("id").agg(F.sum(F.col("bit") * F.col("down")).alias("src"), F.sum(F.col("bit") * F.col("right")).alias("dst")))
 
 
 def high_diameter(spark: SparkSession, n: int, degree: int, reach: int, seed: str = "h") -> DataFrame:

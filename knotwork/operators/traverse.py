@@ -20,13 +20,13 @@ def bfs(graph: Graph, roots: DataFrame, max_level: int | None = None) -> DataFra
     """(v, parent, level, root) of all vertices reached from ``roots`` (v); parents of roots are null."""
     sym = materialise(graph.sym, "sym")
     first = roots.select("v", F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("level"), F.col("v").alias("root")).distinct()
-    levels = [Table(first, "level")]
-    while not levels[-1].df.isEmpty() and (max_level is None or len(levels) <= max_level):
+    levels = [Table(first, "level", n=F.count(F.lit(1)))]
+    while levels[-1].found["n"] and (max_level is None or len(levels) <= max_level):
         frontier = levels[-1].df
         met = frontier.select(F.col("v").alias("a"), "root").join(sym, "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("parent"), F.min_by("root", "a").alias("root"))
         for old in levels[-2:]:
             met = met.join(old.df.select("v"), "v", "left_anti")
-        levels.append(Table(met.select("v", "parent", F.lit(len(levels)).cast("long").alias("level"), "root"), "level"))
+        levels.append(Table(met.select("v", "parent", F.lit(len(levels)).cast("long").alias("level"), "root"), "level", n=F.count(F.lit(1))))
     out = levels[0].df.sparkSession.read.schema(levels[0].df.schema).parquet(*[x.path for x in levels])
     tree = materialise(out, "tree")
     for x in levels:

@@ -130,11 +130,12 @@ def euler_preorder(tree: DataFrame) -> DataFrame:
     down = met.select(down_of(F.col("v")).alias("step"), F.when(F.col("child").isNotNull(), down_of(F.col("child"))).otherwise(up_of(F.col("v"))).alias("next"), F.lit(1).cast("long").alias("n"))
     up = order.join(is_root, "parent", "left").select(up_of(F.col("v")).alias("step"), F.when(F.col("sibling").isNotNull(), down_of(F.col("sibling"))).when(F.col("top").isNull(), up_of(F.col("parent"))).alias("next"), F.lit(0).cast("long").alias("n"))
     code = lambda c: F.col(f"{c}.v") * 2 + F.col(f"{c}.up")
-    state = Table(down.union(up).select(code("step").alias("s"), code("next").alias("t"), "n"), "tour")
-    while not state.df.where("t is not null").isEmpty():
+    open_ends = F.count("t")
+    state = Table(down.union(up).select(code("step").alias("s"), code("next").alias("t"), "n"), "tour", open=open_ends)
+    while state.found["open"]:
         own = state.df
         ahead = own.select(F.col("s").alias("t"), F.col("t").alias("t2"), F.col("n").alias("n2"))
-        after = Table(own.join(ahead, "t", "left").select("s", F.col("t2").alias("t"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "tour")
+        after = Table(own.join(ahead, "t", "left").select("s", F.col("t2").alias("t"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "tour", open=open_ends)
         state.drop()
         state = after
     left = state.df.where("s % 2 = 0").select((F.col("s") / 2).cast("long").alias("v"), F.col("n").alias("left"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 
@@ -43,12 +43,21 @@ def delete(spark: SparkSession, *paths: str) -> None:
 
 
 class Table:
-    """A materialised DataFrame: ``df`` reads it, ``drop`` deletes its files."""
+    """A materialised DataFrame: ``df`` reads it, ``drop`` deletes its files.
 
-    def __init__(self, df: DataFrame, name: str):
+    ``measures`` are aggregates, by name, that are taken of the rows while they are written; ``found`` has their values.
+    """
+
+    def __init__(self, df: DataFrame, name: str, **measures: Column):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        self.found: dict = {}
+        if measures:
+            seen = Observation()
+            df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(self.path)
+            self.found = seen.get
+        else:
+            df.write.parquet(self.path)
         nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
         self.df = self.spark.read.schema(nullable).parquet(self.path)
 

@@ -29,6 +29,11 @@ def _labels(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     return graph, trees.labels(graph, tree)
 
 
+def _own_parent(tree: DataFrame) -> DataFrame:
+    """A tree whose roots are their own parents, so that no column holds nulls."""
+    return tree.withColumn("parent", F.coalesce("parent", "v"))
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     graph = main(spark, sf_dir)
     return graph, blocks.edge_blocks(graph)
@@ -127,12 +132,12 @@ QUERIES: dict[str, Query] = {
     "largest_component_relabelled": _relabelled,
     "component_of_vertex": lambda s, d: comp.component_of(tables.places(s, d).stored(), 2),
     "wrong_components": lambda s, d: comp.wrong_labels(main(s, d), comp.components(main(s, d))),
-    "bfs_tree": lambda s, d: _forest(s, d)[1],
+    "bfs_tree": lambda s, d: _own_parent(_forest(s, d)[1]),
     "bfs_levels": lambda s, d: traverse.level_lists(_forest(s, d)[1]),
-    "bfs_tree_places": lambda s, d: traverse.spanning_forest(tables.places(s, d).stored()),
+    "bfs_tree_places": lambda s, d: _own_parent(traverse.spanning_forest(tables.places(s, d).stored())),
     "bottom_up_step": _bottom_up,
     "bad_tree_rows": lambda s, d: traverse.bad_tree_rows(*_forest(s, d)),
-    "children_rank": lambda s, d: traverse.child_ranks(_forest(s, d)[1]),
+    "children_rank": lambda s, d: _own_parent(traverse.child_ranks(_forest(s, d)[1]).withColumn("rank", F.coalesce("rank", F.lit(0).cast("long")))),
     "descendants": lambda s, d: trees.descendants(_forest(s, d)[1]),
     "preorder": _preorder,
     "preorder_euler": _euler,
@@ -155,7 +160,7 @@ QUERIES: dict[str, Query] = {
     "largest_block": lambda s, d: blocks.largest_block(_blocks(s, d)[1]),
     "block_of_root_edge": _root_block,
     "nontree_components": lambda s, d: certificate.non_tree_components(*_forest(s, d)),
-    "spanning_forest_nontree": lambda s, d: certificate.non_tree_forest(*_forest(s, d)).select("v", "parent", "level"),
+    "spanning_forest_nontree": lambda s, d: _own_parent(certificate.non_tree_forest(*_forest(s, d)).select("v", "parent", "level")),
     "certificate": lambda s, d: certificate.certificate(main(s, d)),
     "certificate_dense": _dense_certificate,
     "articulation_on_certificate": _certified_points,
