@@ -3,7 +3,8 @@
 Each of ``m`` random projections keeps its vectors' values in one sorted array. A query looks at a window
 around its own projection in each array; a vector in the windows of at least ``threshold`` arrays is
 verified by its exact cosine. Virtual rehashing widens all windows in step with a search radius R:
-only the added ends of a window are counted. A vector within distance R falls into a window with a chance of at least p, whatever R
+only the added ends of a window are counted, and for the first windows whichever of inside and outside is smaller. The first
+radius is a little below the k-th distance among a few vectors, which no later answer can exceed. A vector within distance R falls into a window with a chance of at least p, whatever R
 is, so the threshold ``m p - z sqrt(m p (1 - p))`` finds it with the probability that z stands for (0.95). A
 query ends when k verified vectors lie within R: then all k nearest do.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-M, WIDTH, Z, GROWTH, START = 160, 2.5, 1.65, 1.12, 0.1
+M, WIDTH, Z, GROWTH, START, PROBES = 64, 2.5, 1.65, 1.08, 0.85, 512
 BLOCK_ROWS, CHUNK_QUERIES = 16384, 512
 
 
@@ -42,43 +43,55 @@ class CollisionIndex:
         self.threshold = max(1, int(np.floor(m * p - z * np.sqrt(m * p * (1 - p)))))
         values = self.lines @ unit.T
         order = np.argsort(values, axis=1, kind="stable")
-        self.values = np.take_along_axis(values, order, axis=1)
+        longest = float(np.sqrt((self.lines * self.lines).sum(axis=1)).max())  # no projection of a unit vector is larger
+        self.most = 2 * longest + 1
+        self.apart = np.arange(m) * (4 * longest + 4)  # one sorted line holds all arrays, too far apart to meet
+        self.values = (np.take_along_axis(values, order, axis=1) + self.apart[:, None]).ravel()
         self.order = order.astype(np.int32).ravel()
-        self.base = np.arange(m) * len(unit)
+        self.first = np.arange(m) * len(unit)
 
     def _counted(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """How often each vector lies in the ranges [lo, hi) of the sorted arrays."""
+        """How often each vector lies in the ranges [lo, hi) of the line of sorted arrays."""
         n = hi - lo
-        starts = np.repeat(self.base + lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        starts = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         return np.bincount(self.order[starts + np.arange(n.sum())], minlength=len(self.unit))
 
+    def _window(self, center: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        reach = min(self.half * radius, self.most)
+        return np.searchsorted(self.values, center - reach, "left"), np.searchsorted(self.values, center + reach, "right")
+
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
         """Positions verified for a unit query, those marked in ``skip`` left out, until k lie within the radius."""
         n = len(self.unit)
         allowed = ~skip
         wanted = min(k, int(allowed.sum()))
-        center = self.lines @ query
-        lo = np.array([np.searchsorted(row, c) for row, c in zip(self.values, center, strict=True)])
-        hi, counts, radius = lo.copy(), np.zeros(n, np.int64), START
-        seen, found, near = np.zeros(n, bool), [], 0
-        distances: list[np.ndarray] = []
-        while wanted:
-            reach = self.half * radius
-            new_lo = np.array([np.searchsorted(row, c - reach, "left") for row, c in zip(self.values, center, strict=True)])
-            new_hi = np.array([np.searchsorted(row, c + reach, "right") for row, c in zip(self.values, center, strict=True)])
-            counts += self._counted(new_lo, lo) + self._counted(hi, new_hi)
-            lo, hi = new_lo, new_hi
-            fresh = np.flatnonzero((counts >= self.threshold) & ~seen & allowed)
-            if radius > 2:  # no distance is larger: whatever is left is verified
-                fresh = np.flatnonzero(~seen & allowed)
+        if not wanted:
+            return np.empty(0, np.int64)
+        away = lambda at: np.sqrt(np.maximum(0, 2 - 2 * (self.unit[at] * query).sum(axis=1)))
+        seen = np.zeros(n, bool)
+        fresh = np.flatnonzero(allowed[:PROBES])
+        seen[fresh] = True
+        found, distances = [fresh], [away(fresh)]
+        radius = START * float(np.partition(distances[0], wanted - 1)[wanted - 1]) if len(fresh) >= wanted else 3.0
+        radius = max(radius, 1e-3)
+        center = self.lines @ query + self.apart
+        lo, hi = self._window(center, radius)
+        if 2 * int((hi - lo).sum()) <= len(self.order):
+            counts = self._counted(lo, hi)
+        else:
+            counts = self.m - self._counted(np.concatenate([self.first, hi]), np.concatenate([lo, self.first + n]))
+        while True:
+            # no distance exceeds 2: from there on, whatever is left is verified
+            fresh = np.flatnonzero(~seen & allowed & ((counts >= self.threshold) | (radius > 2)))
             seen[fresh] = True
             found.append(fresh)
-            distances.append(np.sqrt(np.maximum(0, 2 - 2 * (self.unit[fresh] * query).sum(axis=1))))
-            near = sum(int((d <= radius).sum()) for d in distances)
-            if near >= wanted or radius > 2:
-                break
+            distances.append(away(fresh))
+            if radius > 2 or sum(int((d <= radius).sum()) for d in distances) >= wanted:
+                return np.concatenate(found)
             radius *= GROWTH
-        return np.concatenate(found) if found else np.empty(0, np.int64)
+            new_lo, new_hi = self._window(center, radius)
+            counts += self._counted(np.concatenate([new_lo, hi]), np.concatenate([lo, new_hi]))
+            lo, hi = new_lo, new_hi
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
