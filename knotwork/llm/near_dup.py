@@ -10,8 +10,8 @@ their sets overlap by ``percent`` of their union; groups are the connected compo
 3. Classes meet where a band agrees. In each bucket of two or more, every class is paired with the smallest
    class there, its head, so pairs grow as the bucket, not as its square. Pairs are verified on their whole
    sets, and verified links joined into components.
-4. In buckets that still hold several components, pairs across components remain; pairs inside one can't
-   change the result. Most are ruled out exactly by what is known from the head h: sets x and y share at most
+4. Classes of one head that are still in several components remain to be compared, across components only; pairs inside
+   one can't change the result. A pair that shares buckets shares their heads, so comparing by head loses none. Most are ruled out exactly by what is known from the head h: sets x and y share at most
    min(|x & h|, |y & h|) elements of h, and outside h no more than |(x - h) & (y - h)|, which a bit mask of 512
    bits of either rest bounds from above. What the bound leaves is verified like the others. So members
    of a large group that are too far from its head meet only those with the same further changes.
@@ -124,13 +124,13 @@ def seen_from_head(starred: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that the bound from the bucket's head doesn't rule out."""
+    """Pairs (a, b) of one head and different components that the bound from the head doesn't rule out."""
     names = ["v", "n", "c", "shared", "doubled", *[f"m{i}" for i in range(MASKS)]]
-    x, y = (members.select("key", *[F.col(n).alias(f"{side}_{n}") for n in names]) for side in "xy")
+    x, y = (members.select("head", *[F.col(n).alias(f"{side}_{n}") for n in names]) for side in "xy")
     c = F.col
     need = needed(c("x_n"), c("y_n"), percent) - F.least("x_shared", "y_shared")
     common = _ones([c(f"x_m{i}").bitwiseAND(c(f"y_m{i}")) for i in range(MASKS)]) + F.least("x_doubled", "y_doubled")
-    met = x.join(y, "key").where((c("x_v") < c("y_v")) & (c("x_c") != c("y_c")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
+    met = x.join(y, "head").where((c("x_v") < c("y_v")) & (c("x_c") != c("y_c")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
     return met.where((need <= F.least(c("x_n") - c("x_shared"), c("y_n") - c("y_shared"))) & (need <= common)).select(c("x_v").alias("a"), c("y_v").alias("b")).distinct()
 
 
@@ -145,22 +145,22 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     banded = heads.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("head"), F.max("v").alias("last"))
     shared = materialise(buckets.where("head < last").select("key", "head"), "buckets")
-    members = Table(banded.join(shared, "key").select("key", "v", "n", "head").distinct(), "members")
-    starred = Table(members.df.where("v > head").select(F.col("head").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
+    members = Table(banded.join(shared, "key").select("head", "v", "n").distinct(), "members")
+    starred = members.df.where("v > head").select(F.col("head").alias("a"), F.col("v").alias("b"))
 
     involved = members.df.select(F.col("v").alias("doc_id")).distinct()
     wanted = docs.join(involved, "doc_id", "left_semi")
     sets = Table(whole_sets(wanted, width), "sets")
-    seen = Table(seen_from_head(starred.df, sets.df), "seen")
+    seen = Table(seen_from_head(starred, sets.df), "seen")
     links = linked(seen.df, percent)
 
     first = materialise(stars(links), "placed")
-    placed = members.df.join(first, "v", "left").select("key", "head", "v", "n", F.coalesce("component", "v").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    placed = members.df.join(first, "v", "left").select("head", "v", "n", F.coalesce("component", "v").alias("c"))
+    mixed = placed.groupBy("head").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("head")
     profile = seen.df.drop("na", "nb").withColumnsRenamed({"a": "head", "b": "v"})
     whole = {"shared": F.col("n")} | {k: F.lit(0).cast("long") for k in ("doubled", *[f"m{i}" for i in range(MASKS)])}
-    open_members = Table(placed.join(mixed, "key").join(profile, ["head", "v"], "left").withColumns({k: F.coalesce(k, v) for k, v in whole.items()}), "open")
-    pairs = across(open_members.df, percent).join(starred.df, ["a", "b"], "left_anti")
+    open_members = Table(placed.join(mixed, "head").join(profile, ["head", "v"], "left").withColumns({k: F.coalesce(k, v) for k, v in whole.items()}), "open")
+    pairs = across(open_members.df, percent).join(starred, ["a", "b"], "left_anti")
     more = Table(linked(overlaps(pairs, sets.df), percent), "links")
     groups = stars(links.union(more.df))
 
