@@ -145,7 +145,7 @@ def identifier(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     bound_batches(spark)
-    return F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

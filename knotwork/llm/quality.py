@@ -152,7 +152,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
             yield pd.Series(own.score(texts.tolist()))
 
     bound_batches(spark)
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return F.pandas_udf(run, "double").asNondeterministic()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
