@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from pathlib import Path
 
 import pytest
@@ -15,7 +14,7 @@ DATA = Path("/root/testdata/sf0.001")
 def test_names():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries)
-    if importlib.util.find_spec("knotwork.llm.queries"):
+    if __spark_entry__.HAS_LLM:
         assert all(any(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11)) and "pipeline" in queries
     else:
         assert not any(q.startswith("op") for q in queries)
