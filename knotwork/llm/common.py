@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 from ..plans.shipping import ship
 
 #: Bytes of text that one Python step holds at once; a single longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) -> None:
+def bound_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
     """Limit what Spark hands to a Python worker at once, by rows and by bytes; send the workers this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

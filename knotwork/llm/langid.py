@@ -55,7 +55,7 @@ def grams(texts: list[str], buckets: int = BUCKETS, orders: tuple[int, ...] = OR
     return np.concatenate(whose), np.concatenate(which)
 
 
-def windows(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[list[int], list[str]]]:
+def windows(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
     """(index, text) batches of bounded size; a longer text comes in parts."""
     for lo, hi in slices(np.array([len(t) for t in texts]), most):
         if hi - lo == 1 and len(texts[lo]) > most:
