@@ -66,3 +66,19 @@ def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
     for name, kind in kinds.items():
         out.add(name, kind)
     return out
+
+
+#: Most rows of a broadcast set of buckets.
+ID_BUCKETS = 1 << 19
+
+
+def by_bucket(rows: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` split into those that may and those that can't have an id among ``ids`` (one column).
+
+    Ids are hashed to ``ID_BUCKETS`` buckets, and the set of buckets in use is broadcast; so its size is bounded, and wide rows without
+    a partner needn't be shuffled to find that out. With far more ids than buckets nearly all rows may have one.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
+    used = ids.select(bucket(F.col(ids.columns[0]).cast("long")).alias("__bucket")).distinct()
+    own = rows.withColumn("__bucket", bucket(F.col(f"`{id_col}`").cast("long")))
+    return tuple(own.join(F.broadcast(used), "__bucket", how).drop("__bucket") for how in ("left_semi", "left_anti"))

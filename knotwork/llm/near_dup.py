@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import stars
 from ..plans.storage import Table, materialise
-from .common import bound_batches, mix64, slices
+from .common import bound_batches, by_bucket, mix64, slices
 from .shingles import GOLDEN, SuperMinHash, band_keys, shingle_sets
 
 BANDS, ROWS = 42, 6
@@ -149,7 +149,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     starred = members.df.where("v > head").select(F.col("head").alias("a"), F.col("v").alias("b"))
 
     involved = members.df.select(F.col("v").alias("doc_id")).distinct()
-    wanted = docs.join(involved, "doc_id", "left_semi")
+    wanted = by_bucket(docs, "doc_id", involved)[0].join(involved, "doc_id", "left_semi")
     sets = Table(whole_sets(wanted, width), "sets")
     seen = Table(seen_from_head(starred, sets.df), "seen")
     links = linked(seen.df, percent)
@@ -173,5 +173,6 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows of documents that are near duplicates of one with a smaller id."""
     groups = near_duplicate_groups(docs, id_col, text_col, width, percent)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["__gone"], "left_anti")
+    gone = materialise(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    maybe, stay = by_bucket(docs, id_col, gone)
+    return stay.union(maybe.join(gone, maybe[f"`{id_col}`"].cast("long") == gone["__gone"], "left_anti"))
