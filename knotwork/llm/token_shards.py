@@ -129,11 +129,8 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     layout = Layout(out or new_path(spark, "shards"), int(base[-1]), seq_len, shard_rows, id_bytes)
     start = dict(zip([r["part"] for r in counts], base[:-1].tolist(), strict=True))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            number = pdf.pop("part").map(start).to_numpy(np.int64) + pdf.pop("k").to_numpy()
-            slot = feistel(number, layout.sequences, key)
-            yield pdf.assign(slot=slot, shard=(slot // shard_rows).astype(np.int32))
+    def slot_of(part: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(feistel(part.map(start).to_numpy(np.int64) + k.to_numpy(), layout.sequences, key))
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -145,8 +142,8 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     if layout.sequences:
         bound_batches(spark)
-        placed = cut.df.mapInPandas(place, "first_doc long, first_start long, n_docs long, n_ids long, crc long, ids binary, slot long, shard int")
-        dealt = placed.repartitionById(layout.shards, F.col("shard")).sortWithinPartitions("slot")
+        placed = cut.df.withColumn("slot", F.pandas_udf(slot_of, "long").asNondeterministic()("part", "k")).drop("part", "k")
+        dealt = placed.repartitionById(layout.shards, F.expr(f"CAST(slot DIV {shard_rows} AS INT)")).sortWithinPartitions("slot")
         lines = dealt.mapInPandas(records, "record binary").select(F.col("record").cast("string"))
         lines.write.option("compression", "none").option("lineSep", "\n").text(layout.path)
     cut.drop()
