@@ -7,9 +7,9 @@ their sets overlap by ``percent`` of their union; groups are the connected compo
    keys of ``bands`` bands of ``rows`` slots of its signature. The texts themselves are not shuffled.
 2. Documents with equal sets form a class, named by its smallest id; from here on classes stand for them. A
    group of any number of copies is one row after a grouped minimum.
-3. Classes meet where a band agrees. In each bucket of two or more, every class is paired with the smallest
-   class there, its head, so pairs grow as the bucket, not as its square. Pairs are verified on their whole
-   sets, and verified links joined into components.
+3. Classes meet where a band agrees. In each bucket of two or more, every class is paired with one class there, its head, so
+   pairs grow as the bucket, not as its square. The head is the member that shares most buckets, so it tends to be the text
+   that the others vary. Pairs are verified on their whole sets, and verified links joined into components.
 4. Classes of one head that are still in several components remain to be compared, across components only; pairs inside
    one can't change the result. A pair that shares buckets shares their heads, so comparing by head loses none. Most are ruled out exactly by what is known from the head h: sets x and y share at most
    min(|x & h|, |y & h|) elements of h, and outside h no more than |(x - h) & (y - h)|, which a bit mask of 512
@@ -134,6 +134,13 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     return met.where((need <= F.least(c("x_n") - c("x_shared"), c("y_n") - c("y_shared"))) & (need <= common)).select(c("x_v").alias("a"), c("y_v").alias("b")).distinct()
 
 
+def bucket_heads(met: DataFrame) -> DataFrame:
+    """(key, head): of each bucket of ``met`` (key, v, size), the member that shares most buckets with others, smallest id first."""
+    known = met.groupBy("v").agg(F.sum(F.col("size") - 1).alias("fame"))
+    ranked = met.select("key", "v").join(known, "v")
+    return ranked.groupBy("key").agg(F.max(F.struct("fame", (-F.col("v")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("head"))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept (whether that is this id), per row."""
     docs = _slim(docs, id_col, text_col)
@@ -143,10 +150,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     heads = usable.join(classes.df.select(F.col("class").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
     banded = heads.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("head"), F.max("v").alias("last"))
-    shared = materialise(buckets.where("head < last").select("key", "head"), "buckets")
-    members = Table(banded.join(shared, "key").select("head", "v", "n").distinct(), "members")
-    starred = members.df.where("v > head").select(F.col("head").alias("a"), F.col("v").alias("b"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = Table(banded.join(materialise(buckets, "buckets"), "key"), "met")
+    members = Table(met.df.join(bucket_heads(met.df), "key").select("head", "v", "n").distinct(), "members")
+    met.drop()
+    starred = members.df.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b"))
 
     involved = members.df.select(F.col("v").alias("doc_id")).distinct()
     wanted = by_bucket(docs, "doc_id", involved)[0].join(involved, "doc_id", "left_semi")
@@ -160,7 +168,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     profile = seen.df.drop("na", "nb").withColumnsRenamed({"a": "head", "b": "v"})
     whole = {"shared": F.col("n")} | {k: F.lit(0).cast("long") for k in ("doubled", *[f"m{i}" for i in range(MASKS)])}
     open_members = Table(placed.join(mixed, "head").join(profile, ["head", "v"], "left").withColumns({k: F.coalesce(k, v) for k, v in whole.items()}), "open")
-    pairs = across(open_members.df, percent).join(starred, ["a", "b"], "left_anti")
+    pairs = across(open_members.df, percent).join(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = Table(linked(overlaps(pairs, sets.df), percent), "links")
     groups = stars(links.union(more.df))
 
