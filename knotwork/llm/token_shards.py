@@ -84,35 +84,34 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, seq_len: i
         from pyspark import TaskContext
 
         part, k, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
-        ids_of, kind = chunk_ids(path), f"<u{id_bytes}"
-        held: list[np.ndarray] = []
-        first, n_docs, n_held = None, 0, 0
-
-        def close() -> tuple:
-            nonlocal k, first, n_docs, n_held
-            ids = np.concatenate(held).tobytes()
-            row = (part, k, *first, n_docs, n_held, zlib.crc32(ids), pack.compress(ids))
-            held.clear()
-            k, first, n_docs, n_held = k + 1, None, 0, 0
-            return row
+        ids_of, kind, end = chunk_ids(path), f"<u{id_bytes}", np.asarray([end_id], "<u4").tobytes()
+        # what no sequence holds yet: ids, the documents they are of, and where those begin (below 0 if before the first id)
+        held, held_docs, held_starts = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def rows(cuts: np.ndarray, ids: np.ndarray, docs_of: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+            """The sequences between neighbouring ``cuts`` of ``ids``."""
+            nonlocal k
+            first, last = np.searchsorted(starts, cuts[:-1], "right") - 1, np.searchsorted(starts, cuts[1:] - 1, "right") - 1
+            raw = [ids[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            out = [part, k + np.arange(len(raw)), docs_of[first], cuts[:-1] - starts[first], last - first + 1, np.diff(cuts), [zlib.crc32(r) for r in raw], [pack.compress(r) for r in raw]]
+            k += len(raw)
+            return pd.DataFrame(dict(zip(names, out, strict=True)))
 
         for pdf in batches:
-            texts, docs_of = pdf["text"].fillna("").tolist(), pdf["id"].fillna(NO_ID).astype("int64").tolist()
+            texts, docs_in = pdf["text"].fillna("").tolist(), pdf["id"].fillna(NO_ID).astype("int64").to_numpy()
             for lo, hi in slices(np.array([len(t) for t in texts])):
-                out = []
-                for doc, raw in zip(docs_of[lo:hi], ids_of.encode(texts[lo:hi]), strict=True):
-                    ids, at = np.append(np.frombuffer(raw, "<u4"), end_id).astype(kind), 0
-                    while at < len(ids):
-                        if first is None:
-                            first = (doc, at)
-                        took = ids[at : at + seq_len - n_held]
-                        held.append(took)
-                        at, n_docs, n_held = at + len(took), n_docs + 1, n_held + len(took)
-                        if n_held == seq_len:
-                            out.append(close())
-                yield pd.DataFrame(out, columns=names)
-        if n_held:
-            yield pd.DataFrame([close()], columns=names)
+                raw = ids_of.encode(texts[lo:hi])
+                lengths = np.array([len(r) // 4 + 1 for r in raw])
+                starts = np.concatenate([held_starts, len(held) + np.cumsum(lengths) - lengths])
+                docs_of = np.concatenate([held_docs, docs_in[lo:hi]])
+                ids = np.concatenate([held, np.frombuffer(end.join(raw) + end, "<u4").astype(kind)])
+                full = len(ids) // seq_len * seq_len
+                if full:
+                    yield rows(np.arange(0, full + 1, seq_len), ids, docs_of, starts)
+                keep = np.searchsorted(starts, full, "right") - 1 if full < len(ids) else len(starts)
+                held, held_docs, held_starts = ids[full:], docs_of[keep:], starts[keep:] - full
+        if len(held):
+            yield rows(np.array([0, len(held)]), held, held_docs, held_starts)
 
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))

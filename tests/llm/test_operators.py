@@ -305,6 +305,15 @@ def test_token_shards(spark, docs, none):
     again = token_shards.write_shards(docs.coalesce(2), seq_len=64, shard_rows=100)
     assert {tuple(r) for r in token_shards.read_slots(spark, again).collect()} == set(whole.values())
     assert token_shards.read_slots(spark, token_shards.write_shards(none)).isEmpty()
+    one = docs.coalesce(1)
+    order = [(r["doc_id"], r["text"]) for r in one.collect()]
+    stream = [(doc, at, x) for doc, t in order for at, x in enumerate(np.frombuffer(plain.encode([t or ""])[0], "<u4").tolist() + [1])]
+    layout = token_shards.write_shards(one, seq_len=50, shard_rows=64)
+    cuts = [stream[i : i + 50] for i in range(0, len(stream), 50)]
+    slots = token_shards.feistel(np.arange(len(cuts)), len(cuts)).tolist()
+    want = {(s, c[0][0], c[0][1], len(c), zlib.crc32(np.array([x for _, _, x in c], "<u2").tobytes())) for s, c in zip(slots, cuts, strict=True)}
+    back = token_shards.read_slots(spark, layout)
+    assert {tuple(r) for r in back.select("slot", "doc_id", "start", "n_tokens", "ids_crc32").collect()} == want
 
 
 def test_nearest(spark):
