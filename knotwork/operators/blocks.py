@@ -83,7 +83,7 @@ def counts(blocks: DataFrame) -> DataFrame:
     """One row: numbers of articulation points, blocks and bridges."""
     sizes = block_sizes(blocks).agg(F.count(F.lit(1)).alias("blocks"), F.count(F.when(F.col("edges") == 1, 1)).alias("bridges"), F.coalesce(F.max("edges"), F.lit(0)).alias("largest_block"))
     points = articulation_points(blocks).agg(F.count(F.lit(1)).alias("articulation_points"))
-    return points.crossJoin(F.broadcast(sizes))
+    return points.withColumn("row", F.lit(1)).join(sizes.withColumn("row", F.lit(1)), "row").drop("row")
 
 
 def largest_block(blocks: DataFrame) -> DataFrame:
