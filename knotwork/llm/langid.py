@@ -65,9 +65,8 @@ def windows(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[list[int],
             yield list(range(lo, hi)), texts[lo:hi]
 
 
-def sampled(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``df``, chosen by the hash of an id; all of them if there are no more."""
-    n = df.count()
+def sampled(df: DataFrame, id_col: str, rows: int, n: int) -> DataFrame:
+    """About ``rows`` of the n rows of ``df``, chosen by the hash of an id; all of them if there are no more."""
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * rows / n))
@@ -119,9 +118,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     bound_batches(labelled.sparkSession)
     usable = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counted = sampled(usable, "id", train_rows).select("text", "lang").mapInPandas(run, "lang string, bucket int, n long")
+    stated = labelled.select(F.col(f"`{label_col}`").cast("string").alias("lang")).where("lang is not null").groupBy("lang").count()
+    kinds, n = stated.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    counted = sampled(usable, "id", train_rows, n).select("text", "lang").mapInPandas(run, "lang string, bucket int, n long")
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    kinds = usable.select("lang").distinct().count()
     if kinds * buckets * 8 > MODEL_MB << 20:
         raise ValueError(f"{kinds} labels x {buckets} buckets exceed {MODEL_MB} MB; use fewer buckets")
     got = summed.toPandas()

@@ -134,9 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     bound_batches(docs.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("q")).where("id is not null and q is not null").groupBy("id").agg((F.min("q") > 0).alias("good"))
-    few = sampled(marks, "id", train_rows)
+    few = sampled(marks, "id", train_rows, marks.count())
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    got = few.join(texts, "id").select(F.col("id").cast("string").alias("id"), "good", "text").mapInPandas(run, "id string, good boolean, row binary").toPandas()
+    got = texts.join(F.broadcast(few), "id").select(F.col("id").cast("string").alias("id"), "good", "text").mapInPandas(run, "id string, good boolean, row binary").toPandas()
     got = got.sort_values("id", kind="stable")
     return fit([np.frombuffer(r, np.int32) for r in got["row"]], got["good"].to_numpy(bool))
 
