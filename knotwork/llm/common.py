@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,23 @@ def bound_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
+def tidy() -> None:
+    """Give memory that a worker has freed back to the system, so that what one stage needed doesn't add to the next one's."""
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` with ``tidy`` after the last batch."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def slices(sizes: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes sum to ``most`` at most, or that hold one item."""
     start, total = 0, 0

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, slices, tidied
 
 #: Frequent function words of English, French, German and Spanish (fixed values).
 STOP_WORDS = frozenset("""
@@ -231,5 +231,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bound_batches(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
     slim = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    texts = slim.mapInPandas(run, f"page_id {id_type}, url string, text string")
+    texts = slim.mapInPandas(tidied(run), f"page_id {id_type}, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))

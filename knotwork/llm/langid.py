@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_of_id, mix64, slices
+from .common import bound_batches, crc_of_id, mix64, slices, tidied, tidy
 
 UNKNOWN = "und"
 BUCKETS, ORDERS, TRAIN_ROWS, MODEL_MB = 1 << 15, (1, 2, 3, 4), 20_000, 256
@@ -120,7 +120,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     usable = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
     stated = labelled.select(F.col(f"`{label_col}`").cast("string").alias("lang")).where("lang is not null").groupBy("lang").count()
     kinds, n = stated.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    counted = sampled(usable, "id", train_rows, n).select("text", "lang").mapInPandas(run, "lang string, bucket int, n long")
+    counted = sampled(usable, "id", train_rows, n).select("text", "lang").mapInPandas(tidied(run), "lang string, bucket int, n long")
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     if kinds * buckets * 8 > MODEL_MB << 20:
         raise ValueError(f"{kinds} labels x {buckets} buckets exceed {MODEL_MB} MB; use fewer buckets")
@@ -143,6 +143,7 @@ def identifier(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
         for texts in batches:
             names, scores = own.predict(texts.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        tidy()
 
     bound_batches(spark)
     return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()

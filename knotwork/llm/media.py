@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, with_fields
+from .common import bound_batches, slices, tidied, with_fields
 
 RATE, OUT_RATE = 8000, 16000
 #: WAV format tags (fixed values).
@@ -201,7 +201,7 @@ def store_bytes(df: DataFrame, payload_col: str, codec: int | None = None) -> Da
 
     bound_batches(df.sparkSession, megabytes=2)
     source = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{payload_col}`"].cast("binary").alias("__payload"))
-    return source.mapInPandas(run, with_fields(df.select(*[df[f"`{c}`"] for c in keep]), media="binary"))
+    return source.mapInPandas(tidied(run), with_fields(df.select(*[df[f"`{c}`"] for c in keep]), media="binary"))
 
 
 def decode_audio(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -217,7 +217,7 @@ def decode_audio(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     bound_batches(df.sparkSession, megabytes=2)
     kept = df.select(*[df[f"`{c}`"] for c in keep])
-    return kept.mapInPandas(run, with_fields(kept, payload="binary", pcm="binary", feature="string"))
+    return kept.mapInPandas(tidied(run), with_fields(kept, payload="binary", pcm="binary", feature="string"))
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
@@ -245,4 +245,4 @@ def text_as_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
-    return slim.mapInPandas(run, DIGESTS)
+    return slim.mapInPandas(tidied(run), DIGESTS)

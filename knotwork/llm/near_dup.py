@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import stars
 from ..plans.storage import Table, materialise
-from .common import bound_batches, by_bucket, mix64, slices
+from .common import bound_batches, by_bucket, mix64, slices, tidied
 from .shingles import GOLDEN, SuperMinHash, band_keys, shingle_sets
 
 BANDS, ROWS = 42, 6
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].astype("Int64"), "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "keys": [k if len(s) else None for k, s in zip(keys, sets, strict=True)]})
 
     bound_batches(docs.sparkSession)
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return docs.mapInPandas(tidied(run), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -84,7 +84,7 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pd.DataFrame({"v": pdf["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "set": [s.view(np.int64) for s in sets]})
 
     bound_batches(docs.sparkSession)
-    return docs.mapInPandas(run, "v long, n long, set array<long>")
+    return docs.mapInPandas(tidied(run), "v long, n long, set array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix64, slices
+from .common import bound_batches, mix64, slices, tidied
 from .tokens import chunk_ids, word_bpe_path
 
 SEQ_LEN, END_ID, GROUP_ROWS = 2048, 1, 4096
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, n_groups: int
 
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInPandas(run, "grp long, " + PIECES)
+    return slim.mapInPandas(tidied(run), "grp long, " + PIECES)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -37,7 +37,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix64, slices
+from .common import bound_batches, mix64, slices, tidied
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -285,7 +285,7 @@ def _each(df: DataFrame, id_col: str, column: str, made: str, kind: str, step: o
 
     bound_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{column}`").alias("x")).mapInPandas(run, f"doc_id {id_type}, {made} {kind}")
+    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{column}`").alias("x")).mapInPandas(tidied(run), f"doc_id {id_type}, {made} {kind}")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, kind: str = "bpe") -> DataFrame:
@@ -320,4 +320,4 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInPandas(run, f"doc_id {id_type}, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return slim.mapInPandas(tidied(run), f"doc_id {id_type}, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

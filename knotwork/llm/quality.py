@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_of_id
+from .common import bound_batches, crc_of_id, tidied, tidy
 from .langid import grams, sampled, windows
 
 DIMS, ORDERS, TRAIN_ROWS = 1 << 18, (1, 2, 3), 8_000
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("q")).where("id is not null and q is not null").groupBy("id").agg((F.min("q") > 0).alias("good"))
     few = sampled(marks, "id", train_rows, marks.count())
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    got = texts.join(F.broadcast(few), "id").select(F.col("id").cast("string").alias("id"), "good", "text").mapInPandas(run, "id string, good boolean, row binary").toPandas()
+    got = texts.join(F.broadcast(few), "id").select(F.col("id").cast("string").alias("id"), "good", "text").mapInPandas(tidied(run), "id string, good boolean, row binary").toPandas()
     got = got.sort_values("id", kind="stable")
     return fit([np.frombuffer(r, np.int32) for r in got["row"]], got["good"].to_numpy(bool))
 
@@ -150,6 +150,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
         own.weights, own.squares, own.bias, own.curve = shared.value
         for texts in batches:
             yield pd.Series(own.score(texts.tolist()))
+        tidy()
 
     bound_batches(spark)
     return F.pandas_udf(run, "double").asNondeterministic()

@@ -13,7 +13,7 @@ import numpy as np
 from .common import mix64
 
 #: Bytes hashed at once; a longer stretch without white space is one chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
 _U = np.uint64

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import Table, new_path
-from .common import bound_batches, mix64, slices
+from .common import bound_batches, mix64, slices, tidied
 from .tokens import chunk_ids, word_bpe_path
 
 SEQ_LEN, END_ID, SHARD_ROWS, KEY, ROUNDS = 2048, 1, 4096, 20_261, 6
@@ -115,7 +115,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, seq_len: i
 
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInPandas(run, "part long, k long, first_doc long, first_start long, n_docs long, n_ids long, crc long, ids binary")
+    return slim.mapInPandas(tidied(run), "part long, k long, first_doc long, first_start long, n_docs long, n_ids long, crc long, ids binary")
 
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, out: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, key: int = KEY, vocabulary: int = 49_408) -> Layout:
@@ -143,7 +143,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bound_batches(spark)
         placed = cut.df.withColumn("slot", F.pandas_udf(slot_of, "long").asNondeterministic()("part", "k")).drop("part", "k")
         dealt = placed.repartitionById(layout.shards, F.expr(f"CAST(slot DIV {shard_rows} AS INT)")).sortWithinPartitions("slot")
-        lines = dealt.mapInPandas(records, "record binary").select(F.col("record").cast("string"))
+        lines = dealt.mapInPandas(tidied(records), "record binary").select(F.col("record").cast("string"))
         lines.write.option("compression", "none").option("lineSep", "\n").text(layout.path)
     cut.drop()
     return layout

@@ -37,7 +37,7 @@ class ChunkIds(dict):
     becomes the older one, from which chunks that still occur come back.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
