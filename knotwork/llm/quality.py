@@ -1,6 +1,6 @@
 """Quality scores: naive Bayes support vectors over character n-gram indicators.
 
-A text's features are which hashed character 1- to 3-grams it holds. Each indicator is scaled by the log ratio of its
+A text's features are which hashed character 1- to 3-grams it holds, and one for about how many those are. Each indicator is scaled by the log ratio of its
 smoothed frequency among good and bad documents, each text's vector by its length, and a linear model with
 squared hinge loss is fitted by dual coordinate descent (Wang and Manning 2012; Hsieh et al. 2008). A
 logistic curve fitted to the margins of a fifth of the sample, which the model doesn't see, turns
@@ -29,19 +29,23 @@ from .common import bound_batches, crc_of_id, tidied, tidy
 from .langid import grams, sampled, windows
 
 DIMS, ORDERS, TRAIN_ROWS = 1 << 18, (1, 2, 3), 8_000
+#: Features for the number of others.
+COUNTS = 64
 THRESHOLD = 0.7
 
 
 def indicators(texts: list[str | None], dims: int = DIMS) -> list[np.ndarray]:
-    """The sorted distinct features of each text."""
+    """The sorted distinct features of each text; the last one stands for their number, on a scale of half powers of two."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
+    hashed = dims - COUNTS
     for rows, part in windows([t or "" for t in texts]):
-        whose, which = grams(part, dims, ORDERS, lower=False)
-        both = np.unique(whose * np.int64(dims) + which)
-        bounds = np.searchsorted(both, np.arange(len(part) + 1) * np.int64(dims))
+        whose, which = grams(part, hashed, ORDERS, lower=False)
+        both = np.unique(whose * np.int64(hashed) + which)
+        bounds = np.searchsorted(both, np.arange(len(part) + 1) * np.int64(hashed))
         for k, row in enumerate(rows):
-            out[row].append((both[bounds[k] : bounds[k + 1]] % dims).astype(np.int32))
-    return [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) if x else np.empty(0, np.int32) for x in out]
+            out[row].append((both[bounds[k] : bounds[k + 1]] % hashed).astype(np.int32))
+    found = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in out]
+    return [np.append(x, np.int32(hashed + int(2 * np.log2(len(x) + 1)))) for x in found]
 
 
 def log_count_ratio(rows: list[np.ndarray], good: np.ndarray, dims: int, alpha: float = 1.0) -> np.ndarray:
