@@ -46,6 +46,8 @@ _P = _U(0x9E3779B97F4A7C15)
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Cells (words x positions x lengths) scored at once, and words kept.
 CELLS, CACHED = 1 << 21, 400_000
+#: Characters of texts whose words are searched together; more words of a length share the steps.
+TOGETHER = 6 << 20
 
 
 def model_path() -> str:
@@ -280,10 +282,10 @@ def _each(df: DataFrame, id_col: str, column: str, made: str, kind: str, step: o
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             values = pdf["x"].tolist()
-            for lo, hi in slices(np.array([len(v) if v is not None else 0 for v in values])):
+            for lo, hi in slices(np.array([len(v) if v is not None else 0 for v in values]), TOGETHER):
                 yield pdf.iloc[lo:hi][["doc_id"]].assign(**{made: step(values[lo:hi])})
 
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, 3000, 8)
     id_type = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{column}`").alias("x")).mapInPandas(tidied(run), f"doc_id {id_type}, {made} {kind}")
 
@@ -309,7 +311,7 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         in_bytes = np.isin(np.arange(own.processor.get_piece_size()), list(own.byte_ids.values()))
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            for lo, hi in slices(np.array([len(t) for t in texts])):
+            for lo, hi in slices(np.array([len(t) for t in texts]), TOGETHER):
                 coded = own.encode(texts[lo:hi])
                 back = [own.decode(c) for c in coded]
                 yield pdf.iloc[lo:hi][["doc_id"]].assign(
@@ -317,7 +319,7 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     decoded_sha256=[hashlib.sha256(b.encode("utf-8", "replace")).hexdigest() for b in back], round_trip=[b == t for b, t in zip(back, texts[lo:hi], strict=True)],
                 )
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 3000, 8)
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return slim.mapInPandas(tidied(run), f"doc_id {id_type}, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
