@@ -19,14 +19,24 @@ def main(spark: SparkSession, sf_dir: str) -> Graph:
     return tables.part_supplier(spark, sf_dir).stored()
 
 
-def _forest(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
-    graph = main(spark, sf_dir)
+def whole(spark: SparkSession, sf_dir: str) -> Graph:
+    return tables.part_supplier(spark, sf_dir, None).stored()
+
+
+def customers(spark: SparkSession, sf_dir: str) -> Graph:
+    return tables.customer_part(spark, sf_dir).stored()
+
+
+def whole_customers(spark: SparkSession, sf_dir: str) -> Graph:
+    return tables.customer_part(spark, sf_dir, None).stored()
+
+
+def _forest(graph: Graph) -> tuple[Graph, DataFrame]:
     return graph, traverse.spanning_forest(graph)
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
-    graph, tree = _forest(spark, sf_dir)
-    return graph, trees.labels(graph, tree)
+def _labels(graph: Graph) -> tuple[Graph, DataFrame]:
+    return graph, trees.labels(*_forest(graph))
 
 
 def _own_parent(tree: DataFrame) -> DataFrame:
@@ -34,9 +44,8 @@ def _own_parent(tree: DataFrame) -> DataFrame:
     return tree.withColumn("parent", F.coalesce("parent", "v"))
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
-    graph = main(spark, sf_dir)
-    return graph, blocks.edge_blocks(graph)
+def _blocks(graph: Graph) -> DataFrame:
+    return blocks.edge_blocks(graph)
 
 
 def _ring(spark: SparkSession) -> Graph:
@@ -48,127 +57,112 @@ def _mesh(spark: SparkSession) -> tuple[Graph, DataFrame]:
     return Graph(mesh.quad_edges(quads)).stored(), grounded
 
 
-def _euler(s: SparkSession, d: str) -> DataFrame:
-    return trees.euler_preorder(_forest(s, d)[1])
-
-
-def _preorder(s: SparkSession, d: str) -> DataFrame:
-    tree = _forest(s, d)[1]
+def _preorder(graph: Graph) -> DataFrame:
+    tree = _forest(graph)[1]
     return trees.preorder(tree, trees.descendants(tree))
 
 
-def _lca(s: SparkSession, d: str) -> DataFrame:
-    graph, tree = _forest(s, d)
+def _lca(graph: Graph) -> DataFrame:
+    tree = _forest(graph)[1]
     return trees.lca(tree, trees.non_tree(graph, tree))
 
 
 def _dense_certificate(s: SparkSession, d: str) -> DataFrame:
-    graph = tables.part_supplier(s, d, None).stored()
-    kept = certificate.certificate(graph)
+    kept = certificate.certificate(whole(s, d))
     return kept.groupBy("forest").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def _root_block(s: SparkSession, d: str) -> DataFrame:
-    graph, found = _blocks(s, d)
-    return blocks.block_of_first_edge(found, graph.root().first()["v"])
-
-
-def _compared(s: SparkSession, d: str) -> DataFrame:
-    graph, found = _blocks(s, d)
-    return compare_sets(blocks.candidates(graph), blocks.articulation_points(found))
-
-
-def _certified_points(s: SparkSession, d: str) -> DataFrame:
-    kept = certificate.certificate(main(s, d)).select("src", "dst")
+def _certified_points(graph: Graph) -> DataFrame:
+    kept = certificate.certificate(graph).select("src", "dst")
     return blocks.articulation_points(blocks.edge_blocks(Graph(kept)))
 
 
-def _relabelled(s: SparkSession, d: str) -> DataFrame:
-    graph, ids = comp.keep_largest(main(s, d)).relabelled()
-    return graph.edges
-
-
-def _bottom_up(s: SparkSession, d: str) -> DataFrame:
-    graph, tree = _forest(s, d)
-    return traverse.bottom_up_step(graph, tree, 2)
+def _bottom_up(graph: Graph) -> DataFrame:
+    return traverse.bottom_up_step(*_forest(graph), 2)
 
 
-def _partitioned(s: SparkSession, d: str) -> DataFrame:
-    graph = main(s, d)
+def _partitioned(graph: Graph) -> DataFrame:
     dealt = by_part(graph, edge_balanced(graph.degrees(), 8), 8)
     return dealt.groupBy("part").agg(F.count(F.lit(1)).alias("ends"), F.countDistinct("a").alias("vertices"))
 
 
-def _related(s: SparkSession, d: str) -> DataFrame:
-    graph, own = _labels(s, d)
+def _related(graph: Graph) -> DataFrame:
+    own = _labels(graph)[1]
     x, y = own.select(F.col("v").alias("src"), F.col("pre").alias("p1"), F.col("n_desc").alias("n1")), own.select(F.col("v").alias("dst"), F.col("pre").alias("p2"), F.col("n_desc").alias("n2"))
     met = graph.edges.join(x, "src").join(y, "dst")
     return met.groupBy(trees.related(F.col("p1"), F.col("n1"), F.col("p2"), F.col("n2")).alias("related")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-def _vertex_labels(s: SparkSession, d: str) -> DataFrame:
-    return blocks.vertex_labels(main(s, d))
+#: Queries of the part-supplier graph, as callables of the graph.
+OF_PARTS: dict[str, Callable[[Graph], DataFrame]] = {
+    "degrees": lambda g: g.degrees(),
+    "degree_stats": lambda g: g.degree_stats(),
+    "max_degree_root": lambda g: g.root(),
+    "adjacency_rows": lambda g: g.adjacency().select("v", F.size("neighbours").cast("long").alias("degree"), F.get("neighbours", F.lit(0)).alias("first"), F.element_at("neighbours", -1).alias("last")),
+    "edge_balanced_partition": lambda g: edge_balanced(g.degrees(), 8),
+    "edges_by_part": _partitioned,
+    "spread_ids": lambda g: g.vertices.select("v", spread_ids("v", 1 << 20, 16).alias("id")),
+    "components": lambda g: comp.components(g),
+    "largest_component_relabelled": lambda g: comp.keep_largest(g).relabelled()[0].edges,
+    "wrong_components": lambda g: comp.wrong_labels(g, comp.components(g)),
+    "bfs_tree": lambda g: _own_parent(_forest(g)[1]),
+    "bfs_levels": lambda g: traverse.level_lists(_forest(g)[1]),
+    "bottom_up_step": _bottom_up,
+    "bad_tree_rows": lambda g: traverse.bad_tree_rows(*_forest(g)),
+    "children_rank": lambda g: _own_parent(traverse.child_ranks(_forest(g)[1]).withColumn("rank", F.coalesce("rank", F.lit(0).cast("long")))),
+    "descendants": lambda g: trees.descendants(_forest(g)[1]),
+    "preorder": _preorder,
+    "preorder_euler": lambda g: trees.euler_preorder(_forest(g)[1]),
+    "low_high": lambda g: _labels(g)[1].select("v", "low", "high"),
+    "related_ends": _related,
+    "lca_nontree": _lca,
+    "bridges": lambda g: blocks.bridges_by_labels(_labels(g)[1]),
+    "candidate_articulation": lambda g: blocks.candidates(g),
+    "candidates_compared": lambda g: compare_sets(blocks.candidates(g), blocks.articulation_points(_blocks(g))),
+    "articulation_points": lambda g: blocks.articulation_points(_blocks(g)),
+    "articulation_by_labels": lambda g: blocks.points_on_forest(g),
+    "edge_blocks": lambda g: _blocks(g),
+    "edge_blocks_on_certificate": lambda g: blocks.edge_blocks(g, certificate_first=True),
+    "vertex_labels": blocks.vertex_labels,
+    "edge_labels_from_vertices": lambda g: blocks.labels_from_vertices(g, blocks.vertex_labels(g)),
+    "unlabelled_vertices": lambda g: blocks.unlabelled(g, blocks.vertex_labels(g)),
+    "block_sizes": lambda g: blocks.block_sizes(_blocks(g)),
+    "bcc_counts": lambda g: blocks.counts(_blocks(g)),
+    "largest_block": lambda g: blocks.largest_block(_blocks(g)),
+    "block_of_root_edge": lambda g: blocks.block_of_first_edge(_blocks(g), g.root().first()["v"]),
+    "nontree_components": lambda g: certificate.non_tree_components(*_forest(g)),
+    "spanning_forest_nontree": lambda g: _own_parent(certificate.non_tree_forest(*_forest(g)).select("v", "parent", "level")),
+    "certificate": lambda g: certificate.certificate(g),
+    "articulation_on_certificate": _certified_points,
+    "k_forests": lambda g: certificate.forests(g, 2),
+    "boundary_nodes": lambda g: mesh.boundary_nodes(g.edges.toDF("a", "b")),
+}
+#: The same for the customer-part graph.
+OF_CUSTOMERS: dict[str, Callable[[Graph], DataFrame]] = {
+    "components_max_label": lambda g: comp.max_label_components(g),
+    "component_stats": lambda g: comp.component_stats(comp.components(g)),
+    "largest_component": lambda g: comp.largest_component(comp.max_label_components(g)),
+    "largest_component_edges": lambda g: comp.keep_largest(g).edges,
+}
 
 
-def _labels_of_edges(s: SparkSession, d: str) -> DataFrame:
-    graph = main(s, d)
-    return blocks.labels_from_vertices(graph, blocks.vertex_labels(graph))
+def _on(source: Callable[[SparkSession, str], Graph], query: Callable[[Graph], DataFrame]) -> Query:
+    return lambda s, d: query(source(s, d))
 
 
-QUERIES: dict[str, Query] = {
-    "degrees": lambda s, d: main(s, d).degrees(),
-    "degree_stats": lambda s, d: main(s, d).degree_stats(),
-    "max_degree_root": lambda s, d: main(s, d).root(),
-    "adjacency_rows": lambda s, d: main(s, d).adjacency().select("v", F.size("neighbours").cast("long").alias("degree"), F.get("neighbours", F.lit(0)).alias("first"), F.element_at("neighbours", -1).alias("last")),
-    "edge_balanced_partition": lambda s, d: edge_balanced(main(s, d).degrees(), 8),
-    "edges_by_part": _partitioned,
-    "spread_ids": lambda s, d: main(s, d).vertices.select("v", spread_ids("v", 1 << 20, 16).alias("id")),
-    "components": lambda s, d: comp.components(main(s, d)),
-    "components_max_label": lambda s, d: comp.max_label_components(tables.customer_part(s, d).stored()),
-    "component_stats": lambda s, d: comp.component_stats(comp.components(tables.customer_part(s, d).stored())),
+#: On the line items of quantity 50, as the SQL of these names says.
+QUERIES: dict[str, Query] = {name: _on(main, q) for name, q in OF_PARTS.items()} | {name: _on(customers, q) for name, q in OF_CUSTOMERS.items()}
+#: On all line items.
+QUERIES |= {f"{name}_whole": _on(whole, q) for name, q in OF_PARTS.items()} | {f"{name}_whole": _on(whole_customers, q) for name, q in OF_CUSTOMERS.items()}
+QUERIES |= {
     "component_stats_turns": lambda s, d: comp.component_stats(comp.components(tables.turns(s, d).stored())),
-    "largest_component": lambda s, d: comp.largest_component(comp.max_label_components(tables.customer_part(s, d).stored())),
-    "largest_component_edges": lambda s, d: comp.keep_largest(tables.customer_part(s, d).stored()).edges,
-    "largest_component_relabelled": _relabelled,
     "component_of_vertex": lambda s, d: comp.component_of(tables.places(s, d).stored(), 2),
-    "wrong_components": lambda s, d: comp.wrong_labels(main(s, d), comp.components(main(s, d))),
-    "bfs_tree": lambda s, d: _own_parent(_forest(s, d)[1]),
-    "bfs_levels": lambda s, d: traverse.level_lists(_forest(s, d)[1]),
     "bfs_tree_places": lambda s, d: _own_parent(traverse.spanning_forest(tables.places(s, d).stored())),
-    "bottom_up_step": _bottom_up,
-    "bad_tree_rows": lambda s, d: traverse.bad_tree_rows(*_forest(s, d)),
-    "children_rank": lambda s, d: _own_parent(traverse.child_ranks(_forest(s, d)[1]).withColumn("rank", F.coalesce("rank", F.lit(0).cast("long")))),
-    "descendants": lambda s, d: trees.descendants(_forest(s, d)[1]),
-    "preorder": _preorder,
-    "preorder_euler": _euler,
-    "low_high": lambda s, d: _labels(s, d)[1].select("v", "low", "high"),
-    "related_ends": _related,
-    "lca_nontree": _lca,
-    "bridges": lambda s, d: blocks.bridges_by_labels(_labels(s, d)[1]),
-    "candidate_articulation": lambda s, d: blocks.candidates(main(s, d)),
-    "candidates_compared": _compared,
-    "articulation_points": lambda s, d: blocks.articulation_points(_blocks(s, d)[1]),
-    "articulation_by_labels": lambda s, d: blocks.points_on_forest(main(s, d)),
-    "edge_blocks": lambda s, d: _blocks(s, d)[1],
-    "edge_blocks_on_certificate": lambda s, d: blocks.edge_blocks(main(s, d), certificate_first=True),
-    "vertex_labels": _vertex_labels,
-    "edge_labels_from_vertices": _labels_of_edges,
-    "unlabelled_vertices": lambda s, d: blocks.unlabelled(main(s, d), _vertex_labels(s, d)),
-    "block_sizes": lambda s, d: blocks.block_sizes(_blocks(s, d)[1]),
-    "bcc_counts": lambda s, d: blocks.counts(_blocks(s, d)[1]),
     "bcc_counts_places": lambda s, d: blocks.counts(blocks.edge_blocks(tables.places(s, d).stored())),
-    "largest_block": lambda s, d: blocks.largest_block(_blocks(s, d)[1]),
-    "block_of_root_edge": _root_block,
-    "nontree_components": lambda s, d: certificate.non_tree_components(*_forest(s, d)),
-    "spanning_forest_nontree": lambda s, d: _own_parent(certificate.non_tree_forest(*_forest(s, d)).select("v", "parent", "level")),
-    "certificate": lambda s, d: certificate.certificate(main(s, d)),
     "certificate_dense": _dense_certificate,
-    "articulation_on_certificate": _certified_points,
-    "k_forests": lambda s, d: certificate.forests(main(s, d), 2),
     "degree2_separators": lambda s, d: separation.degree_two_pairs(_ring(s)),
     "separation_pairs": lambda s, d: separation.separation_pairs(_ring(s)),
     "grid_mesh_edges": lambda s, d: _mesh(s)[0].edges,
-    "boundary_nodes": lambda s, d: mesh.boundary_nodes(main(s, d).edges.toDF("a", "b")),
     "ground_sensitivity": lambda s, d: mesh.sensitive_ground(*generate.ice_mesh(s, 6, 3, 2)[:2], 3),
     "ice_status": lambda s, d: mesh.ice_status(*_mesh(s)).select("v", "status"),
     "ice_removed": lambda s, d: mesh.removed_nodes(mesh.ice_status(*_mesh(s))),

@@ -13,7 +13,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def part_supplier(spark: SparkSession, sf_dir: str, least_quantity: float | None = 50) -> Graph:
-    """Parts (2 k) and suppliers (2 k + 1) that meet in a line item of at least so large a quantity."""
+    """Parts (2 k) and suppliers (2 k + 1) that meet in a line item of at least so large a quantity (None: of any)."""
     items = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     if least_quantity is not None:
         items = items.where(F.col("l_quantity") >= least_quantity)
@@ -28,9 +28,11 @@ def places(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(canonical(c.union(s).union(n)))
 
 
-def customer_part(spark: SparkSession, sf_dir: str, least_quantity: float = 50) -> Graph:
-    """Customers (2 k) and parts (2 k + 1) that meet in an order line of at least so large a quantity."""
-    items = read(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least_quantity).select("l_orderkey", "l_partkey")
+def customer_part(spark: SparkSession, sf_dir: str, least_quantity: float | None = 50) -> Graph:
+    """Customers (2 k) and parts (2 k + 1) that meet in an order line of at least so large a quantity (None: of any)."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    if least_quantity is not None:
+        items = items.where(F.col("l_quantity") >= least_quantity)
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return Graph(canonical(items.join(orders, "l_orderkey").select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))))
 
