@@ -5,7 +5,7 @@ their sets overlap by ``percent`` of their union; groups are the connected compo
 
 1. One pass over the texts writes, per document, the size of its set, a 128-bit fingerprint of the set and the
    keys of ``bands`` bands of ``rows`` slots of its signature. The texts themselves are not shuffled.
-2. Documents with equal sets form a class, named by its smallest id; from here on classes stand for them. A
+2. Documents with equal sets form a class, named by a hash of its fingerprint; from here on classes stand for them. A
    group of any number of copies is one row after a grouped minimum.
 3. Classes meet where a band agrees. In each bucket of two or more, every class is paired with one class there, its head, so
    pairs grow as the bucket, not as its square. The head is the member that shares most buckets, so it tends to be the text
@@ -20,8 +20,8 @@ their sets overlap by ``percent`` of their union; groups are the connected compo
 At similarity 0.8, a pair shares none of 42 bands of 6 slots with a chance of 3 in a million.
 
 Cases. No words or null text: an empty set, linked with nothing. A null id: the row takes no part, its
-component is null and it is kept. Rows that share an id are looked at one by one. Repeated rows: equal sets,
-one class. Extra columns pass through ``drop_near_duplicates``. An empty table gives an empty result. A very
+component is null and it is kept. Rows that share an id are looked at one by one; of kept rows of one group that share its
+id, ``drop_near_duplicates`` keeps one. Repeated rows: equal sets, one class. Extra columns pass through ``drop_near_duplicates``. An empty table gives an empty result. A very
 long text is a batch of its own.
 """
 
@@ -45,7 +45,12 @@ MASKS = 8
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"))
+
+
+def class_name() -> Column:
+    """A class's name, of its fingerprint and size: ids can stand for several texts."""
+    return F.shiftrightunsigned(F.xxhash64("f1", "f2", "n_shingles"), 1)
 
 
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +62,7 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, keys) of each row of ``docs`` (doc_id, text); keys are null for empty sets."""
+    """(doc_id, h, n_shingles, f1, f2, keys) of each row of ``docs`` (doc_id, text, h); keys are null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sign = SuperMinHash(bands * rows)
@@ -67,10 +72,10 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                 sets = shingle_sets(texts[lo:hi], width)
                 keys = band_keys(sign(sets), bands, rows).view(np.int64)
                 f1, f2 = fingerprints(sets)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].astype("Int64"), "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "keys": [k if len(s) else None for k, s in zip(keys, sets, strict=True)]})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].astype("Int64"), "h": pdf["h"].iloc[lo:hi], "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "keys": [k if len(s) else None for k, s in zip(keys, sets, strict=True)]})
 
     bound_batches(docs.sparkSession)
-    return docs.mapInPandas(tidied(run), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    return docs.mapInPandas(tidied(run), "doc_id long, h long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -81,10 +86,12 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
             texts = pdf["text"].tolist()
             for lo, hi in slices(np.array([len(t or "") for t in texts]), 1 << 20):
                 sets = shingle_sets(texts[lo:hi], width)
-                yield pd.DataFrame({"v": pdf["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "set": [s.view(np.int64) for s in sets]})
+                f1, f2 = fingerprints(sets)
+                yield pd.DataFrame({"n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "set": [s.view(np.int64) for s in sets]})
 
     bound_batches(docs.sparkSession)
-    return docs.mapInPandas(tidied(run), "v long, n long, set array<long>")
+    made = docs.mapInPandas(tidied(run), "n_shingles long, f1 long, f2 long, set array<long>")
+    return made.select(class_name().alias("v"), F.col("n_shingles").alias("n"), "set")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -141,23 +148,22 @@ def bucket_heads(met: DataFrame) -> DataFrame:
     return ranked.groupBy("key").agg(F.max(F.struct("fame", (-F.col("v")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("head"))
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id of the group), kept (whether that is this id), per row."""
-    docs = _slim(docs, id_col, text_col)
+def _groups(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, h, n_shingles, grouped (a name of the row's group, null if it takes no part), component_id, kept, per row of ``docs`` (doc_id, text, h)."""
     signed = Table(signatures(docs, width, bands, rows), "signatures")
-    usable = signed.df.where("doc_id is not null and n_shingles > 0")
-    classes = Table(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("class")), "classes")
+    usable = signed.df.where("doc_id is not null and n_shingles > 0").withColumn("v", class_name())
+    classes = Table(usable.groupBy("v").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("v", "first.doc_id", "first.h"), "classes")
 
-    heads = usable.join(classes.df.select(F.col("class").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
-    banded = heads.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    heads = usable.join(classes.df, ["doc_id", "h", "v"], "left_semi")
+    banded = heads.select("v", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = Table(banded.join(materialise(buckets, "buckets"), "key"), "met")
     members = Table(met.df.join(bucket_heads(met.df), "key").select("head", "v", "n").distinct(), "members")
     met.drop()
     starred = members.df.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b"))
 
-    involved = members.df.select(F.col("v").alias("doc_id")).distinct()
-    wanted = by_bucket(docs, "doc_id", involved)[0].join(involved, "doc_id", "left_semi")
+    involved = materialise(classes.df.join(members.df.select("v").distinct(), "v", "left_semi").select("doc_id", "h"), "involved")
+    wanted = by_bucket(docs, "doc_id", involved)[0].join(involved, ["doc_id", "h"], "left_semi")
     sets = Table(whole_sets(wanted, width), "sets")
     seen = Table(seen_from_head(starred, sets.df), "seen")
     links = linked(seen.df, percent)
@@ -172,15 +178,30 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     more = Table(linked(overlaps(pairs, sets.df), percent), "links")
     groups = stars(links.union(more.df))
 
-    named = classes.df.join(groups.withColumnRenamed("v", "class"), "class", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "class").alias("component"))
-    of_row = signed.df.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return of_row.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    named = Table(classes.df.join(groups, "v", "left").select("v", "doc_id", F.col("component").isNotNull().alias("tied"), F.coalesce("component", "v").alias("grouped")), "named")
+    heads_of = groups.select(F.col("component").alias("v")).distinct()
+    tied = named.df.where("tied").unionByName(named.df.join(heads_of, "v", "left_semi").where("not tied"))
+    least = tied.groupBy("grouped").agg(F.min("doc_id").alias("low"))
+    labelled = named.df.join(least, "grouped", "left").select("v", "grouped", F.coalesce("low", "doc_id").alias("component"))
+    of_row = signed.df.withColumn("v", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), class_name())).join(labelled, "v", "left")
+    component = F.coalesce("component", "doc_id")
+    return of_row.select("doc_id", "h", "n_shingles", "grouped", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id of the group), kept (whether that is this id), per row."""
+    return _groups(_slim(docs, id_col, text_col), width, percent, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows of documents that are near duplicates of one with a smaller id."""
-    groups = near_duplicate_groups(docs, id_col, text_col, width, percent)
-    gone = materialise(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    maybe, stay = by_bucket(docs, id_col, gone)
-    return stay.union(maybe.join(gone, maybe[f"`{id_col}`"].cast("long") == gone["__gone"], "left_anti"))
+    """``docs`` with one row of each group of near duplicates, of its smallest id; rows go by id and text, as ids may repeat."""
+    found = materialise(_groups(_slim(docs, id_col, text_col), width, percent).where("grouped is not null"), "groups")
+    own = found.where("kept").groupBy("grouped", "doc_id").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("copies"))
+    stays = own.select("doc_id", "h", "grouped")
+    gone = materialise(found.where("not kept").select("doc_id", "h").union(found.where("kept").join(stays, ["doc_id", "h", "grouped"], "left_anti").select("doc_id", "h")).toDF("__id", "__h").distinct(), "gone")
+    again = materialise(own.where("copies > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "again")
+    maybe, stay = by_bucket(docs, id_col, gone.select("__id").union(again.select("__id")))
+    keyed = maybe.withColumn("__id", F.col(f"`{id_col}`").cast("long")).withColumn("__h", F.xxhash64(F.col(f"`{text_col}`").cast("string"))).join(gone, ["__id", "__h"], "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = keyed.join(again, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
+    return stay.unionByName(keyed.join(again, ["__id", "__h"], "left_anti").select(*names)).unionByName(once.select(*names))

@@ -386,6 +386,19 @@ def test_near_duplicates(spark, docs, none):
     assert {r["doc_id"] for r in near_dup.drop_near_duplicates(table).collect()} == kept
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Different texts that share an id are told apart, and one row of fully repeated ones stays."""
+    rng = random.Random(3)
+    a, b, c = ([f"{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "abc")
+    near = " ".join([*a[:59], "other"])
+    items = [(3, " ".join(a)), (5, near), (5, " ".join(b)), (7, " ".join(c)), (7, " ".join(c)), (8, " ".join(c)), (9, ""), (None, " ".join(a))]
+    table = spark.createDataFrame(items, "doc_id long, text string")
+    got = near_dup.near_duplicate_groups(table, width=4)
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == plain_groups(items, 4)
+    left = [(3, " ".join(a)), (5, " ".join(b)), (7, " ".join(c)), (9, ""), (None, " ".join(a))]
+    assert sorted(map(tuple, near_dup.drop_near_duplicates(table).collect()), key=repr) == sorted(left, key=repr)
+
+
 def test_superminhash():
     sign = shingles.SuperMinHash(128)
     rng = np.random.default_rng(13)
