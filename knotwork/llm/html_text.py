@@ -2,7 +2,7 @@
 
 A scanner cuts a page into blocks at block-level tags and notes, for each, its stop-word density, length, link
 density and whether it stands in a menu, header, footer, sidebar, notice, advert, form or comment section.
-Pass 1 decides clear blocks: text in such a part, or mostly of links, is bad; long text with many
+Pass 1 decides clear blocks: text in such a part, or mostly of links outside a marked article, is bad; long text with many
 stop words is good. All others are ambiguous. Pass 2 gives each ambiguous block the label of its nearest decided
 neighbours. Where a page marks its article (``article``, ``main``), only blocks inside count, and only they
 are neighbours of each other; an ambiguous block with no decided neighbour there is part of the article.
@@ -92,6 +92,7 @@ def _open(name: str, attributes: str, stack: list[Element]) -> Element:
     if article:
         for e in stack:  # what holds the article is no mere side part, whatever its class says
             e.marked = False
+            e.aside = e.aside and e.name != "form"
     return Element(name, marked, name in ASIDE or (name == "header" and not in_article), article)
 
 
@@ -118,6 +119,8 @@ def blocks_of(html: str) -> list[Block]:
             parts.append(text)
             if not text.isspace():
                 breaks = 0
+                if stack and stack[-1].name == "head":  # text that is shown starts the body
+                    stack.pop()
             if in_link:
                 linked += len(text.strip())
         if less < 0:
@@ -153,6 +156,8 @@ def blocks_of(html: str) -> list[Block]:
             end_block()
             breaks = in_link = 0
             if name in VOID or name == "p":
+                if stack and stack[-1].name == "head":
+                    stack.pop()
                 continue
             if closes:
                 for k in range(len(stack) - 1, -1, -1):
@@ -160,6 +165,8 @@ def blocks_of(html: str) -> list[Block]:
                         del stack[k:]
                         break
             else:
+                if name != "head":  # its end tag may be left out
+                    stack[:] = [e for e in stack if e.name != "head"]
                 stack.append(_open(name, tag[3], stack))
     end_block()
     return out
@@ -173,14 +180,19 @@ def stop_share(text: str) -> float:
 def decide(blocks: list[Block]) -> None:
     """Pass 1: label the clear blocks."""
     has_article = any(b.inside("article") for b in blocks)
-    if all(b.inside("aside") or b.inside("marked") for b in blocks):  # a class of the whole page says nothing
+    all_bad = lambda: all(b.inside("aside") or b.inside("marked") for b in blocks)
+    if blocks and all_bad():  # an element around the whole page, such as a form, says nothing
+        for e in blocks[0].holders:
+            if e.aside and all(any(e is h for h in b.holders) for b in blocks):
+                e.aside = e.marked = False
+    if all_bad():  # a class of the whole page says nothing
         for b in blocks:
             for e in b.holders:
                 e.marked = False
     for b in blocks:
         if b.inside("aside") or b.inside("marked") or (has_article and not b.inside("article")):
             b.label = "bad"
-        elif b.link_share > MANY_LINKS and not (has_article and len(b.text) >= LONG):
+        elif b.link_share > MANY_LINKS and not has_article:
             b.label = "bad"
         elif len(b.text) >= LONG and stop_share(b.text) >= MANY_STOPS:
             b.label = "good"

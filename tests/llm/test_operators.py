@@ -189,6 +189,15 @@ GOOD = "<h2>Title here</h2><p>This is the first &amp; long part of the article,
 TEXT = "Title here\nThis is the first & long part of the article, and it is in the middle of the page. It goes on.\nShort.\nAnd this is the second part of the article, with a link in it, and it is long."
 
 
+def test_html_shapes():
+    long = "This is the text of the page and it is long enough for all that is to be said of it in the end."
+    assert html_text.main_text(f"<html><head><title>T</title><body><p>{long}</p></body></html>") == long
+    assert html_text.main_text(f"<html><head><title>T</title><p>{long}</p>") == long
+    assert html_text.main_text(f"<body><form><nav><a href='/'>Home</a></nav><p>{long}</p></form></body>") == long
+    assert html_text.main_text(f"<body><nav>Menu</nav><form><article><p>{long}</p></article></form></body>") == long
+    assert html_text.main_text(f"<article><h1><a href='/x'>A heading</a></h1><p>{long}</p></article>") == f"A heading\n{long}"
+
+
 def test_html(spark):
     for body in (f"<article>{GOOD}</article>", f"<main><div>{GOOD}</div></main>", f'<div id="content">{GOOD}</div>'):
         assert html_text.main_text(PAGE.replace("{body}", body)) == TEXT
