@@ -103,6 +103,13 @@ def spread_ids(v: object, n: int, tasks: int) -> object:
     return F.least((v % tasks) * (n // tasks + 1) + F.floor(v / tasks), F.lit(n - 1)).cast("long")
 
 
+def room(largest: int, tasks: int, n: int = 1 << 20) -> int:
+    """``n``, doubled until ``spread_ids`` keeps ids up to ``largest`` apart."""
+    while (tasks - 1) * (n // tasks + 1) + largest // tasks > n - 1:
+        n *= 2
+    return n
+
+
 def by_part(graph: Graph, parts: DataFrame, n: int) -> DataFrame:
     """The directed edges, dealt to ``n`` partitions by the part (v, part) of their first end."""
     return graph.sym.join(parts.withColumnRenamed("v", "a"), "a").repartitionById(n, F.col("part").cast("int"))

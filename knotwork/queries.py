@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import blocks, certificate, generate, mesh, separation, traverse, trees
 from .operators import components as comp
-from .operators.graph import Graph, by_part, compare_sets, edge_balanced, spread_ids
+from .operators.graph import Graph, by_part, compare_sets, edge_balanced, room, spread_ids
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,12 @@ def _preorder(graph: Graph) -> DataFrame:
     return trees.preorder(tree, trees.descendants(tree))
 
 
+def _spread(graph: Graph) -> DataFrame:
+    own = graph.vertices
+    n = room(own.agg(F.max("v")).first()[0] or 0, 16)
+    return own.select("v", spread_ids("v", n, 16).alias("id"))
+
+
 def _lca(graph: Graph) -> DataFrame:
     tree = _forest(graph)[1]
     return trees.lca(tree, trees.non_tree(graph, tree))
@@ -101,7 +107,7 @@ OF_PARTS: dict[str, Callable[[Graph], DataFrame]] = {
     "adjacency_rows": lambda g: g.adjacency().select("v", F.size("neighbours").cast("long").alias("degree"), F.get("neighbours", F.lit(0)).alias("first"), F.element_at("neighbours", -1).alias("last")),
     "edge_balanced_partition": lambda g: edge_balanced(g.degrees(), 8),
     "edges_by_part": _partitioned,
-    "spread_ids": lambda g: g.vertices.select("v", spread_ids("v", 1 << 20, 16).alias("id")),
+    "spread_ids": _spread,
     "components": lambda g: comp.components(g),
     "largest_component_relabelled": lambda g: comp.keep_largest(g).relabelled()[0].edges,
     "wrong_components": lambda g: comp.wrong_labels(g, comp.components(g)),

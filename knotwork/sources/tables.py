@@ -38,7 +38,10 @@ def customer_part(spark: SparkSession, sf_dir: str, least_quantity: float | None
 
 
 def turns(spark: SparkSession, sf_dir: str) -> Graph:
-    """Turns of a conversation (1000 * conversation + turn), each tied to the one before."""
-    t = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("dst"), "turn")
-    before = t.select((F.col("dst") + 1).alias("dst"), F.col("dst").alias("src"))
-    return Graph(canonical(t.join(before, "dst").select("src", "dst")), t.select(F.col("dst").alias("v")).distinct())
+    """Turns of a conversation (width * conversation + turn, where width is 1000 or more than any turn), each tied to the one before."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"))
+    low, high = rows.agg(F.min("turn"), F.max("turn")).first()
+    low, width = min(low or 0, 0), max(1000, (high or 0) - min(low or 0, 0) + 1)
+    t = rows.select("conv", "turn", (F.col("conv") * width + F.col("turn") - low).alias("dst"))
+    before = t.select("conv", (F.col("turn") + 1).alias("turn"), F.col("dst").alias("src"))
+    return Graph(canonical(t.join(before, ["conv", "turn"]).select("src", "dst")), t.select(F.col("dst").alias("v")).distinct())

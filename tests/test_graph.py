@@ -9,7 +9,8 @@ import pytest
 import brute
 from knotwork.operators import blocks, certificate, separation, traverse, trees
 from knotwork.operators import components as comp
-from knotwork.operators.graph import Graph, compare_sets, edge_balanced
+from knotwork.operators.graph import Graph, compare_sets, edge_balanced, room, spread_ids
+from knotwork.sources import tables
 
 #: Two small graphs without cut vertices.
 TEST = [(1, 2), (1, 3), (1, 7), (2, 4), (2, 8), (3, 4), (3, 5), (4, 6), (5, 6), (5, 7), (6, 8), (7, 12), (8, 9), (8, 10), (9, 10), (9, 14), (10, 11), (11, 13), (11, 14), (12, 13), (12, 15), (12, 0), (13, 14), (13, 15), (13, 0), (15, 0)]
@@ -185,3 +186,16 @@ def test_extraction(spark):
 def test_csr(spark):
     graph = Graph.from_csr([0, 2, 3, 4, 4], [1, 2, 0, 0], spark)
     assert found(graph.edges) == {(0, 1), (0, 2)} and found(graph.vertices) == {(0,), (1,), (2,), (3,)}
+
+
+def test_room_of_spread_ids(spark):
+    assert room(1_048_335, 16) == 1 << 20
+    for largest in (1_048_336, 3_000_000):
+        ids = spark.range(largest - 40_000, largest + 1).select(spread_ids("id", room(largest, 16), 16).alias("x"))
+        assert ids.distinct().count() == 40_001
+
+
+def test_long_conversations(spark, tmp_path):
+    """A conversation of more than 1,000 turns doesn't run into the next one."""
+    spark.createDataFrame([(1, k) for k in range(1003)] + [(2, k) for k in range(5)], "conv_id long, turn long").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert tuple(comp.component_stats(comp.components(tables.turns(spark, str(tmp_path)).stored())).first()) == (2, 1003, 2)
