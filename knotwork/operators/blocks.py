@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, tidy
 from .components import stars
 from .graph import Graph
 from .traverse import bfs, component_roots, spanning_forest, tree_edges
@@ -25,6 +25,7 @@ def auxiliary_links(graph: Graph, own: DataFrame) -> DataFrame:
     return cross.union(met.where("low < pre_up or high >= pre_up + n_up").select(F.col("parent").alias("a"), F.col("v").alias("b")))
 
 
+@tidy("blocks")
 def edge_blocks(graph: Graph, certificate_first: bool = False) -> DataFrame:
     """(src, dst, block_src, block_dst): each edge and the smallest edge of its block.
 
@@ -99,6 +100,7 @@ def block_of_first_edge(blocks: DataFrame, root: int) -> DataFrame:
     return blocks.join(top, ["block_src", "block_dst"], "left_semi").select("src", "dst")
 
 
+@tidy("vertex-labels")
 def vertex_labels(graph: Graph) -> DataFrame:
     """(v, high, low): of the block of the tree edge above v, its head and its smallest other vertex; roots have none."""
     graph = graph.stored()
@@ -125,6 +127,7 @@ def unlabelled(graph: Graph, marks: DataFrame) -> DataFrame:
     return graph.edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct().join(done, "v", "left_anti")
 
 
+@tidy("candidates")
 def candidates(graph: Graph) -> DataFrame:
     """(v): lowest common ancestors of non-tree edges and ends of bridges; all articulation points are among them."""
     graph = graph.stored()
@@ -133,6 +136,7 @@ def candidates(graph: Graph) -> DataFrame:
     return tops.union(bridges_by_labels(own).select(F.explode(F.array("src", "dst")))).distinct()
 
 
+@tidy("points")
 def points_on_forest(graph: Graph) -> DataFrame:
     """(v): articulation points straight from the labels, without naming blocks.
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, tidy
 from .components import stars
 from .graph import Graph
 from .traverse import label_forest, spanning_forest, tree_edges
 
 
+@tidy("non-tree-components")
 def non_tree_components(graph: Graph, tree: DataFrame) -> DataFrame:
     """(v, component) of the graph without its tree, for vertices that keep an edge."""
     rest = graph.without(tree_edges(tree))
@@ -18,11 +19,13 @@ def non_tree_components(graph: Graph, tree: DataFrame) -> DataFrame:
     return rest.vertices.join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
+@tidy("non-tree-forest")
 def non_tree_forest(graph: Graph, tree: DataFrame) -> DataFrame:
     """The breadth-first forest of the graph without its tree, from the smallest vertex of each component."""
     return label_forest(graph.without(tree_edges(tree)).stored())
 
 
+@tidy("certificate")
 def certificate(graph: Graph) -> DataFrame:
     """(src, dst, forest): the edges of a breadth-first forest (0) and of a forest of what it leaves (1)."""
     graph = graph.stored()
@@ -31,6 +34,7 @@ def certificate(graph: Graph) -> DataFrame:
     return tree_edges(tree).withColumn("forest", F.lit(0).cast("long")).union(tree_edges(second).withColumn("forest", F.lit(1).cast("long")))
 
 
+@tidy("forests")
 def forests(graph: Graph, k: int) -> DataFrame:
     """(src, dst, forest): a breadth-first forest (0), and k more, each of what those before leave."""
     rest = graph.stored()

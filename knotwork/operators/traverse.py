@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.storage import Table, materialise
+from ..plans.storage import Table, materialise, tidy
 from .components import components, stars
 from .graph import Graph
 
 
+@tidy("tree")
 def bfs(graph: Graph, roots: DataFrame, max_level: int | None = None) -> DataFrame:
     """(v, parent, level, root) of all vertices reached from ``roots`` (v); parents of roots are null."""
     sym = materialise(graph.sym, "sym")
@@ -28,10 +29,7 @@ def bfs(graph: Graph, roots: DataFrame, max_level: int | None = None) -> DataFra
             met = met.join(old.df.select("v"), "v", "left_anti")
         levels.append(Table(met.select("v", "parent", F.lit(len(levels)).cast("long").alias("level"), "root"), "level", n=F.count(F.lit(1))))
     out = levels[0].df.sparkSession.read.schema(levels[0].df.schema).parquet(*[x.path for x in levels])
-    tree = materialise(out, "tree")
-    for x in levels:
-        x.drop()
-    return tree
+    return out
 
 
 def component_roots(graph: Graph) -> DataFrame:
@@ -41,11 +39,13 @@ def component_roots(graph: Graph) -> DataFrame:
     return best.select((-F.col("top.col2")).alias("v"))
 
 
+@tidy("forest")
 def spanning_forest(graph: Graph) -> DataFrame:
     """The breadth-first tree of each component from its root of largest degree."""
     return bfs(graph, materialise(component_roots(graph), "roots"))
 
 
+@tidy("label-forest")
 def label_forest(graph: Graph) -> DataFrame:
     """The breadth-first tree of each component from its smallest vertex."""
     found = stars(graph.edges.toDF("a", "b"))

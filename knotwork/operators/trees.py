@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.storage import Table
+from ..plans.storage import Table, tidy
 from .graph import Graph
 from .traverse import tree_edges
 
@@ -81,13 +81,15 @@ def low_high(graph: Graph, tree: DataFrame, pre: DataFrame) -> DataFrame:
     return fold_subtrees(tree, own, {"low": "min", "high": "max"})
 
 
+@tidy("labels")
 def labels(graph: Graph, tree: DataFrame) -> DataFrame:
     """(v, parent, level, root, n_desc, pre, low, high), written out."""
     sizes = descendants(tree)
     pre = preorder(tree, sizes)
-    return Table(tree.join(sizes, "v").join(pre, "v").join(low_high(graph, tree, pre), "v"), "labels").df
+    return tree.join(sizes, "v").join(pre, "v").join(low_high(graph, tree, pre), "v")
 
 
+@tidy("lca")
 def lca(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (src, dst) of one tree each, with ``lca``: their lowest common ancestor.
 
@@ -113,6 +115,7 @@ def lca(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     return top.select("src", "dst", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("up")).alias("lca"))
 
 
+@tidy("euler")
 def euler_preorder(tree: DataFrame) -> DataFrame:
     """(v, pre): preorder numbers from 1 in each tree by ranking its Euler tour.
 
