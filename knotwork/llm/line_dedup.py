@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
-from .common import replace_columns
+from .common import own_name, replace_columns
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,15 +57,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") >= min_docs).select("h1", "h2", "keeper"),
         "repeated-lines",
     )
+    id_, th_, gone, whole, key, parts = (own_name(docs, x) for x in ("id", "hash", "gone", "text", "key", "lines"))
     losing = (
         lines.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
-        .select(F.col("id").alias("__id"), F.col("th").alias("__th"), "gone")
+        .groupBy("id", "th").agg(F.collect_set("pos").alias(gone))
+        .select(F.col("id").alias(id_), F.col("th").alias(th_), gone)
     )
-    own = docs.withColumn("__text", text).withColumn("__key", F.xxhash64("__text"))
-    met = own.join(losing, own[f"`{id_col}`"].eqNullSafe(losing["__id"]) & (own["__key"] == losing["__th"]), "left")
-    met = met.withColumn("__lines", F.split("__text", "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
-    out = replace_columns(met, n_lines=F.size("__lines").cast("long"), n_dropped=F.coalesce(F.size("gone"), F.lit(0)).cast("long"), **{text_col: kept})
-    return out.drop("__text", "__key", "__id", "__th", "gone", "__lines")
+    own = docs.withColumn(whole, text).withColumn(key, F.xxhash64(whole))
+    met = own.join(losing, own[f"`{id_col}`"].eqNullSafe(losing[id_]) & (own[key] == losing[th_]), "left")
+    met = met.withColumn(parts, F.split(whole, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), F.col(whole)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    out = replace_columns(met, n_lines=F.size(parts).cast("long"), n_dropped=F.coalesce(F.size(gone), F.lit(0)).cast("long"), **{text_col: kept})
+    return out.drop(whole, key, id_, th_, gone, parts)

@@ -3,12 +3,12 @@
 ``store_bytes`` wraps bytes as 8-bit companded samples, or as ADPCM nibble pairs, of a WAV file; nothing is
 lost, because a code byte is stored as it is. ``decode_audio`` reads such files back: companded bytes
 are expanded by lookup tables of 256 entries, ADPCM blocks of a whole batch advance together, one
-nibble a step, in numpy, and the 8 kHz result is resampled to 16 kHz PCM by a half-band filter.
+nibble a step, in numpy, and the 8 kHz result is resampled to 16 kHz PCM by a half-band filter. ``store_pcm`` writes that to a table.
 
 Cases. Null payload: treated as empty. Empty payload: a file without samples, feature of zeros. A null or
 damaged file: null payload, null pcm and the feature ``unreadable``. Very long payloads are batches
-of their own. Extra columns pass through; the operators' output columns win over columns of
-the same name. Repeated rows give equal values. An empty table gives an empty result.
+of their own. Extra columns pass through as they are; the operators' output columns win over columns of
+the same name. Ids of ``text_as_audio`` are cast to long; one that can't be is null. Repeated rows give equal values. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bound_batches, slices, tidied, with_fields
+from ..plans.storage import Table
+from .common import cut, map_batches, own_name, whole_id, with_fields
 
 RATE, OUT_RATE = 8000, 16000
 #: WAV format tags (fixed values).
@@ -181,68 +183,69 @@ def choose_codec(payload: bytes) -> int:
     return (MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3]
 
 
-def _others(df: DataFrame, *names: str) -> list[str]:
-    return [c for c in df.columns if c.lower() not in names]
-
-
 def store(payload: bytes | None, codec: int | None = None) -> bytes:
     """The padded payload as a file, in the given format or the one chosen by the content."""
     padded = pad(payload or b"")
     return wav(choose_codec(padded) if codec is None else codec, padded)
 
 
-def store_bytes(df: DataFrame, payload_col: str, codec: int | None = None) -> DataFrame:
-    """``df`` with ``media``: a WAV file of the column's bytes (or of a string's UTF-8), padded with spaces."""
-    keep = _others(df, "media")
+def _with(df: DataFrame, sized: str, made: dict[str, str], step: Callable[[list], list[tuple]]) -> DataFrame:
+    """``df`` with columns, by name and type, that ``step`` makes of lists of values of a column; others of these names give way."""
+    keep = [c for c in df.columns if c.lower() not in made]
+    source, schema = own_name(df, "source"), with_fields(df.select(*[df[f"`{c}`"] for c in keep]), **made)
+    kinds = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(media=[store(x, codec) for x in pdf.pop("__payload")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in cut(batches, source, BATCH):
+            new = list(zip(*step(part.column(source).to_pylist()), strict=True))
+            columns = [part.column(i) for i in range(len(keep))] + [pa.array(x, f.type) for x, f in zip(new, list(kinds)[len(keep) :], strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    bound_batches(df.sparkSession, megabytes=2)
-    source = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{payload_col}`"].cast("binary").alias("__payload"))
-    return source.mapInPandas(tidied(run), with_fields(df.select(*[df[f"`{c}`"] for c in keep]), media="binary"))
+    return map_batches(df.select(*[df[f"`{c}`"] for c in keep], df[f"`{sized}`"].cast("binary").alias(source)), run, schema)
+
+
+def store_bytes(df: DataFrame, payload_col: str, codec: int | None = None) -> DataFrame:
+    """``df`` with ``media``: a WAV file of the column's bytes (or of a string's UTF-8), padded with spaces."""
+    return _with(df, payload_col, {"media": "binary"}, lambda values: [(store(x, codec),) for x in values])
 
 
 def decode_audio(df: DataFrame, media_col: str = "media") -> DataFrame:
     """``df`` with ``payload`` (the stored code bytes), ``pcm`` (16-bit, 16 kHz, mono) and ``feature``."""
-    keep = _others(df, "payload", "pcm", "feature")
+    return _with(df, media_col, {"payload": "binary", "pcm": "binary", "feature": "string"}, decode_files)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo, hi in slices(np.array([len(m) if m is not None else 0 for m in pdf[media_col]]), BATCH):
-                part = pdf.iloc[lo:hi]
-                payload, pcm, said = zip(*decode_files(part[media_col].tolist()), strict=True)
-                yield part.assign(payload=list(payload), pcm=list(pcm), feature=list(said))
+def store_pcm(df: DataFrame, path: str, media_col: str = "media") -> DataFrame:
+    """The decoded and resampled audio of ``df`` as a table in the folder ``path``, compressed; what is returned reads it."""
+    decode_audio(df, media_col).drop("payload").write.parquet(path, compression="zstd")
+    return df.sparkSession.read.parquet(path)
 
-    bound_batches(df.sparkSession, megabytes=2)
-    kept = df.select(*[df[f"`{c}`"] for c in keep])
-    return kept.mapInPandas(tidied(run), with_fields(kept, payload="binary", pcm="binary", feature="string"))
 
+DIGESTS = {
+    "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string",
+    "feature": "string", "pcm_bytes": "long", "pcm_sha256": "string",
+}
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+
+def _digests(files: list[bytes | None]) -> list[tuple]:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    out = []
+    for media, (payload, pcm, said) in zip(files, decode_files(files), strict=True):
+        media, payload, pcm = media or b"", payload or b"", pcm or b""
+        out.append((len(payload), sha(payload), zlib.crc32(payload[-16:]), len(media), sha(media), said, len(pcm), sha(pcm)))
+    return out
+
+
+def audio_digests(df: DataFrame, media_col: str = "media") -> DataFrame:
+    """``df`` with sizes and digests of its files, of the payloads read from them and of the resampled PCM, and the feature, but without the files."""
+    return _with(df, media_col, DIGESTS, _digests).drop(media_col)
 
 
 def text_as_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of each text stored as audio and read back from the stored bytes: the columns of query ``op1_media``.
+    """Digests of each text that is stored as audio and read back: the columns of query ``op1_media``.
 
-    Storing and decoding follow each other within a batch, so that only digests leave the Python worker.
+    The files are written to a table in the shared folder; all digests are of what is read from there.
     """
-
-    def digests(doc: object, raw: bytes, media: bytes, back: tuple[bytes, bytes, str]) -> tuple:
-        payload, pcm, said = back
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        return doc, len(raw), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(media), sha(media), said, len(pcm), sha(pcm)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in DIGESTS.split(", ")]
-        for pdf in batches:
-            raws = [x if x is not None else b"" for x in pdf["raw"]]
-            for lo, hi in slices(np.array([len(x) for x in raws]), BATCH):
-                files = [store(x) for x in raws[lo:hi]]
-                out = map(digests, pdf["doc_id"][lo:hi], raws[lo:hi], files, decode_files(files))
-                yield pd.DataFrame(list(out), columns=names).astype({"doc_id": "Int64"})
-
-    bound_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
-    return slim.mapInPandas(tidied(run), DIGESTS)
+    raw = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    slim = docs.select(whole_id(docs, id_col).alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("raw"))
+    stored = Table(store_bytes(slim, "raw").drop("raw"), "media", codec="zstd")
+    return audio_digests(stored.df)

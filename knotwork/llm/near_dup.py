@@ -9,20 +9,24 @@ their sets overlap by ``percent`` of their union; groups are the connected compo
    group of any number of copies is one row after a grouped minimum.
 3. Classes meet where a band agrees. In each bucket of two or more, every class is paired with one class there, its head, so
    pairs grow as the bucket, not as its square. The head is the member that shares most buckets, so it tends to be the text
-   that the others vary. Pairs are verified on their whole sets, and verified links joined into components.
+   that the others vary. Each member's set is sent to its head's, which says how much they share and what the member has besides (its
+   rest). Links found so are joined into components.
 4. Classes of one head that are still in several components remain to be compared, across components only; pairs inside
-   one can't change the result. A pair that shares buckets shares their heads, so comparing by head loses none. Most are ruled out exactly by what is known from the head h: sets x and y share at most
-   min(|x & h|, |y & h|) elements of h, and outside h no more than |(x - h) & (y - h)|, which a bit mask of 512
-   bits of either rest bounds from above. What the bound leaves is verified like the others. So members
-   of a large group that are too far from its head meet only those with the same further changes.
-5. Components of all links are the groups.
+   one can't change the result. A pair that shares buckets shares their heads, so comparing by head loses none. Of sets x and y under head h, at
+   most min(|x & h|, |y & h|) elements are in h; so if y isn't in the head's component, x of a known range of sizes must share at least
+   t = needed(x, y) - |y & h| elements of y's rest. Then one of any |rest| - t + 1 elements of y's rest is also in x's: y looks
+   for its rarest ones among the rests of the other members (a prefix filter). Documents that vary one template without
+   being near each other have rare elements of their own, and meet nobody. Only where t isn't positive, for y that is little more than a part of its head, does y meet
+   all smaller members.
+5. Pairs found so are first compared by sketches of four bits a slot of their signatures: a linked pair differs in more than ``DIFFER`` of 252 slots with a
+   chance below one in ten million. The rest is verified on whole sets. Components of all links are the groups.
 
 At similarity 0.8, a pair shares none of 42 bands of 6 slots with a chance of 3 in a million.
 
-Cases. No words or null text: an empty set, linked with nothing. A null id: the row takes no part, its
+Cases. No words or null text: an empty set, linked with nothing. A null id, or one that is no integer: the row takes no part, its
 component is null and it is kept. Rows that share an id are looked at one by one; of kept rows of one group that share its
-id, ``drop_near_duplicates`` keeps one. Repeated rows: equal sets, one class. Extra columns pass through ``drop_near_duplicates``. An empty table gives an empty result. A very
-long text is a batch of its own.
+id, ``drop_near_duplicates`` keeps one. Repeated rows: equal sets, one class. Extra columns pass through ``drop_near_duplicates``, whatever their names.
+An empty table gives an empty result. A very long text is a batch of its own.
 """
 
 from __future__ import annotations
@@ -31,21 +35,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import stars
-from ..plans.storage import Table, materialise
-from .common import bound_batches, by_bucket, mix64, slices, tidied
+from ..plans.storage import Table, materialise, scratch
+from .common import by_bucket, map_batches, map_frames, mix64, own_name, whole_id
 from .shingles import GOLDEN, SuperMinHash, band_keys, shingle_sets
 
 BANDS, ROWS = 42, 6
-#: 64-bit words of a member's mask.
-MASKS = 8
+#: Slots in which the sketches of a linked pair may differ; 64-bit words of a sketch.
+DIFFER, WORDS = 86, 16
+#: Counters of how often elements occur, and the ratio of sizes in one size class.
+COUNTERS, SIZE_STEP = 1 << 17, 1.02
+_U = np.uint64
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"))
+    return docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"))
 
 
 def class_name() -> Column:
@@ -61,44 +69,60 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return pair[0], pair[1]
 
 
+def sketches(signed: np.ndarray) -> np.ndarray:
+    """(sets x WORDS): four bits of each slot."""
+    bits = np.zeros((len(signed), 16 * WORDS), np.uint64)
+    bits[:, : signed.shape[1]] = signed & _U(15)
+    return (bits.reshape(len(signed), WORDS, 16) << (_U(4) * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def differing(x: str, y: str) -> Column:
+    """The number of slots in which two sketches differ."""
+    total = F.lit(0)
+    for w in range(WORDS):
+        z = F.get(x, F.lit(w)).bitwiseXOR(F.get(y, F.lit(w)))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        total = total + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, h, n_shingles, f1, f2, keys) of each row of ``docs`` (doc_id, text, h); keys are null for empty sets."""
+    """(row, doc_id, h, n_shingles, f1, f2, keys, sketch) of each row of ``docs`` (doc_id, text, h); keys are null for empty sets, ``row`` is unique."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sign = SuperMinHash(bands * rows)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo, hi in slices(np.array([len(t or "") for t in texts]), 1 << 20):
-                sets = shingle_sets(texts[lo:hi], width)
-                keys = band_keys(sign(sets), bands, rows).view(np.int64)
-                f1, f2 = fingerprints(sets)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].astype("Int64"), "h": pdf["h"].iloc[lo:hi], "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "keys": [k if len(s) else None for k, s in zip(keys, sets, strict=True)]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
-    bound_batches(docs.sparkSession)
-    return docs.mapInPandas(tidied(run), "doc_id long, h long, n_shingles long, f1 long, f2 long, keys array<long>")
+        sign, row = SuperMinHash(bands * rows), TaskContext.get().partitionId() << 40
+        for pdf in frames:
+            sets = shingle_sets(pdf["text"].tolist(), width)
+            signed = sign(sets)
+            keys = band_keys(signed, bands, rows).view(np.int64)
+            f1, f2 = fingerprints(sets)
+            row += len(pdf)
+            yield pd.DataFrame({"row": np.arange(row - len(pdf), row), "doc_id": pdf["doc_id"], "h": pdf["h"], "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "keys": [k if len(s) else None for k, s in zip(keys, sets, strict=True)], "sketch": list(sketches(signed))})
+
+    return map_frames(docs, run, "row long, doc_id long, h long, n_shingles long, f1 long, f2 long, keys array<long>, sketch array<long>", "text", 1 << 20)
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     """(v, n, set) of each row of ``docs`` (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo, hi in slices(np.array([len(t or "") for t in texts]), 1 << 20):
-                sets = shingle_sets(texts[lo:hi], width)
-                f1, f2 = fingerprints(sets)
-                yield pd.DataFrame({"n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "set": [s.view(np.int64) for s in sets]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sets = shingle_sets(pdf["text"].tolist(), width)
+            f1, f2 = fingerprints(sets)
+            yield pd.DataFrame({"n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "set": [s.view(np.int64) for s in sets]})
 
-    bound_batches(docs.sparkSession)
-    made = docs.mapInPandas(tidied(run), "n_shingles long, f1 long, f2 long, set array<long>")
+    made = map_frames(docs.select("text"), run, "n_shingles long, f1 long, f2 long, set array<long>", "text", 1 << 20)
     return made.select(class_name().alias("v"), F.col("n_shingles").alias("n"), "set")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes na and nb of their sets, the sets, and how many elements they share."""
+    """The pairs (a, b) with the sizes na and nb of their sets, the sets, and how many elements they share; b's set goes to a's."""
     left = sets.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
     right = sets.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    return pairs.join(right, "b").join(left, "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
@@ -110,35 +134,117 @@ def linked(met: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def mask_words(rest: str) -> Column:
-    """Eight 64-bit words; each element of the column ``rest`` sets one of their 512 bits."""
-    one = "shiftleft(1L, CAST(shiftrightunsigned(x, 3) & 63 AS INT))"
-    return F.expr(f"transform(sequence(0, {MASKS - 1}), i -> aggregate(filter({rest}, x -> (x & {MASKS - 1}) = i), 0L, (got, x) -> got | {one}))")
-
-
-def _ones(words: list[Column]) -> Column:
-    total = F.lit(0)
-    for w in words:
-        total = total + F.bit_count(w)
-    return total
-
-
-def seen_from_head(starred: DataFrame, sets: DataFrame) -> DataFrame:
-    """The head-member pairs (a, b) with sizes, overlap, the mask m0..m7 of the member's rest, and its elements that share a bit."""
-    met = overlaps(starred, sets).withColumn("rest", F.array_except("sb", "sa")).select("a", "b", "na", "nb", "shared", mask_words("rest").alias("m"))
-    wide = met.select("a", "b", "na", "nb", "shared", *[F.get("m", i).alias(f"m{i}") for i in range(MASKS)])
-    return wide.withColumn("doubled", F.col("nb") - F.col("shared") - _ones([F.col(f"m{i}") for i in range(MASKS)]))
-
-
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one head and different components that the bound from the head doesn't rule out."""
-    names = ["v", "n", "c", "shared", "doubled", *[f"m{i}" for i in range(MASKS)]]
-    x, y = (members.select("head", *[F.col(n).alias(f"{side}_{n}") for n in names]) for side in "xy")
-    c = F.col
-    need = needed(c("x_n"), c("y_n"), percent) - F.least("x_shared", "y_shared")
-    common = _ones([c(f"x_m{i}").bitwiseAND(c(f"y_m{i}")) for i in range(MASKS)]) + F.least("x_doubled", "y_doubled")
-    met = x.join(y, "head").where((c("x_v") < c("y_v")) & (c("x_c") != c("y_c")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
-    return met.where((need <= F.least(c("x_n") - c("x_shared"), c("y_n") - c("y_shared"))) & (need <= common)).select(c("x_v").alias("a"), c("y_v").alias("b")).distinct()
+def likely(pairs: DataFrame, known: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches of ``known`` (v, n, sketch) don't rule out."""
+    x, y = known.toDF("a", "na", "xs"), known.toDF("b", "nb", "ys")
+    met = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    most = DIFFER * bands * rows / 252 if percent == 80 else bands * rows * (1 - percent / 100 + 0.16)
+    return met.where(differing("xs", "ys") <= most).select("a", "b")
+
+
+def size_class(n: Column | np.ndarray) -> Column | np.ndarray:
+    if isinstance(n, Column):
+        return F.floor(F.log(n) / F.lit(float(np.log(SIZE_STEP)))).cast("long")
+    return np.floor(np.log(n) / np.log(SIZE_STEP)).astype(np.int64)
+
+
+def _cell(head: int, size: int, elements: np.ndarray) -> np.ndarray:
+    """One key for a head, a size class and each of some elements."""
+    own = mix64(np.array([head], np.int64).view(np.uint64) + np.array([size + 1], np.int64).view(np.uint64) * GOLDEN)
+    return mix64(elements.view(np.uint64) ^ own).view(np.int64)
+
+
+def _counter(head: int, elements: np.ndarray) -> np.ndarray:
+    return (_cell(head, -1, elements).view(np.uint64) >> _U(20)).astype(np.int64) % COUNTERS
+
+
+def rarity(open_members: DataFrame) -> np.ndarray:
+    """How often the elements of each counter occur in the rests of ``open_members``; a fixed number of counters comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            rests = batch.column("rest")
+            for i, head in enumerate(batch.column("head").to_pylist()):
+                total += np.bincount(_counter(head, rests[i].values.to_numpy()), minlength=COUNTERS) if len(rests[i].values) > COUNTERS else 0
+                if len(rests[i].values) <= COUNTERS:
+                    np.add.at(total, _counter(head, rests[i].values.to_numpy()), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([used, total[used]], names=["counter", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in map_batches(open_members.select("head", "rest"), run, "counter long, n long").groupBy("counter").agg(F.sum("n")).collect():
+        out[r[0]] = r[1]
+    return out
+
+
+def meeting_keys(open_members: DataFrame, percent: int) -> DataFrame:
+    """(key, v, c, asks): under which keys members can be found by their rests, and for members outside their head's component, look for others.
+
+    ``open_members``: head, v, n, c, outside, shared (with the head), rest, sizes (the size classes under the head, sorted).
+    """
+    spark = open_members.sparkSession
+    counted = spark.sparkContext.broadcast(rarity(open_members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = counted.value
+        for batch in batches:
+            rests, classes = batch.column("rest"), batch.column("sizes")
+            rows = zip(*[batch.column(x).to_pylist() for x in ("head", "v", "n", "c", "outside", "shared")], strict=True)
+            keys, vs, cs, asks = [], [], [], []
+            total = 0
+
+            def put(found: np.ndarray, v: int, c: int, ask: bool) -> None:
+                nonlocal total
+                keys.append(found)
+                vs.append(np.full(len(found), v))
+                cs.append(np.full(len(found), c))
+                asks.append(np.full(len(found), ask))
+                total += len(found)
+
+            def out() -> pa.RecordBatch:
+                nonlocal total
+                made = pa.RecordBatch.from_arrays([np.concatenate(x) for x in (keys, vs, cs, asks)], names=["key", "v", "c", "asks"])
+                for x in (keys, vs, cs, asks):
+                    x.clear()
+                total = 0
+                return made
+
+            for i, (head, v, n, c, outside, shared) in enumerate(rows):
+                rest = rests[i].values.to_numpy()
+                put(_cell(head, int(size_class(np.float64(n))), rest), v, c, False)
+                if outside and len(rest):
+                    order = np.lexsort((rest, rare[_counter(head, rest)]))
+                    for size in classes[i].as_py():
+                        low, high = np.ceil(SIZE_STEP**size - 1e-6), SIZE_STEP ** (size + 1)
+                        if high * 100 < percent * n or low * percent > 100 * n:
+                            continue
+                        least = int(np.ceil(percent * (n + max(low, percent * n / 100)) / (100 + percent) - 1e-6)) - shared
+                        if 1 <= least <= len(rest):
+                            put(_cell(head, size, rest[order[: len(rest) - least + 1]]), v, c, True)
+                if total > 1 << 18:
+                    yield out()
+            if keys:
+                yield out()
+
+    return map_batches(open_members.select("head", "v", "n", "c", "outside", "shared", "rest", "sizes"), run, "key long, v long, c long, asks boolean")
+
+
+def across(open_members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one head and different components that what is known from the head doesn't rule out."""
+    keys = materialise(meeting_keys(open_members, percent), "keys")
+    ask, held = keys.where("asks").toDF("key", "a", "ca", "asks"), keys.where("not asks").toDF("key", "b", "cb", "held")
+    found = ask.join(held, "key").where("ca <> cb").select("a", "b")
+    # those for which the least number isn't positive for some smaller size
+    own = F.col("n"), F.col("shared")
+    lone = open_members.where(F.col("outside")).select("head", F.col("v").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("shared").alias("sa"), F.explode("sizes").alias("size"))
+    low = F.greatest(F.ceil(F.pow(F.lit(SIZE_STEP), F.col("size").cast("double")) - 1e-6).cast("double"), F.col("na") * percent / 100)
+    high = F.pow(F.lit(SIZE_STEP), F.col("size").cast("double") + 1)
+    lone = lone.where((high * 100 >= percent * F.col("na")) & (low * percent <= 100 * F.col("na"))).where(needed(F.col("na"), low, percent) - F.col("sa") < 1)
+    others = open_members.select("head", size_class(own[0]).alias("size"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("shared").alias("sb"))
+    met = lone.join(others, ["head", "size"]).where("ca <> cb")
+    met = met.where(needed(F.col("na"), F.col("nb"), percent) <= F.least("sa", "sb") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))).select("a", "b")
+    return found.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def bucket_heads(met: DataFrame) -> DataFrame:
@@ -150,39 +256,44 @@ def bucket_heads(met: DataFrame) -> DataFrame:
 
 def _groups(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, h, n_shingles, grouped (a name of the row's group, null if it takes no part), component_id, kept, per row of ``docs`` (doc_id, text, h)."""
-    signed = Table(signatures(docs, width, bands, rows), "signatures")
-    usable = signed.df.where("doc_id is not null and n_shingles > 0").withColumn("v", class_name())
-    classes = Table(usable.groupBy("v").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("v", "first.doc_id", "first.h"), "classes")
-
-    heads = usable.join(classes.df, ["doc_id", "h", "v"], "left_semi")
-    banded = heads.select("v", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = Table(banded.join(materialise(buckets, "buckets"), "key"), "met")
-    members = Table(met.df.join(bucket_heads(met.df), "key").select("head", "v", "n").distinct(), "members")
-    met.drop()
-    starred = members.df.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b"))
-
-    involved = materialise(classes.df.join(members.df.select("v").distinct(), "v", "left_semi").select("doc_id", "h"), "involved")
-    wanted = by_bucket(docs, "doc_id", involved)[0].join(involved, ["doc_id", "h"], "left_semi")
-    sets = Table(whole_sets(wanted, width), "sets")
-    seen = Table(seen_from_head(starred, sets.df), "seen")
-    links = linked(seen.df, percent)
-
-    first = materialise(stars(links), "placed")
-    placed = members.df.join(first, "v", "left").select("head", "v", "n", F.coalesce("component", "v").alias("c"))
-    mixed = placed.groupBy("head").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("head")
-    profile = seen.df.drop("na", "nb").withColumnsRenamed({"a": "head", "b": "v"})
-    whole = {"shared": F.col("n")} | {k: F.lit(0).cast("long") for k in ("doubled", *[f"m{i}" for i in range(MASKS)])}
-    open_members = Table(placed.join(mixed, "head").join(profile, ["head", "v"], "left").withColumns({k: F.coalesce(k, v) for k, v in whole.items()}), "open")
-    pairs = across(open_members.df, percent).join(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = Table(linked(overlaps(pairs, sets.df), percent), "links")
-    groups = stars(links.union(more.df))
-
-    named = Table(classes.df.join(groups, "v", "left").select("v", "doc_id", F.col("component").isNotNull().alias("tied"), F.coalesce("component", "v").alias("grouped")), "named")
-    heads_of = groups.select(F.col("component").alias("v")).distinct()
-    tied = named.df.where("tied").unionByName(named.df.join(heads_of, "v", "left_semi").where("not tied"))
-    least = tied.groupBy("grouped").agg(F.min("doc_id").alias("low"))
-    labelled = named.df.join(least, "grouped", "left").select("v", "grouped", F.coalesce("low", "doc_id").alias("component"))
+    with scratch() as own:
+        signed = own.keep(Table(signatures(docs, width, bands, rows), "signatures"))
+        usable = signed.df.where("doc_id is not null and n_shingles > 0").withColumn("v", class_name())
+        classes = materialise(usable.groupBy("v").agg(F.min(F.struct("doc_id", "h", "row")).alias("first")).select("v", "first.doc_id", "first.h", "first.row"), "classes")
+
+        heads = usable.join(classes, "row", "left_semi")
+        banded = heads.select("v", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+        buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = Table(banded.join(materialise(buckets, "buckets"), "key"), "met")
+        members = materialise(met.df.join(bucket_heads(met.df), "key").select("head", "v", "n").distinct(), "members")
+        met.drop()
+        starred = members.where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b"))
+
+        involved = materialise(classes.join(members.select("v").distinct(), "v", "left_semi"), "involved")
+        wanted = by_bucket(docs, "doc_id", involved.select("doc_id"))[0].join(involved.select("doc_id", "h"), ["doc_id", "h"], "left_semi")
+        once = wanted.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+        sets = materialise(whole_sets(once, width), "sets")
+        seen = materialise(overlaps(starred, sets).select("a", "b", "na", "nb", "shared", F.array_except("sb", "sa").alias("rest")), "seen")
+        links = linked(seen, percent)
+
+        first = materialise(stars(links), "placed")
+        placed = members.join(first, "v", "left").select("head", "v", "n", F.coalesce("component", "v").alias("c"))
+        mixed = placed.groupBy("head").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("v") == F.col("head"), F.col("c"))).alias("hc"), F.sort_array(F.collect_set(size_class(F.col("n")))).alias("sizes")).where("low < high")
+        profile = seen.select(F.col("a").alias("head"), F.col("b").alias("v"), "shared", "rest")
+        opened = placed.join(mixed.select("head", "hc", "sizes"), "head").join(profile, ["head", "v"], "left")
+        none = F.array().cast("array<long>")
+        opened = opened.select("head", "v", "n", "c", (F.col("c") != F.coalesce("hc", F.lit(-1))).alias("outside"), F.coalesce("shared", "n").alias("shared"), F.coalesce("rest", none).alias("rest"), "sizes")
+        opened = materialise(opened, "open")
+        known = heads.select("v", F.col("n_shingles").alias("n"), "sketch")
+        pairs = materialise(likely(across(opened, percent), known, percent, bands, rows), "pairs")
+        more = linked(overlaps(pairs, sets), percent)
+        groups = stars(links.union(more))
+
+        named = materialise(classes.join(groups, "v", "left").select("v", "doc_id", F.col("component").isNotNull().alias("tied"), F.coalesce("component", "v").alias("grouped")), "named")
+        heads_of = groups.select(F.col("component").alias("v")).distinct()
+        tied = named.where("tied").unionByName(named.join(heads_of, "v", "left_semi").where("not tied"))
+        least = tied.groupBy("grouped").agg(F.min("doc_id").alias("low"))
+        labelled = own.result(named.join(least, "grouped", "left").select("v", "grouped", F.coalesce("low", "doc_id").alias("component")), "grouped")
     of_row = signed.df.withColumn("v", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), class_name())).join(labelled, "v", "left")
     component = F.coalesce("component", "doc_id")
     return of_row.select("doc_id", "h", "n_shingles", "grouped", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -195,13 +306,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, of its smallest id; rows go by id and text, as ids may repeat."""
-    found = materialise(_groups(_slim(docs, id_col, text_col), width, percent).where("grouped is not null"), "groups")
-    own = found.where("kept").groupBy("grouped", "doc_id").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("copies"))
-    stays = own.select("doc_id", "h", "grouped")
-    gone = materialise(found.where("not kept").select("doc_id", "h").union(found.where("kept").join(stays, ["doc_id", "h", "grouped"], "left_anti").select("doc_id", "h")).toDF("__id", "__h").distinct(), "gone")
-    again = materialise(own.where("copies > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "again")
-    maybe, stay = by_bucket(docs, id_col, gone.select("__id").union(again.select("__id")))
-    keyed = maybe.withColumn("__id", F.col(f"`{id_col}`").cast("long")).withColumn("__h", F.xxhash64(F.col(f"`{text_col}`").cast("string"))).join(gone, ["__id", "__h"], "left_anti")
+    id_, hash_ = own_name(docs, "id"), own_name(docs, "hash")
+    with scratch() as scope:
+        found = materialise(_groups(_slim(docs, id_col, text_col), width, percent).where("grouped is not null"), "groups")
+        own = found.where("kept").groupBy("grouped", "doc_id").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("copies"))
+        stays = own.select("doc_id", "h", "grouped")
+        gone = scope.result(found.where("not kept").select("doc_id", "h").union(found.where("kept").join(stays, ["doc_id", "h", "grouped"], "left_anti").select("doc_id", "h")).toDF(id_, hash_).distinct(), "gone")
+        again = scope.result(own.where("copies > 1").select(F.col("doc_id").alias(id_), F.col("h").alias(hash_)), "again")
+    maybe, stay = by_bucket(docs, id_col, gone.select(id_).union(again.select(id_)))
+    keyed = maybe.withColumn(id_, whole_id(maybe, id_col)).withColumn(hash_, F.xxhash64(F.col(f"`{text_col}`").cast("string"))).join(gone, [id_, hash_], "left_anti")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    once = keyed.join(again, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
-    return stay.unionByName(keyed.join(again, ["__id", "__h"], "left_anti").select(*names)).unionByName(once.select(*names))
+    once = keyed.join(again, [id_, hash_], "left_semi").dropDuplicates([id_, hash_])
+    return stay.unionByName(keyed.join(again, [id_, hash_], "left_anti").select(*names)).unionByName(once.select(*names))

@@ -7,7 +7,7 @@ the free capacities. Groups are independent, so no task holds more than its grou
 and checksums are shuffled. With thousands of rests a group, first-fit decreasing leaves next to no room.
 
 Cases. Null or empty text: a document of only the end id. Repeated ids and rows: each row is a document
-of its own. Extra columns are ignored. An empty table gives an empty result. A very long text gives as
+of its own. Ids are cast to long; one that can't be is null. Extra columns are ignored. An empty table gives an empty result. A very long text gives as
 many pieces as it needs.
 """
 
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix64, slices, tidied
+from .common import map_frames, mix64, whole_id
 from .tokens import chunk_ids, word_bpe_path
 
 SEQ_LEN, END_ID, GROUP_ROWS = 2048, 1, 4096
@@ -75,35 +76,32 @@ def cut(ids: bytes, seq_len: int) -> Iterator[tuple[int, int, int]]:
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, n_groups: int, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
     """The pieces of each document, with the group that it is dealt to."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         ids_of, end, row = chunk_ids(path), np.asarray([end_id], "<u4").tobytes(), 0
         part = np.uint64(TaskContext.get().partitionId())
-        for pdf in batches:
-            texts = pdf["text"].fillna("").tolist()
-            groups = mix64((part << np.uint64(40)) + np.arange(row, row + len(texts), dtype=np.uint64) + np.uint64(1)) % np.uint64(n_groups)
-            row += len(texts)
-            for lo, hi in slices(np.array([len(t) for t in texts])):
-                out = []
-                for doc, group, ids in zip(pdf["id"][lo:hi], groups[lo:hi], ids_of.encode(texts[lo:hi]), strict=True):
-                    ids += end
-                    out += [(int(group), doc, s, n, c, len(ids) // 4) for s, n, c in cut(ids, seq_len)]
-                yield pd.DataFrame(out, columns=["grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
-
-    bound_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInPandas(tidied(run), "grp long, " + PIECES)
+        for pdf in frames:
+            groups = mix64((part << np.uint64(40)) + np.arange(row, row + len(pdf), dtype=np.uint64) + np.uint64(1)) % np.uint64(n_groups)
+            row += len(pdf)
+            out = []
+            for doc, group, ids in zip(pdf["id"], groups, ids_of.encode([t or "" for t in pdf["text"]]), strict=True):
+                ids += end
+                out += [(int(group), doc, s, n, c, len(ids) // 4) for s, n, c in cut(ids, seq_len)]
+            yield pd.DataFrame(out, columns=["grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    slim = docs.select(whole_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return map_frames(slim, run, "grp long, " + PIECES, "text")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per piece: where it starts in its document and where it lies in which sequence."""
     n_groups = max(1, -(-docs.count() // group_rows))
 
-    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), seq_len)
-        pdf["sequence_id"], pdf["offset"] = (key[0] << 32) + bins, offsets
-        return pdf.drop(columns="grp").astype({"doc_id": "Int64"})
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), seq_len)
+        placed = rows.drop_columns("grp").append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins))
+        return placed.append_column("offset", pa.array(offsets))
 
-    return pieces(docs, id_col, text_col, path or word_bpe_path(), n_groups, seq_len, end_id).groupBy("grp").applyInPandas(place, PACKED)
+    return pieces(docs, id_col, text_col, path or word_bpe_path(), n_groups, seq_len, end_id).groupBy("grp").applyInArrow(place, PACKED)

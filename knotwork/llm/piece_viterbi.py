@@ -37,7 +37,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix64, slices, tidied
+from .common import map_frames, mix64
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -46,8 +46,10 @@ _P = _U(0x9E3779B97F4A7C15)
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Cells (words x positions x lengths) scored at once, and words kept.
 CELLS, CACHED = 1 << 21, 400_000
-#: Characters of texts whose words are searched together; more words of a length share the steps.
-TOGETHER = 6 << 20
+#: Bytes and rows of texts whose words are searched together; more words of a length share the steps.
+TOGETHER, TOGETHER_ROWS = 6 << 20, 4_000
+#: Characters of the longest word that is remembered; the cache is bounded in bytes, too.
+REMEMBERED = 64
 
 
 def model_path() -> str:
@@ -264,7 +266,11 @@ class Pieces:
         if len(self.cache) > CACHED:
             self.cache = {w: self.cache[w] for w in needed if w in self.cache}
         self.learn(needed - self.cache.keys())
-        return [b"".join([self.cache[w] for w in words]) for words in split]
+        out = [b"".join([self.cache[w] for w in words]) for words in split]
+        for w in needed:
+            if len(w) > REMEMBERED:
+                del self.cache[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the space that normalising put in front is taken off."""
@@ -279,15 +285,12 @@ def pieces(path: str, kind: str = "bpe") -> Pieces:
 def _each(df: DataFrame, id_col: str, column: str, made: str, kind: str, step: object) -> DataFrame:
     """(doc_id, made) with ``step`` applied to lists of values of a column."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = pdf["x"].tolist()
-            for lo, hi in slices(np.array([len(v) if v is not None else 0 for v in values]), TOGETHER):
-                yield pdf.iloc[lo:hi][["doc_id"]].assign(**{made: step(values[lo:hi])})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf[["doc_id"]].assign(**{made: step(pdf["x"].tolist())})
 
-    bound_batches(df.sparkSession, 3000, 8)
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{column}`").alias("x")).mapInPandas(tidied(run), f"doc_id {id_type}, {made} {kind}")
+    return map_frames(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{column}`").alias("x")), run, f"doc_id {id_type}, {made} {kind}", "x", TOGETHER, TOGETHER_ROWS)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, kind: str = "bpe") -> DataFrame:
@@ -306,20 +309,18 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per text: how many pieces and byte pieces, the ids' checksum, the decoded text's digest, and whether it is the text."""
     path = path or model_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pieces(path, kind)
         in_bytes = np.isin(np.arange(own.processor.get_piece_size()), list(own.byte_ids.values()))
-        for pdf in batches:
+        for pdf in frames:
             texts = [t or "" for t in pdf["text"]]
-            for lo, hi in slices(np.array([len(t) for t in texts]), TOGETHER):
-                coded = own.encode(texts[lo:hi])
-                back = [own.decode(c) for c in coded]
-                yield pdf.iloc[lo:hi][["doc_id"]].assign(
-                    n_pieces=[len(c) // 4 for c in coded], n_byte_pieces=[int(in_bytes[np.frombuffer(c, "<u4")].sum()) for c in coded], ids_crc32=[zlib.crc32(c) for c in coded],
-                    decoded_sha256=[hashlib.sha256(b.encode("utf-8", "replace")).hexdigest() for b in back], round_trip=[b == t for b, t in zip(back, texts[lo:hi], strict=True)],
-                )
-
-    bound_batches(docs.sparkSession, 3000, 8)
+            coded = own.encode(texts)
+            back = [own.decode(c) for c in coded]
+            yield pdf[["doc_id"]].assign(
+                n_pieces=[len(c) // 4 for c in coded], n_byte_pieces=[int(in_bytes[np.frombuffer(c, "<u4")].sum()) for c in coded], ids_crc32=[zlib.crc32(c) for c in coded],
+                decoded_sha256=[hashlib.sha256(b.encode("utf-8", "replace")).hexdigest() for b in back], round_trip=[b == t for b, t in zip(back, texts, strict=True)],
+            )
+
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInPandas(tidied(run), f"doc_id {id_type}, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return map_frames(slim, run, f"doc_id {id_type}, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean", "text", TOGETHER, TOGETHER_ROWS)

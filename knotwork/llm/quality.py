@@ -1,8 +1,8 @@
 """Quality scores: naive Bayes support vectors over character n-gram indicators.
 
-A text's features are which hashed character 1- to 3-grams it holds, and one for about how many those are. Each indicator is scaled by the log ratio of its
+A text's features are which hashed character 1- and 2-grams it holds, and one for about how many those are. Each indicator is scaled by the log ratio of its
 smoothed frequency among good and bad documents, each text's vector by its length, and a linear model with
-squared hinge loss is fitted by dual coordinate descent (Wang and Manning 2012; Hsieh et al. 2008). A
+hinge loss is fitted by dual coordinate descent (Wang and Manning 2012; Hsieh et al. 2008). A
 logistic curve fitted to the margins of a fifth of the sample, which the model doesn't see, turns
 margins into scores between 0 and 1.
 
@@ -12,8 +12,8 @@ their number is fixed (``DIMS``).
 
 Cases. Null and empty texts: scored as texts without words, so all alike. Labels that are null are left
 out; a document with several labels takes the smallest. Labels of one kind only, or none: every score is
-that label's, or 0.5. Repeated rows get equal scores. Extra columns are ignored. Very long texts are cut into
-windows whose indicators are united. An empty table gives an empty result.
+that label's, or 0.5. Repeated rows get equal scores. Extra columns are ignored by ``score`` and pass through ``keep_good``. Very long texts are
+cut into overlapping windows, which have the uncut text's indicators. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,26 +25,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_of_id, tidied, tidy
-from .langid import grams, sampled, windows
+from .common import crc_of_id, map_frames, own_name, text_function
+from .langid import WINDOW, grams, sampled
 
-DIMS, ORDERS, TRAIN_ROWS = 1 << 18, (1, 2, 3), 8_000
+DIMS, ORDERS, TRAIN_ROWS, COST = 1 << 18, (1, 2), 8_000, 0.1
 #: Features for the number of others.
 COUNTS = 64
 THRESHOLD = 0.7
 
 
-def indicators(texts: list[str | None], dims: int = DIMS) -> list[np.ndarray]:
+def indicators(texts: list[str | None], dims: int = DIMS, orders: tuple[int, ...] = ORDERS, most: int = WINDOW) -> list[np.ndarray]:
     """The sorted distinct features of each text; the last one stands for their number, on a scale of half powers of two."""
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    hashed = dims - COUNTS
-    for rows, part in windows([t or "" for t in texts]):
-        whose, which = grams(part, hashed, ORDERS, lower=False)
+    hashed, rows = dims - COUNTS, [t or "" for t in texts]
+    found = [np.empty(0, np.int32) for _ in rows]
+    for whose, which in grams(rows, hashed, orders, lower=False, most=most):
+        if not len(whose):
+            continue
         both = np.unique(whose * np.int64(hashed) + which)
-        bounds = np.searchsorted(both, np.arange(len(part) + 1) * np.int64(hashed))
-        for k, row in enumerate(rows):
-            out[row].append((both[bounds[k] : bounds[k + 1]] % hashed).astype(np.int32))
-    found = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in out]
+        lo, hi = int(both[0] // hashed), int(both[-1] // hashed) + 1
+        bounds = np.searchsorted(both, np.arange(lo, hi + 1) * np.int64(hashed))
+        for row in range(lo, hi):
+            own = (both[bounds[row - lo] : bounds[row - lo + 1]] % hashed).astype(np.int32)
+            found[row] = own if not len(found[row]) else np.union1d(found[row], own)
     return [np.append(x, np.int32(hashed + int(2 * np.log2(len(x) + 1)))) for x in found]
 
 
@@ -55,21 +57,20 @@ def log_count_ratio(rows: list[np.ndarray], good: np.ndarray, dims: int, alpha:
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, dims: int, cost: float, rounds: int = 30, tolerance: float = 0.05) -> tuple[np.ndarray, float]:
-    """(weights, bias) that minimise the squared hinge loss with an L2 penalty; ends when all gradients are small."""
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, dims: int, cost: float, rounds: int = 60, tolerance: float = 0.05) -> tuple[np.ndarray, float]:
+    """(weights, bias) that minimise the hinge loss, ``cost`` a row, with an L2 penalty; ends when all projected gradients are small."""
     w, bias, alpha, sign = np.zeros(dims), 0.0, np.zeros(len(rows)), np.where(good, 1.0, -1.0)
-    diagonal = 1 / (2 * cost)
-    norm = np.array([v @ v + 1 + diagonal for v in values])
+    norm = np.array([v @ v + 1 for v in values])
     order = np.random.default_rng(7)
     for _ in range(rounds):
         worst = 0.0
         for i in order.permutation(len(rows)):
             at, v = rows[i], values[i]
-            slope = sign[i] * (w[at] @ v + bias) - 1 + diagonal * alpha[i]
-            if alpha[i] == 0 and slope >= 0:
+            slope = sign[i] * (w[at] @ v + bias) - 1
+            if (alpha[i] == 0 and slope >= 0) or (alpha[i] == cost and slope <= 0):
                 continue
             worst = max(worst, abs(slope))
-            moved = max(0.0, alpha[i] - slope / norm[i]) - alpha[i]
+            moved = min(cost, max(0.0, alpha[i] - slope / norm[i])) - alpha[i]
             alpha[i] += moved
             w[at] += moved * sign[i] * v
             bias += moved * sign[i]
@@ -109,7 +110,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * margins + self.curve[1], -35, 35)))
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray, dims: int = DIMS, cost: float = 1.0) -> Model:
+def fit(rows: list[np.ndarray], good: np.ndarray, dims: int = DIMS, cost: float = COST) -> Model:
     """A model from indicator rows and their labels; every fifth row only serves the score curve."""
     good = np.asarray(good, bool)
     if len(set(good.tolist())) < 2:
@@ -132,16 +133,15 @@ def fit(rows: list[np.ndarray], good: np.ndarray, dims: int = DIMS, cost: float
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
     """A model from the documents that ``labels`` marks 1 or 0; see the module for the sample."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].astype("string"), "good": pdf["good"], "row": [r.tobytes() for r in indicators(pdf["text"].tolist())]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"id": pdf["id"], "good": pdf["good"], "row": [r.tobytes() for r in indicators(pdf["text"].tolist())]})
 
-    bound_batches(docs.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("q")).where("id is not null and q is not null").groupBy("id").agg((F.min("q") > 0).alias("good"))
     few = sampled(marks, "id", train_rows, marks.count())
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    got = texts.join(F.broadcast(few), "id").select(F.col("id").cast("string").alias("id"), "good", "text").mapInPandas(tidied(run), "id string, good boolean, row binary").toPandas()
-    got = got.sort_values("id", kind="stable")
+    known = texts.join(F.broadcast(few), "id").select(F.col("id").cast("string").alias("id"), "good", "text")
+    got = map_frames(known, run, "id string, good boolean, row binary", "text").toPandas().sort_values(["id", "row"], kind="stable")
     return fit([np.frombuffer(r, np.int32) for r in got["row"]], got["good"].to_numpy(bool))
 
 
@@ -149,15 +149,12 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A column function from texts to scores, with the model broadcast."""
     shared = spark.sparkContext.broadcast((model.weights, model.squares, model.bias, model.curve))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def step() -> Callable[[list[str | None]], list]:
         own = Model.__new__(Model)
         own.weights, own.squares, own.bias, own.curve = shared.value
-        for texts in batches:
-            yield pd.Series(own.score(texts.tolist()))
-        tidy()
+        return lambda texts: own.score(texts).tolist()
 
-    bound_batches(spark)
-    return F.pandas_udf(run, "double").asNondeterministic()
+    return text_function(spark, step, "double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -168,8 +165,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with all their columns."""
-    scored = docs.withColumn("__score", scorer(docs.sparkSession, model)(F.col(f"`{text_col}`")))
-    return scored.where(F.col("__score") >= threshold).drop("__score")
+    name = own_name(docs, "score")
+    scored = docs.withColumn(name, scorer(docs.sparkSession, model)(F.col(f"`{text_col}`")))
+    return scored.where(F.col(name) >= threshold).drop(name)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,41 +1,47 @@
 """Training-order materialisation: token sequences at permuted slots of fixed-stride binary shards.
 
-1. One pass encodes the documents of each partition, one after another with an end id each, cuts the stream into
-   sequences of ``seq_len`` ids (the last one of a partition is padded) and writes them, compressed, to a table in
-   the shared folder.
-2. Counts per partition give each sequence its number. A keyed Feistel network over the next power of four permutes
-   numbers; walking its cycle until the value is below the number of sequences makes it a permutation of them. The value is the sequence's slot.
-3. Sequences go to the partition of their shard, are sorted by slot, and each partition writes one file of records of
+1. One pass encodes the documents, each with an end id that the vocabulary doesn't have, and writes their ids to a table in the shared folder,
+   with the number of ids that came before in their partition.
+2. The partitions' totals, one row each, make this a place in one stream of all ids, which is cut into sequences of ``seq_len``; only
+   the last is padded. A keyed Feistel network over the next power of four permutes sequence numbers; walking its cycle until
+   the value is below the number of sequences makes it a permutation of them. The value is the sequence's slot.
+3. Pieces of sequences go to the partition of their shard, are sorted by slot and place, and each partition writes one file of records of
    one stride through Spark's file writer, so a lost executor's shard is written again and no half file stays.
 
 A record is a header (slot, first document and the ids of it that came before, documents, ids, checksum) and the
 ids, two bytes each while the vocabulary allows; a line feed ends it. Slot s is record s mod
-``shard_rows`` of shard s div ``shard_rows``, so reading can resume anywhere; ``read_slots`` opens only the shards it needs.
+``shard_rows`` of shard s div ``shard_rows``, so reading can resume anywhere; ``read_slots`` opens only the shards it needs. As the end id is no token,
+documents can be told apart in what is read. Shards grow with the data, from ``LEAST_ROWS`` to ``MOST_ROWS`` records, so that there are few thousands of them.
 
-Cases. Null or empty text: only the end id. A null id is stored as the smallest integer and read back as null. Repeated rows and
+The stream is in the order of the rows as they are read; another split of the input gives another order. With ``by_id`` documents are sorted by id and
+text first, at the price of one more shuffle of the texts; then the same rows and key give the same shards on any cluster.
+
+Cases. Null or empty text: only the end id. A null id, or one that is no integer, is stored as the smallest integer and read back as null. Repeated rows and
 ids: each row is a document. Extra columns are ignored. A very long text fills as many sequences as it needs. An empty
 table gives an empty folder and no rows.
 """
 
 from __future__ import annotations
 
-import struct
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import Table, new_path
-from .common import bound_batches, mix64, slices, tidied
+from .common import map_batches, map_frames, mix64, whole_id
 from .tokens import chunk_ids, word_bpe_path
 
-SEQ_LEN, END_ID, SHARD_ROWS, KEY, ROUNDS = 2048, 1, 4096, 20_261, 6
-HEADER = "<qqqIII"
-HEADER_BYTES = struct.calcsize(HEADER)
+SEQ_LEN, KEY, ROUNDS = 2048, 20_261, 6
+#: Records of the smallest and the largest shard, and shards from which on they grow.
+LEAST_ROWS, MOST_ROWS, MANY_SHARDS = 4096, 1 << 18, 4096
+HEADER = np.dtype([("slot", "<i8"), ("doc", "<i8"), ("start", "<i8"), ("n_docs", "<u4"), ("n_ids", "<u4"), ("crc", "<u4")])
 NO_ID = -(1 << 63)
 _U = np.uint64
 
@@ -58,113 +64,143 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the shards are and how their records look."""
+    """Where the shards are and how their records look; ``end_id`` ends each document."""
 
     path: str
     sequences: int
     seq_len: int
     shard_rows: int
     id_bytes: int
+    end_id: int
 
     @property
     def stride(self) -> int:
-        return HEADER_BYTES + self.seq_len * self.id_bytes + 1
+        return HEADER.itemsize + self.seq_len * self.id_bytes + 1
 
     @property
     def shards(self) -> int:
         return -(-self.sequences // self.shard_rows)
 
 
-def sequences(docs: DataFrame, id_col: str, text_col: str, path: str, seq_len: int, end_id: int, id_bytes: int) -> DataFrame:
-    """(part, k, first_doc, first_start, n_docs, n_ids, crc, ids): the sequences of each partition; ids are compressed."""
-    names = ["part", "k", "first_doc", "first_start", "n_docs", "n_ids", "crc", "ids"]
+def rows_of_shard(sequences: int) -> int:
+    """A power of two."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << (-(-sequences // MANY_SHARDS) - 1).bit_length()))
+
+
+def coded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, id_bytes: int) -> DataFrame:
+    """(part, at, doc, n, ids) of each row: its ids, and how many of its partition come before."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, k, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
-        ids_of, kind, end = chunk_ids(path), f"<u{id_bytes}", np.asarray([end_id], "<u4").tobytes()
-        # what no sequence holds yet: ids, the documents they are of, and where those begin (below 0 if before the first id)
-        held, held_docs, held_starts = np.empty(0, kind), np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def rows(cuts: np.ndarray, ids: np.ndarray, docs_of: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
-            """The sequences between neighbouring ``cuts`` of ``ids``."""
-            nonlocal k
-            first, last = np.searchsorted(starts, cuts[:-1], "right") - 1, np.searchsorted(starts, cuts[1:] - 1, "right") - 1
-            raw = [ids[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-            out = [part, k + np.arange(len(raw)), docs_of[first], cuts[:-1] - starts[first], last - first + 1, np.diff(cuts), [zlib.crc32(r) for r in raw], [pack.compress(r) for r in raw]]
-            k += len(raw)
-            return pd.DataFrame(dict(zip(names, out, strict=True)))
-
-        for pdf in batches:
-            texts, docs_in = pdf["text"].fillna("").tolist(), pdf["id"].fillna(NO_ID).astype("int64").to_numpy()
-            for lo, hi in slices(np.array([len(t) for t in texts])):
-                raw = ids_of.encode(texts[lo:hi])
-                lengths = np.array([len(r) // 4 + 1 for r in raw])
-                starts = np.concatenate([held_starts, len(held) + np.cumsum(lengths) - lengths])
-                docs_of = np.concatenate([held_docs, docs_in[lo:hi]])
-                ids = np.concatenate([held, np.frombuffer(end.join(raw) + end, "<u4").astype(kind)])
-                full = len(ids) // seq_len * seq_len
-                if full:
-                    yield rows(np.arange(0, full + 1, seq_len), ids, docs_of, starts)
-                keep = np.searchsorted(starts, full, "right") - 1 if full < len(ids) else len(starts)
-                held, held_docs, held_starts = ids[full:], docs_of[keep:], starts[keep:] - full
-        if len(held):
-            yield rows(np.array([0, len(held)]), held, held_docs, held_starts)
-
-    bound_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInPandas(tidied(run), "part long, k long, first_doc long, first_start long, n_docs long, n_ids long, crc long, ids binary")
-
-
-def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, out: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, key: int = KEY, vocabulary: int = 49_408) -> Layout:
-    """Write the shards of all documents to the folder ``out`` (a new one in the shared folder, if not given)."""
-    spark = docs.sparkSession
-    id_bytes = 2 if vocabulary <= 1 << 16 else 4
-    cut = Table(sequences(docs, id_col, text_col, path or word_bpe_path(), seq_len, end_id, id_bytes), "sequences")
-    counts = cut.df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    base = np.concatenate([[0], np.cumsum([r["n"] for r in counts], dtype=np.int64)]) if counts else np.zeros(1, np.int64)
-    layout = Layout(out or new_path(spark, "shards"), int(base[-1]), seq_len, shard_rows, id_bytes)
-    start = dict(zip([r["part"] for r in counts], base[:-1].tolist(), strict=True))
-
-    def slot_of(part: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series(feistel(part.map(start).to_numpy(np.int64) + k.to_numpy(), layout.sequences, key))
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            rows = zip(pdf["slot"], pdf["first_doc"], pdf["first_start"], pdf["n_docs"], pdf["n_ids"], pdf["crc"], pdf["ids"], strict=True)
-            yield pd.DataFrame({"record": [struct.pack(HEADER, *r[:6]) + unpack.decompress(r[6]).ljust(seq_len * id_bytes, b"\0") for r in rows]})
-
-    if layout.sequences:
-        bound_batches(spark)
-        placed = cut.df.withColumn("slot", F.pandas_udf(slot_of, "long").asNondeterministic()("part", "k")).drop("part", "k")
-        dealt = placed.repartitionById(layout.shards, F.expr(f"CAST(slot DIV {shard_rows} AS INT)")).sortWithinPartitions("slot")
-        lines = dealt.mapInPandas(tidied(records), "record binary").select(F.col("record").cast("string"))
-        lines.write.option("compression", "none").option("lineSep", "\n").text(layout.path)
-    cut.drop()
+        part, before, ids_of = TaskContext.get().partitionId(), 0, chunk_ids(path)
+        end = np.asarray([end_id], f"<u{id_bytes}").tobytes()
+        for pdf in frames:
+            ids = [np.frombuffer(x, "<u4").astype(f"<u{id_bytes}").tobytes() + end for x in ids_of.encode([t or "" for t in pdf["text"]])]
+            n = np.array([len(x) // id_bytes for x in ids], np.int64)
+            yield pd.DataFrame({"part": part, "at": before + np.cumsum(n) - n, "doc": pdf["id"], "n": n, "ids": ids})
+            before += int(n.sum())
+
+    slim = docs.select(F.coalesce(whole_id(docs, id_col), F.lit(NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return map_frames(slim, run, "part long, at long, doc long, n long, ids binary", "text")
+
+
+PIECE = "slot long, place long, doc long, start long, starts long, ids binary"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], base: dict[int, int], layout: Layout, key: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``coded`` as pieces of sequences: slot, place there, the document of the first id and its ids before, documents that start, ids."""
+    for batch in batches:
+        part, at, doc, n = (batch.column(i).to_numpy() for i in range(4))
+        data = batch.column(4)
+        begin = np.array([base[int(p)] for p in part], np.int64) + at
+        # runs of neighbouring documents of the stream, which are cut as one
+        heads = np.flatnonzero(np.concatenate([[True], begin[1:] != begin[:-1] + n[:-1]]))
+        out = []
+        for lo, hi in zip(heads, np.append(heads[1:], len(n)), strict=True):
+            first, last = int(begin[lo]), int(begin[hi - 1] + n[hi - 1])
+            cuts = np.unique(np.concatenate([[first, last], np.arange(-(-first // layout.seq_len) * layout.seq_len, last, layout.seq_len)]))
+            own = np.searchsorted(begin[lo:hi], cuts[:-1], "right") - 1 + lo
+            started = np.searchsorted(begin[lo:hi], cuts, "left")
+            raw = b"".join(data.slice(lo, hi - lo).to_pylist())
+            ids = [raw[(x - first) * layout.id_bytes : (y - first) * layout.id_bytes] for x, y in itertools.pairwise(cuts.tolist())]
+            slots = feistel(cuts[:-1] // layout.seq_len, layout.sequences, key)
+            out.append(pa.RecordBatch.from_arrays([slots, cuts[:-1] % layout.seq_len, doc[own], cuts[:-1] - begin[own], np.diff(started), pa.array(ids, pa.binary())], names=[x.split()[0] for x in PIECE.split(", ")]))
+        yield from out
+
+
+def _records(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Pieces, sorted by slot and place, as records."""
+
+    def record(slot: int, own: list[tuple]) -> bytes:
+        ids = b"".join([x[3] for x in own])
+        _, doc, start, _ = own[0]
+        head = np.array([(slot, doc, start, sum(x[0] for x in own) + (start > 0), len(ids) // layout.id_bytes, zlib.crc32(ids))], HEADER)
+        return head.tobytes() + ids.ljust(layout.seq_len * layout.id_bytes, b"\0")
+
+    now, own = None, []
+    for batch in batches:
+        done = []
+        for slot, doc, start, starts, ids in zip(*[batch.column(x).to_pylist() for x in ("slot", "doc", "start", "starts", "ids")], strict=True):
+            if slot != now:
+                if own:
+                    done.append(record(now, own))
+                now, own = slot, []
+            own.append((starts, doc, start, ids))
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["record"])
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array([record(now, own)], pa.binary())], names=["record"])
+
+
+def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, out: str | None = None, seq_len: int = SEQ_LEN, end_id: int | None = None, shard_rows: int | None = None, key: int = KEY, by_id: bool = False) -> Layout:
+    """Write the shards of all documents to the folder ``out`` (a new one in the shared folder, if not given).
+
+    ``end_id`` is the first id past the vocabulary, if not given.
+    """
+    spark, path = docs.sparkSession, path or word_bpe_path()
+    end_id = chunk_ids(path).tokenizer.get_vocab_size() if end_id is None else end_id
+    id_bytes = 2 if max(end_id, chunk_ids(path).tokenizer.get_vocab_size() - 1) < 1 << 16 else 4
+    if by_id:
+        order = [whole_id(docs, id_col), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))]
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = Table(coded(docs, id_col, text_col, path, end_id, id_bytes), "ids", codec="zstd")
+    base, total = {}, 0
+    for part, n in table.df.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
+        base[part], total = total, total + n
+    sequences = -(-total // seq_len)
+    layout = Layout(out or new_path(spark, "shards"), sequences, seq_len, shard_rows or rows_of_shard(sequences), id_bytes, end_id)
+    if sequences:
+        pieces = map_batches(table.df, lambda batches: _pieces(batches, base, layout, key), PIECE)
+        dealt = pieces.repartitionById(layout.shards, F.expr(f"CAST(slot DIV {layout.shard_rows} AS INT)")).sortWithinPartitions("slot", "place")
+        records = map_batches(dealt, lambda batches: _records(batches, layout), "record binary").select(F.col("record").cast("string"))
+        records.write.option("compression", "none").option("lineSep", "\n").text(layout.path)
+    table.drop()
     return layout
 
 
-def parse(record: bytes, layout: Layout) -> tuple:
-    """(slot, shard, position, doc_id, start, n_docs, n_tokens, checksum of the ids, whether it is the stored one)."""
-    slot, doc, start, n_docs, n_ids, crc = struct.unpack_from(HEADER, record)
-    found = zlib.crc32(record[HEADER_BYTES : HEADER_BYTES + n_ids * layout.id_bytes])
-    return slot, slot // layout.shard_rows, slot % layout.shard_rows, None if doc == NO_ID else doc, start, n_docs, n_ids, found, found == crc
+READ = "slot long, shard long, position long, doc_id long, start long, n_docs long, n_tokens long, ids_crc32 long, sound boolean, ids binary"
 
 
-READ = "slot long, shard long, position long, doc_id long, start long, n_docs long, n_tokens long, ids_crc32 long, sound boolean"
+def _read(records: Iterator[bytes], layout: Layout) -> Iterator[tuple]:
+    """What records hold, many at a time."""
+    kind = np.dtype([("head", HEADER), ("ids", f"V{layout.seq_len * layout.id_bytes}"), ("end", "V1")])
+    while some := list(itertools.islice(records, 1024)):
+        found = np.frombuffer(b"".join(some), kind)
+        head = found["head"]
+        ids = [x[: n * layout.id_bytes] for x, n in zip((r[HEADER.itemsize : -1] for r in some), head["n_ids"].tolist(), strict=True)]
+        crc = [zlib.crc32(x) for x in ids]
+        doc = [None if d == NO_ID else d for d in head["doc"].tolist()]
+        sound = (head["crc"] == np.array(crc, np.uint32)).tolist()
+        yield from zip(head["slot"].tolist(), (head["slot"] // layout.shard_rows).tolist(), (head["slot"] % layout.shard_rows).tolist(), doc, head["start"].tolist(), head["n_docs"].tolist(), head["n_ids"].tolist(), crc, sound, map(bytearray, ids), strict=True)
 
 
-def read_slots(spark: SparkSession, layout: Layout, first: int = 0, count: int | None = None) -> DataFrame:
-    """What the records of ``count`` slots from ``first`` hold; only the shards they lie in are opened."""
+def read_slots(spark: SparkSession, layout: Layout, first: int = 0, count: int | None = None, with_ids: bool = False) -> DataFrame:
+    """What the records of ``count`` slots from ``first`` hold, with their ids if asked; only the shards they lie in are opened."""
     last = min(layout.sequences, layout.sequences if count is None else first + count)
+    columns = READ if with_ids else READ.removesuffix(", ids binary")
     if first >= last:
-        return spark.createDataFrame([], READ)
+        return spark.createDataFrame([], columns)
     shards = range(first // layout.shard_rows, -(-last // layout.shard_rows))
     names = "part-*" if len(shards) == layout.shards else "{" + ",".join(f"part-{s:05d}-*" for s in shards) + "}"
-    rows = spark.sparkContext.binaryRecords(f"{layout.path}/{names}", layout.stride).map(lambda r: parse(r, layout))
-    return spark.createDataFrame(rows, READ).where((F.col("slot") >= first) & (F.col("slot") < last))
+    rows = spark.sparkContext.binaryRecords(f"{layout.path}/{names}", layout.stride).mapPartitions(lambda r: _read(r, layout) if with_ids else (x[:-1] for x in _read(r, layout)))
+    return spark.createDataFrame(rows, columns).where((F.col("slot") >= first) & (F.col("slot") < last))

@@ -10,7 +10,7 @@ import pytest
 from test_operators import plain_groups, plain_lines
 
 import corpus_pipeline
-from knotwork.llm import langid, quality, tokens
+from knotwork.llm import langid, near_dup, quality, tokens
 from knotwork.llm.queries import QUERIES
 
 WORDS = {"en": "the and of to in is that it on with".split(), "de": "der und die das nicht ist ein mit von zu".split()}
@@ -81,6 +81,26 @@ def test_stages(spark, folder):
     assert sum(r["length"] for r in last) == sum({r["doc_id"]: r["doc_tokens"] for r in last}.values())
 
 
+ODD = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "the and of " * 60_000, "en", "s", 660_000), (3, "the and of it " * 30, "en", "s", 420), (3, "the and of it " * 30, "en", "s", 420), (4, "the and of it " * 30, "en", None, None), (5, "\n" * 50, None, "s", 50)]
+
+
+@pytest.mark.parametrize("docs", [[], ODD], ids=["empty", "odd"])
+def test_odd_tables(spark, folder, tmp_path, docs):
+    """Empty tables, nulls in all columns, a long text, repeated rows and ties; extra columns with the stages' own names."""
+    path = f"file://{tmp_path}"
+    extra = "gone string, keeper string, `key` string, h1 string, v string, grouped string, found string, n_dropped string, `__score` string"
+    spark.createDataFrame([(*d, *["c"] * 9) for d in docs], f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(folder[2] if docs else [], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame, path).count() >= 0
+    kept = near_dup.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns and kept.where("grouped <> 'c' or `__score` <> 'c'").isEmpty()
+    if docs:
+        assert sorted(r["doc_id"] for r in kept.where("doc_id >= 3").collect()) == [3, 5] and kept.where("doc_id is null").count() == 1
+    assert corpus_pipeline.run(spark, path).count() >= 0
+
+
 @pytest.mark.parametrize("name", [k for k in QUERIES if k not in ("op5_html_text", "op9_nearest")])
 def test_queries_cover_all_documents(spark, folder, name):
     path, docs, _ = folder
