@@ -17,7 +17,7 @@ from knotwork.llm.common import table
 from knotwork.llm.line_dedup import dedup_lines
 from knotwork.llm.near_dup import drop_near_duplicates
 from knotwork.llm.packing import pack
-from knotwork.plans.storage import Table
+from knotwork.plans.storage import Table, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,7 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), f"stage-{name}").df
+        with scratch() as own:  # what a stage writes on its way goes when its result is written, and so does the result before it
+            after = own.keep(Table(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before:
+            before.drop()
+        docs, before = after.df, after
     return STAGES[-1][1](spark, docs, sf_dir)
