@@ -12,35 +12,41 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise, tidy
 from .components import stars
+from .forest import forest_labels
 from .graph import Graph
 from .traverse import bfs, component_roots, spanning_forest, tree_edges
-from .trees import labels, lca, non_tree
+from .trees import labels, lca, non_tree, related
 
 
 def auxiliary_links(graph: Graph, own: DataFrame) -> DataFrame:
-    """(a, b) between tree edges of one block; ``own`` holds the labels of the tree."""
-    cross = non_tree(graph, own).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    """(a, b) between tree edges of one block; ``own`` holds the labels of any spanning forest."""
+    x, y = own.select(F.col("v").alias("src"), F.col("pre").alias("px"), F.col("n_desc").alias("nx")), own.select(F.col("v").alias("dst"), F.col("pre").alias("py"), F.col("n_desc").alias("ny"))
+    apart = non_tree(graph, own).join(x, "src").join(y, "dst").where(~related(F.col("px"), F.col("nx"), F.col("py"), F.col("ny")))
+    cross = apart.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     upper = own.where("parent is not null").select(F.col("v").alias("parent"), F.col("pre").alias("pre_up"), F.col("n_desc").alias("n_up"))
     met = own.where("parent is not null").select("v", "parent", "low", "high").join(upper, "parent")
     return cross.union(met.where("low < pre_up or high >= pre_up + n_up").select(F.col("parent").alias("a"), F.col("v").alias("b")))
 
 
 @tidy("blocks")
-def edge_blocks(graph: Graph, certificate_first: bool = False) -> DataFrame:
+def edge_blocks(graph: Graph, certificate_first: bool = False, deep: bool = False) -> DataFrame:
     """(src, dst, block_src, block_dst): each edge and the smallest edge of its block.
 
     ``certificate_first`` finds the blocks on a sparse certificate, which has at most two edges a vertex, and gives each
-    edge left out the block that holds both its ends.
+    edge left out the block that holds both its ends. ``deep`` is for graphs of large diameter, such as meshes: the tree isn't breadth-first, which
+    takes a round a level, but any spanning forest, whose rounds are logarithmic.
     """
     if certificate_first:
         return _on_certificate(graph)
     graph = graph.stored()
-    own = labels(graph, spanning_forest(graph))
+    own = forest_labels(graph) if deep else labels(graph, spanning_forest(graph))
     found = stars(auxiliary_links(graph, own))
     block = materialise(own.where("parent is not null").join(found, "v", "left").select("v", "parent", F.coalesce("component", "v").alias("label")), "edge-labels")
     tree = block.select(F.least("v", "parent").alias("src"), F.greatest("v", "parent").alias("dst"), "label")
-    rest = non_tree(graph, own).join(block.select(F.col("v").alias("src"), F.col("label").alias("ls")), "src", "left").join(block.select(F.col("v").alias("dst"), F.col("label").alias("ld")), "dst", "left")
-    labelled = materialise(tree.union(rest.select("src", "dst", F.coalesce("ls", "ld"))), "labelled")
+    # an edge that isn't in the tree has the block of its end that comes later in preorder, which isn't above the other
+    number = own.select("v", "pre")
+    ends = non_tree(graph, own).join(number.toDF("src", "ps"), "src").join(number.toDF("dst", "pd"), "dst").select("src", "dst", F.when(F.col("ps") > F.col("pd"), F.col("src")).otherwise(F.col("dst")).alias("v"))
+    labelled = materialise(tree.union(ends.join(block.select("v", "label"), "v").select("src", "dst", "label")), "labelled")
     names = labelled.groupBy("label").agg(F.min(F.struct("src", "dst")).alias("first"))
     return labelled.join(names, "label").select("src", "dst", F.col("first.src").alias("block_src"), F.col("first.dst").alias("block_dst"))
 

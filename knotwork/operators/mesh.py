@@ -42,7 +42,7 @@ def ice_status(graph: Graph, grounded: DataFrame) -> DataFrame:
     ground = -1
     ties = grounded.select("v").distinct().join(graph.vertices, "v", "left_semi")
     tied = Graph(graph.edges.union(ties.select(F.lit(ground).cast("long").alias("src"), F.col("v").alias("dst"))), graph.extra).stored()
-    blocks = edge_blocks(tied)
+    blocks = edge_blocks(tied, deep=True)
     sizes = blocks.groupBy("block_src", "block_dst").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("src") == ground).cast("int")).alias("grounded"))
     solid = sizes.where("n > 1 and grounded = 1").select("block_src", "block_dst")
     kept = blocks.join(solid, ["block_src", "block_dst"], "left_semi").select(F.explode(F.array("src", "dst")).alias("v")).where(F.col("v") != ground).distinct()

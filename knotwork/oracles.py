@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from .functions.hashing import hash32_sql
 
-MAIN = "SELECT DISTINCT least(2 * l_partkey, 2 * l_suppkey + 1) AS src, greatest(2 * l_partkey, 2 * l_suppkey + 1) AS dst FROM lineitem WHERE l_quantity >= 50"
+MAIN = """SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM (
+    SELECT c_custkey * 8 AS x, CAST(c_nationkey AS BIGINT) * 8 + 2 AS y FROM customer UNION ALL SELECT s_suppkey * 8 + 1, CAST(s_nationkey AS BIGINT) * 8 + 2 FROM supplier
+    UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 8 + 2, CAST(n_regionkey AS BIGINT) * 8 + 3 FROM nation
+    UNION ALL SELECT user_id * 8, (dense_rank() OVER (ORDER BY event_type) - 1) * 8 + 4 FROM events)"""
 DENSE = "SELECT DISTINCT least(2 * l_partkey, 2 * l_suppkey + 1) AS src, greatest(2 * l_partkey, 2 * l_suppkey + 1) AS dst FROM lineitem"
 PLACES = """SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM (
     SELECT c_custkey * 4 AS x, CAST(c_nationkey AS BIGINT) * 4 + 2 AS y FROM customer UNION ALL SELECT s_suppkey * 4 + 1, CAST(s_nationkey AS BIGINT) * 4 + 2 FROM supplier
     UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 4 + 2, CAST(n_regionkey AS BIGINT) * 4 + 3 FROM nation)"""
 CUSTOMER_PART = """SELECT DISTINCT least(2 * o_custkey, 2 * l_partkey + 1) AS src, greatest(2 * o_custkey, 2 * l_partkey + 1) AS dst
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 50"""
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 TURNS = "SELECT DISTINCT x.conv_id * 1000 + x.turn AS src, y.conv_id * 1000 + y.turn AS dst FROM conversations x JOIN conversations y ON x.conv_id * 1000 + x.turn + 1 = y.conv_id * 1000 + y.turn"
 TURN_IDS = "SELECT DISTINCT conv_id * 1000 + turn AS v FROM conversations"
 
@@ -84,11 +87,17 @@ RMAT = f"""SELECT DISTINCT least(s, d) AS src, greatest(s, d) AS dst FROM (SELEC
 _END = "least(({c} % 25) * 12 + CAST(floor(pow(CAST(13 AS DOUBLE), {u} / CAST(4294967296 AS DOUBLE)) - 1) AS BIGINT), 299)"
 BLOCK_MODEL = f"""SELECT DISTINCT least(s, d) AS src, greatest(s, d) AS dst FROM (SELECT v AS s, w AS d FROM range(300) t(v), range(300) u(w) WHERE v < w AND v // 12 = w // 12 AND {hash32_sql("'b'", "v", "w")} < 2147483648
     UNION ALL SELECT {_END.format(c=hash32_sql("'b'", "'s'", "'c'", "id"), u=hash32_sql("'b'", "'s'", "id"))}, {_END.format(c=hash32_sql("'b'", "'d'", "'c'", "id"), u=hash32_sql("'b'", "'d'", "id"))} FROM range(300) t(id)) WHERE s <> d"""
-QUADS = """quads(q, n1, n2, n3, n4) AS (SELECT id, n1, n1 + 1, n1 + 8, n1 + 7 FROM (SELECT id, (id // 6) * 7 + id % 6 AS n1 FROM range(36) t(id))
-    UNION ALL SELECT id + 36, CASE WHEN id % 2 = 0 THEN (id // 2) * 6 // 3 ELSE 49 + id * 3 - 2 END, 49 + id * 3, 50 + id * 3, 51 + id * 3 FROM range(6) t(id))"""
-GROUND = "ground(v) AS (SELECT id FROM range(49) t(id) UNION ALL SELECT (id * 2 + 1) * 3 + 50 FROM range(3) t(id) WHERE id % 2 = 0)"
-MESH = f"""SELECT DISTINCT least(s, d) AS src, greatest(s, d) AS dst FROM (WITH {QUADS}
-    SELECT n1 AS s, n2 AS d FROM quads UNION ALL SELECT n2, n3 FROM quads UNION ALL SELECT n3, n4 FROM quads UNION ALL SELECT n4, n1 FROM quads)"""
+def quads(side: int, chains: int, links: int) -> str:
+    """The quads of the generated mesh: a grid, and chains of quads that hang by a corner."""
+    w = side + 1
+    return f"""quads(q, n1, n2, n3, n4) AS (SELECT id, n1, n1 + 1, n1 + {w + 1}, n1 + {w} FROM (SELECT id, (id // {side}) * {w} + id % {side} AS n1 FROM range({side * side}) t(id))
+    UNION ALL SELECT id + {side * side}, CASE WHEN id % {links} = 0 THEN (id // {links}) * {side} // {chains} ELSE {w * w} + id * 3 - 2 END, {w * w} + id * 3, {w * w + 1} + id * 3, {w * w + 2} + id * 3 FROM range({chains * links}) t(id))"""
+
+
+SIDES = "SELECT q, n1 AS s, n2 AS d FROM quads UNION ALL SELECT q, n2, n3 FROM quads UNION ALL SELECT q, n3, n4 FROM quads UNION ALL SELECT q, n4, n1 FROM quads"
+QUADS = quads(20, 5, 4)
+GROUND = "ground(v) AS (SELECT id FROM range(441) t(id) UNION ALL SELECT (id * 4 + 3) * 3 + 442 FROM range(5) t(id) WHERE id % 2 = 0)"
+MESH = f"SELECT DISTINCT least(s, d) AS src, greatest(s, d) AS dst FROM (WITH {QUADS} {SIDES})"
 STATUS = """tied(a, b) AS (SELECT a, b FROM sym UNION ALL SELECT -1, v FROM ground UNION ALL SELECT v, -1 FROM ground),
     lost(x, v) AS (SELECT x.v, CAST(-1 AS BIGINT) FROM (SELECT v FROM vtx UNION ALL SELECT -2) x UNION SELECT lost.x, tied.b FROM lost JOIN tied ON tied.a = lost.v WHERE tied.b <> lost.x),
     own(x, v) AS (SELECT v, CAST(-1 AS BIGINT) FROM ground UNION SELECT own.x, tied.b FROM own JOIN tied ON tied.a = own.v WHERE NOT (tied.a = -1 AND tied.b = own.x)),
@@ -111,14 +120,12 @@ ORACLE_SQL: dict[str, str] = {
     "edge_balanced_partition": sql("SELECT v, CAST(least(floor(coalesce(sum(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8 / (SELECT sum(degree) FROM deg)), 7) AS BIGINT) AS part FROM deg", "deg"),
     "edges_by_part": sql("""SELECT part, count(*) AS ends, count(DISTINCT a) AS vertices FROM sym JOIN (SELECT v, CAST(least(floor(coalesce(sum(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8
         / (SELECT sum(degree) FROM deg)), 7) AS BIGINT) AS part FROM deg) ON v = a GROUP BY part""", "deg"),
-    "spread_ids": sql("SELECT v, least((v % 16) * 65537 + v // 16, 1048575) AS id FROM vtx", "vtx"),
+    "spread_ids": sql("SELECT v, (v % 16) * 65537 + v // 16 AS id FROM vtx", "vtx"),
     "components": sql("SELECT v, c AS component FROM cc", "cc"),
-    "components_max_label": sql("SELECT v, max(v) OVER (PARTITION BY c) AS component FROM cc", "cc", edges=CUSTOMER_PART),
-    "component_stats": sql("SELECT count(*) AS components, max(n) AS largest, count(*) FILTER (n > 1) AS nontrivial FROM (SELECT count(*) AS n FROM cc GROUP BY c)", "cc", edges=CUSTOMER_PART),
-    "component_stats_turns": f"""WITH RECURSIVE e AS ({TURNS}), vtx AS ({TURN_IDS}), sym(a, b) AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), cc0(v, c) AS ({STEPS['cc0'][2]}),
-        cc AS (SELECT v, min(c) AS c FROM cc0 GROUP BY v) SELECT count(*) AS components, max(n) AS largest, count(*) FILTER (n > 1) AS nontrivial FROM (SELECT count(*) AS n FROM cc GROUP BY c)""",
-    "largest_component": sql(f"{_CUSTOMER_SIZES} ORDER BY size DESC, component DESC LIMIT 1", "cc", edges=CUSTOMER_PART),
-    "largest_component_edges": sql(f"SELECT src, dst FROM e JOIN cc ON v = src WHERE c = (SELECT c FROM (SELECT c, max(v) AS component, count(*) AS size FROM cc GROUP BY c) ORDER BY size DESC, component DESC LIMIT 1)", "cc", edges=CUSTOMER_PART),
+    "components_max_label": sql("SELECT v, max(v) OVER (PARTITION BY c) AS component FROM cc", "cc", edges=TURNS),
+    "component_stats": sql("SELECT count(*) AS components, max(n) AS largest, count(*) FILTER (n > 1) AS nontrivial FROM (SELECT count(*) AS n FROM cc GROUP BY c)", "cc", edges=TURNS),
+    "largest_component": sql(f"{_CUSTOMER_SIZES} ORDER BY size DESC, component DESC LIMIT 1", "cc", edges=TURNS),
+    "largest_component_edges": sql(f"SELECT src, dst FROM e JOIN cc ON v = src WHERE c = (SELECT c FROM (SELECT c, max(v) AS component, count(*) AS size FROM cc GROUP BY c) ORDER BY size DESC, component DESC LIMIT 1)", "cc", edges=TURNS),
     "largest_component_relabelled": sql("""SELECT x.id AS src, y.id AS dst FROM e JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM cc WHERE c = (SELECT c FROM (SELECT c, max(v) AS m, count(*) AS n FROM cc GROUP BY c) ORDER BY n DESC, m DESC LIMIT 1)) x ON x.v = src
         JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM cc WHERE c = (SELECT c FROM (SELECT c, max(v) AS m, count(*) AS n FROM cc GROUP BY c) ORDER BY n DESC, m DESC LIMIT 1)) y ON y.v = dst""", "cc"),
     "component_of_vertex": sql("SELECT v FROM cc WHERE c = (SELECT c FROM cc WHERE v = 2)", "cc", edges=PLACES),
@@ -126,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "bfs_tree": sql("SELECT v, coalesce(parent, v) AS parent, level, root FROM tree", "tree"),
     "bfs_levels": sql("SELECT level, count(*) AS n, min(v) AS first, max(v) AS last FROM lev GROUP BY level", "lev"),
     "bfs_tree_places": sql("SELECT v, coalesce(parent, v) AS parent, level, root FROM tree", "tree", edges=PLACES),
-    "bottom_up_step": sql("SELECT v, parent FROM tree WHERE level = 3", "tree"),
+    "bottom_up_step": sql("SELECT v, parent FROM tree WHERE level = 2", "tree"),
     "bad_tree_rows": sql("SELECT v, parent, level FROM tree WHERE level < 0", "tree"),
     "children_rank": sql("""SELECT v, coalesce(parent, v) AS parent, CASE WHEN parent IS NOT NULL THEN row_number() OVER (PARTITION BY parent ORDER BY v) - 1 ELSE 0 END AS rank, (SELECT count(*) FROM tree k WHERE k.parent = tree.v) AS children FROM tree""", "tree"),
     "descendants": sql("SELECT v, n_desc FROM nd", "nd"),
@@ -169,13 +176,32 @@ ORACLE_SQL |= {
     "articulation_on_certificate": sql("SELECT v FROM art", "art"),
     "k_forests": sql("", "nt").rstrip() + SECOND + ", n2(src, dst) AS (SELECT src, dst FROM nt EXCEPT SELECT src, dst FROM fe)" + THIRD
     + " SELECT src, dst, CAST(0 AS BIGINT) AS forest FROM te UNION ALL SELECT src, dst, 1 FROM fe UNION ALL SELECT src, dst, 2 FROM ge",
-    "degree2_separators": sql("SELECT a AS v, min(b) AS a, max(b) AS b FROM sym GROUP BY sym.a HAVING count(*) = 2", "sym", edges=RING),
-    "separation_pairs": sql("", "vtx", edges=RING).rstrip() + """, pr(a, b) AS (SELECT x.v, y.v FROM vtx x JOIN vtx y ON x.v < y.v), rc(a, b, v) AS (SELECT a, b, (SELECT min(v) FROM vtx WHERE v <> pr.a AND v <> pr.b) FROM pr
-        UNION SELECT rc.a, rc.b, sym.b FROM rc JOIN sym ON sym.a = rc.v WHERE sym.b <> rc.a AND sym.b <> rc.b) SELECT a, b FROM rc GROUP BY a, b HAVING count(*) < (SELECT count(*) - 2 FROM vtx)""",
+    "degree2_separators": sql("SELECT a AS v, min(b) AS a, max(b) AS b FROM sym GROUP BY sym.a HAVING count(*) = 2", "sym"),
+    "separation_pairs": sql("", "blk").rstrip() + """, lb AS (SELECT src, dst FROM blk SEMI JOIN (SELECT block_src, block_dst, count(*) AS n FROM blk GROUP BY ALL ORDER BY n DESC, block_src, block_dst LIMIT 1) USING (block_src, block_dst)),
+        ls(a, b) AS (SELECT src, dst FROM lb UNION ALL SELECT dst, src FROM lb), lv(v) AS (SELECT DISTINCT a FROM ls), pr(a, b) AS (SELECT x.v, y.v FROM lv x JOIN lv y ON x.v < y.v),
+        rc(a, b, v) AS (SELECT a, b, (SELECT min(v) FROM lv WHERE v <> pr.a AND v <> pr.b) FROM pr UNION SELECT rc.a, rc.b, ls.b FROM rc JOIN ls ON ls.a = rc.v WHERE ls.b <> rc.a AND ls.b <> rc.b)
+        SELECT a, b FROM rc GROUP BY a, b HAVING count(*) < (SELECT count(*) - 2 FROM lv)""",
     "grid_mesh_edges": MESH,
     "boundary_nodes": sql("SELECT v FROM deg WHERE degree > 2", "deg"),
     "ground_sensitivity": f"""WITH {QUADS}, {GROUND}, corner AS (SELECT q, unnest([n1, n2, n3, n4]) AS v FROM quads), hit AS (SELECT q, v FROM corner SEMI JOIN ground USING (v))
         SELECT DISTINCT v FROM hit WHERE q IN (SELECT q FROM hit GROUP BY q HAVING count(*) >= 3)""",
+    "file_text_header": sql("SELECT src, dst FROM e"),
+    "file_text_edges": sql("SELECT src, dst FROM e"),
+    "file_packed_edges": sql("SELECT src, dst FROM e"),
+    "file_packed_wide": sql("SELECT src, dst FROM e"),
+    "file_text_adjacency": sql("SELECT x.id AS src, y.id AS dst FROM sym JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM vtx) x ON x.v = a JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM vtx) y ON y.v = b", "vtx"),
+    "file_binary_adjacency": sql("SELECT x.id AS src, y.id AS dst FROM sym JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM vtx) x ON x.v = a JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM vtx) y ON y.v = b", "vtx"),
+    "file_converted": sql("SELECT least(x.id, y.id) AS src, greatest(x.id, y.id) AS dst FROM e JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM vtx) x ON x.v = src JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM vtx) y ON y.v = dst", "vtx"),
+    "file_vertex_parts": sql("SELECT row_number() OVER (ORDER BY v) - 1 AS v, CAST(least(floor(coalesce(sum(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8 / (SELECT sum(degree) FROM deg)), 7) AS BIGINT) AS part FROM deg", "deg"),
+    "file_distribution": sql("SELECT degree AS d, count(*) AS nd, CAST(1 AS DOUBLE) / (1 + degree) AS cd FROM deg GROUP BY degree", "deg"),
+    "file_certificate": sql("", "nt").rstrip() + SECOND + " SELECT src, dst FROM te UNION ALL SELECT src, dst FROM fe",
+    "file_points": sql("SELECT v FROM art", "art"),
+    "file_labels": sql("SELECT v, c AS component FROM cc", "cc"),
+    "file_mesh": sql("SELECT 'quad side' AS kind, src, dst FROM e UNION ALL SELECT 'border', src, dst FROM e UNION ALL SELECT 'grounded', v, CAST(-1 AS BIGINT) FROM ground UNION ALL SELECT 'boundary', v, CAST(-1 AS BIGINT) FROM deg WHERE degree > 2", "deg", edges=MESH, extra=GROUND),
+    "edge_blocks_deep": sql("SELECT * FROM blk", "blk"),
+    "edge_blocks_mesh": f"""WITH {quads(100, 10, 20)}, side AS ({SIDES}), own AS (SELECT DISTINCT least(s, d) AS src, greatest(s, d) AS dst, CASE WHEN q < 10000 THEN -1 ELSE q END AS part FROM side)
+        SELECT src, dst, min(src) OVER (PARTITION BY part) AS block_src, CAST(arg_min(dst, src * 100000 + dst) OVER (PARTITION BY part) AS BIGINT) AS block_dst FROM own""",
+    "without_islands": ORACLE_SQL["largest_component_edges"],
     "ice_status": with_status("SELECT v, status FROM status"),
     "ice_removed": with_status("SELECT v + 1 AS node FROM status WHERE status <> 'kept'"),
     "gen_uniform": UNIFORM,
@@ -186,9 +212,10 @@ ORACLE_SQL |= {
 }
 #: The same questions of all line items, where the steps above answer them in seconds at scale 0.01. Blocks, cut vertices and bridges of the
 #: whole part-supplier graph take these steps too long; tests compare them with a depth-first search.
-CUSTOMER_WHOLE = CUSTOMER_PART.removesuffix(" WHERE l_quantity >= 50")
 WHOLE = """degrees degree_stats max_degree_root adjacency_rows edge_balanced_partition edges_by_part spread_ids components components_max_label
 component_stats largest_component largest_component_edges largest_component_relabelled wrong_components bfs_tree bfs_levels bottom_up_step bad_tree_rows
 children_rank descendants preorder preorder_euler low_high related_ends lca_nontree unlabelled_vertices nontree_components spanning_forest_nontree
 certificate k_forests boundary_nodes""".split()
-ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(MAIN, DENSE).replace(CUSTOMER_PART, CUSTOMER_WHOLE) for name in WHOLE}
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(MAIN, DENSE).replace(TURNS, CUSTOMER_PART) for name in WHOLE}
+#: A conversation of one turn is a vertex without edges.
+ORACLE_SQL |= {name: ORACLE_SQL[name].replace(STEPS["vtx"][2], TURN_IDS) for name in ("components_max_label", "component_stats", "largest_component", "largest_component_edges", "without_islands")}

@@ -10,25 +10,28 @@ from pyspark.sql import functions as F
 from .operators import blocks, certificate, generate, mesh, separation, traverse, trees
 from .operators import components as comp
 from .operators.graph import Graph, by_part, compare_sets, edge_balanced, room, spread_ids
-from .sources import tables
+from .plans.storage import new_path
+from .sources import edge_files, mesh_files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The mesh of the mesh queries: quads along a side, chains that hang from it, quads of a chain; and the side of the large one.
+MESH, CHAINS, LINKS, LARGE_MESH = 20, 5, 4, 100
 
 
-def main(spark: SparkSession, sf_dir: str) -> Graph:
-    return tables.part_supplier(spark, sf_dir).stored()
+def accounts(spark: SparkSession, sf_dir: str) -> Graph:
+    return tables.accounts(spark, sf_dir).stored()
 
 
 def whole(spark: SparkSession, sf_dir: str) -> Graph:
-    return tables.part_supplier(spark, sf_dir, None).stored()
+    return tables.part_supplier(spark, sf_dir).stored()
 
 
-def customers(spark: SparkSession, sf_dir: str) -> Graph:
-    return tables.customer_part(spark, sf_dir).stored()
+def turns(spark: SparkSession, sf_dir: str) -> Graph:
+    return tables.turns(spark, sf_dir).stored()
 
 
 def whole_customers(spark: SparkSession, sf_dir: str) -> Graph:
-    return tables.customer_part(spark, sf_dir, None).stored()
+    return tables.customer_part(spark, sf_dir).stored()
 
 
 def _forest(graph: Graph) -> tuple[Graph, DataFrame]:
@@ -48,12 +51,8 @@ def _blocks(graph: Graph) -> DataFrame:
     return blocks.edge_blocks(graph)
 
 
-def _ring(spark: SparkSession) -> Graph:
-    return Graph(generate.ring_with_chords(spark, 60, 4)).stored()
-
-
 def _mesh(spark: SparkSession) -> tuple[Graph, DataFrame]:
-    quads, grounded, _ = generate.ice_mesh(spark, 6, 3, 2)
+    quads, grounded, _ = generate.ice_mesh(spark, MESH, CHAINS, LINKS)
     return Graph(mesh.quad_edges(quads)).stored(), grounded
 
 
@@ -84,7 +83,90 @@ def _certified_points(graph: Graph) -> DataFrame:
 
 
 def _bottom_up(graph: Graph) -> DataFrame:
-    return traverse.bottom_up_step(*_forest(graph), 2)
+    return traverse.bottom_up_step(*_forest(graph), 1)
+
+
+def _separated(graph: Graph) -> DataFrame:
+    return separation.separation_pairs(Graph(blocks.largest_block(_blocks(graph))))
+
+
+def _deep_blocks(spark: SparkSession) -> DataFrame:
+    quads, _, _ = generate.ice_mesh(spark, LARGE_MESH, 10, 20)
+    return blocks.edge_blocks(Graph(mesh.quad_edges(quads)), deep=True)
+
+
+def _through_file(write: Callable[[Graph, str], None], read: Callable[[SparkSession, str], DataFrame], dense: bool = False) -> Callable[[Graph], DataFrame]:
+    """A query that writes the graph (with dense ids, if asked) to a file in the shared folder and reads it again."""
+
+    def run(graph: Graph) -> DataFrame:
+        graph = graph.relabelled()[0].stored() if dense else graph
+        spark = graph.edges.sparkSession
+        path = new_path(spark, "file")
+        write(graph, path)
+        return read(spark, path)
+
+    return run
+
+
+def _parts_file(graph: Graph) -> DataFrame:
+    dense = graph.relabelled()[0].stored()
+    path = new_path(dense.edges.sparkSession, "parts")
+    edge_files.write_vertex_parts(edge_balanced(dense.degrees(), 8), path)
+    return edge_files.vertex_parts(dense.edges.sparkSession, path)
+
+
+def _distribution_file(graph: Graph) -> DataFrame:
+    """Numbers of vertices by degree, written as line d of one file and a clustering of 1 / (1 + d) as line d of another."""
+    spark = graph.edges.sparkSession
+    found = graph.degrees().groupBy("degree").agg(F.count(F.lit(1)).alias("nd"))
+    every = spark.range(found.agg(F.max("degree")).first()[0] + 1).withColumnRenamed("id", "degree").join(found, "degree", "left")
+    lines = every.repartitionByRange("degree").sortWithinPartitions("degree")
+    paths = [new_path(spark, x) for x in ("degrees", "clustering")]
+    lines.select(F.coalesce("nd", F.lit(0)).cast("string")).write.text(paths[0])
+    lines.select((1 / (1 + F.col("degree"))).cast("string")).write.text(paths[1])
+    return edge_files.degree_distribution(spark, *paths).where("nd > 0")
+
+
+def _mesh_file(spark: SparkSession) -> DataFrame:
+    quads, grounded, _ = generate.ice_mesh(spark, MESH, CHAINS, LINKS)
+    nodes = (MESH + 1) ** 2 + 3 * CHAINS * LINKS
+    paths = [new_path(spark, x) for x in ("mesh", "ground", "border")]
+    border = mesh.quad_edges(quads).toDF("a", "b")
+    mesh_files.write_quad_mesh(quads, border, nodes, paths[0])
+    mesh_files.write_grounded(grounded, nodes, paths[1])
+    mesh_files.write_border(border, nodes, paths[2])
+    back, edges = mesh_files.quad_mesh(spark, paths[0])
+    found = mesh.quad_edges(back).select(F.lit("quad side").alias("kind"), "src", "dst")
+    ground = mesh_files.grounded_nodes(spark, paths[1]).select(F.lit("grounded"), "v", F.lit(-1).cast("long"))
+    inner = mesh.boundary_nodes(mesh_files.border_edges(spark, paths[2])).select(F.lit("boundary"), "v", F.lit(-1).cast("long"))
+    return found.union(edges.select(F.lit("border"), "a", "b")).union(ground).union(inner)
+
+
+def _certificate_file(graph: Graph) -> DataFrame:
+    path = new_path(graph.edges.sparkSession, "reduced")
+    edge_files.write_packed_edges(certificate.certificate(graph), path)
+    return edge_files.packed_edges(graph.edges.sparkSession, path)
+
+
+def _converted(graph: Graph) -> DataFrame:
+    """A text adjacency file, converted to packed pairs."""
+    spark = graph.edges.sparkSession
+    paths = [new_path(spark, x) for x in ("adjacency", "packed")]
+    edge_files.write_text_adjacency(graph.relabelled()[0].stored(), paths[0])
+    edge_files.convert(spark, paths[0], "adjacency", paths[1])
+    return edge_files.packed_edges(spark, paths[1])
+
+
+def _points_file(graph: Graph) -> DataFrame:
+    path = new_path(graph.edges.sparkSession, "points")
+    edge_files.write_vertex_ids(blocks.articulation_points(_blocks(graph)), path)
+    return edge_files.vertex_ids(graph.edges.sparkSession, path)
+
+
+def _labels_file(graph: Graph) -> DataFrame:
+    path = new_path(graph.edges.sparkSession, "labels")
+    edge_files.write_labels(comp.components(graph), path)
+    return graph.edges.sparkSession.read.parquet(path)
 
 
 def _partitioned(graph: Graph) -> DataFrame:
@@ -99,8 +181,8 @@ def _related(graph: Graph) -> DataFrame:
     return met.groupBy(trees.related(F.col("p1"), F.col("n1"), F.col("p2"), F.col("n2")).alias("related")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-#: Queries of the part-supplier graph, as callables of the graph.
-OF_PARTS: dict[str, Callable[[Graph], DataFrame]] = {
+#: Queries of a graph with blocks, bridges and cut vertices, as callables of it.
+OF_ACCOUNTS: dict[str, Callable[[Graph], DataFrame]] = {
     "degrees": lambda g: g.degrees(),
     "degree_stats": lambda g: g.degree_stats(),
     "max_degree_root": lambda g: g.root(),
@@ -143,38 +225,56 @@ OF_PARTS: dict[str, Callable[[Graph], DataFrame]] = {
     "k_forests": lambda g: certificate.forests(g, 2),
     "boundary_nodes": lambda g: mesh.boundary_nodes(g.edges.toDF("a", "b")),
 }
-#: The same for the customer-part graph.
-OF_CUSTOMERS: dict[str, Callable[[Graph], DataFrame]] = {
+#: The same for a graph of several components.
+OF_TURNS: dict[str, Callable[[Graph], DataFrame]] = {
     "components_max_label": lambda g: comp.max_label_components(g),
     "component_stats": lambda g: comp.component_stats(comp.components(g)),
     "largest_component": lambda g: comp.largest_component(comp.max_label_components(g)),
     "largest_component_edges": lambda g: comp.keep_largest(g).edges,
 }
+#: Files of the graph's data, written and read again.
+OF_FILES: dict[str, Callable[[Graph], DataFrame]] = {
+    "file_text_header": _through_file(edge_files.write_text_with_header, edge_files.text_with_header),
+    "file_text_edges": _through_file(lambda g, p: edge_files.write_text_edges(g.edges, p), edge_files.text_edges),
+    "file_packed_edges": _through_file(lambda g, p: edge_files.write_packed_edges(g.edges, p), edge_files.packed_edges),
+    "file_packed_wide": _through_file(lambda g, p: edge_files.write_packed_edges(g.edges, p, 8), lambda s, p: edge_files.packed_edges(s, f"{p}/part-*", 8)),
+    "file_text_adjacency": _through_file(edge_files.write_text_adjacency, edge_files.text_adjacency, dense=True),
+    "file_binary_adjacency": _through_file(edge_files.write_binary_adjacency, edge_files.binary_adjacency, dense=True),
+    "file_vertex_parts": _parts_file,
+    "file_distribution": _distribution_file,
+    "file_certificate": _certificate_file,
+    "file_converted": _converted,
+    "file_points": _points_file,
+    "file_labels": _labels_file,
+}
 
 
 def _on(source: Callable[[SparkSession, str], Graph], query: Callable[[Graph], DataFrame]) -> Query:
     return lambda s, d: query(source(s, d))
 
 
-#: On the line items of quantity 50, as the SQL of these names says.
-QUERIES: dict[str, Query] = {name: _on(main, q) for name, q in OF_PARTS.items()} | {name: _on(customers, q) for name, q in OF_CUSTOMERS.items()}
+#: On all customers, suppliers, nations and events, on all turns of conversations, and on files.
+QUERIES: dict[str, Query] = {name: _on(accounts, q) for name, q in (OF_ACCOUNTS | OF_FILES).items()} | {name: _on(turns, q) for name, q in OF_TURNS.items()}
 #: On all line items.
-QUERIES |= {f"{name}_whole": _on(whole, q) for name, q in OF_PARTS.items()} | {f"{name}_whole": _on(whole_customers, q) for name, q in OF_CUSTOMERS.items()}
+QUERIES |= {f"{name}_whole": _on(whole, q) for name, q in OF_ACCOUNTS.items()} | {f"{name}_whole": _on(whole_customers, q) for name, q in OF_TURNS.items()}
 QUERIES |= {
-    "component_stats_turns": lambda s, d: comp.component_stats(comp.components(tables.turns(s, d).stored())),
     "component_of_vertex": lambda s, d: comp.component_of(tables.places(s, d).stored(), 2),
     "bfs_tree_places": lambda s, d: _own_parent(traverse.spanning_forest(tables.places(s, d).stored())),
     "bcc_counts_places": lambda s, d: blocks.counts(blocks.edge_blocks(tables.places(s, d).stored())),
     "certificate_dense": _dense_certificate,
-    "degree2_separators": lambda s, d: separation.degree_two_pairs(_ring(s)),
-    "separation_pairs": lambda s, d: separation.separation_pairs(_ring(s)),
+    "degree2_separators": _on(accounts, separation.degree_two_pairs),
+    "separation_pairs": _on(accounts, _separated),
     "grid_mesh_edges": lambda s, d: _mesh(s)[0].edges,
-    "ground_sensitivity": lambda s, d: mesh.sensitive_ground(*generate.ice_mesh(s, 6, 3, 2)[:2], 3),
+    "file_mesh": lambda s, d: _mesh_file(s),
+    "edge_blocks_mesh": lambda s, d: _deep_blocks(s),
+    "edge_blocks_deep": _on(accounts, lambda g: blocks.edge_blocks(g, deep=True)),
+    "ground_sensitivity": lambda s, d: mesh.sensitive_ground(*generate.ice_mesh(s, MESH, CHAINS, LINKS)[:2], 3),
     "ice_status": lambda s, d: mesh.ice_status(*_mesh(s)).select("v", "status"),
     "ice_removed": lambda s, d: mesh.removed_nodes(mesh.ice_status(*_mesh(s))),
+    "without_islands": lambda s, d: mesh.without_islands(turns(s, d)).edges,
     "gen_uniform": lambda s, d: generate.uniform(s, 500, 2000),
     "gen_rmat": lambda s, d: generate.recursive_matrix(s, 8, 2000),
     "gen_high_diameter": lambda s, d: generate.high_diameter(s, 400, 2, 5),
-    "gen_ring": lambda s, d: _ring(s).edges,
+    "gen_ring": lambda s, d: generate.ring_with_chords(s, 60, 4),
     "gen_block_model": lambda s, d: generate.block_model(s, 300, 12, 0.5, 300)[0],
 }

@@ -30,3 +30,29 @@ def grounded_nodes(spark: SparkSession, path: str) -> DataFrame:
     """(v) with a positive number in a file of the number of nodes and a number for each."""
     rows = numbered(spark, path).where("trim(value) <> ''")
     return rows.where("line > 0 and cast(trim(value) as double) > 0").select((F.col("line") - 1).alias("v"))
+
+
+def write_quad_mesh(quads: DataFrame, border: DataFrame, nodes: int, path: str) -> None:
+    """A mesh file of ``nodes`` nodes (q, n1..n4 and a, b count from 0; places of nodes are written as 0 0 0)."""
+    spark = quads.sparkSession
+    counts = f"{nodes} {quads.count()} {border.count()}"
+    first = spark.createDataFrame([("mesh",), (counts,)], "value string").coalesce(1)
+    points = spark.range(nodes).select(F.lit("0 0 0").alias("value"))
+    corners = quads.repartitionByRange("q").sortWithinPartitions("q").select(F.concat_ws(" ", *[F.col(f"n{i}") + 1 for i in range(1, 5)]))
+    first.union(points).union(corners).union(border.select(F.concat_ws(" ", F.col("a") + 1, F.col("b") + 1))).write.text(path)
+
+
+def write_grounded(grounded: DataFrame, nodes: int, path: str) -> None:
+    """A file of the number of nodes, and 1.0 or 0.0 for each."""
+    spark = grounded.sparkSession
+    own = spark.range(nodes).join(grounded.select(F.col("v").alias("id"), F.lit("1.0").alias("x")).distinct(), "id", "left")
+    rows = own.repartitionByRange("id").sortWithinPartitions("id").select(F.coalesce("x", F.lit("0.0")).alias("value"))
+    spark.range(1, numPartitions=1).select(F.lit(str(nodes)).alias("value")).union(rows).write.text(path)
+
+
+def write_border(border: DataFrame, nodes: int, path: str) -> None:
+    """A border file without lines to skip but those of the nodes: two words, three counts, the nodes, then ``a b 1``."""
+    spark = border.sparkSession
+    first = spark.createDataFrame([("border edges",), (f"{nodes} 0 {border.count()}",)], "value string").coalesce(1)
+    points = spark.range(nodes).select(F.lit("0 0 0").alias("value"))
+    first.union(points).union(border.select(F.concat_ws(" ", F.col("a") + 1, F.col("b") + 1, F.lit(1)))).write.text(path)

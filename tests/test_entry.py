@@ -21,7 +21,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["degrees", "edge_blocks", "preorder_euler", "certificate", "component_stats", "gen_rmat", "separation_pairs"])
+@pytest.mark.parametrize("name", ["degrees", "edge_blocks", "preorder_euler", "certificate", "component_stats", "gen_rmat", "file_text_header", "file_mesh", "file_binary_adjacency"])
 def test_against_sql(spark, name):
     import duckdb
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import struct
 
 import pytest
@@ -10,6 +11,7 @@ from knotwork.functions.prefix import arg_max, dense_ids, running_sum
 from knotwork.operators import generate, mesh
 from knotwork.operators.graph import Graph, canonical
 from knotwork.sources import edge_files, mesh_files
+from knotwork.sources.lines import head, numbered
 
 
 def found(df):
@@ -42,8 +44,45 @@ def test_packed_edges(spark, tmp_path):
 def test_packed_round_trip(spark, tmp_path, id_bytes):
     edges = spark.createDataFrame([(1, 2), (2, 3), (0, 9), (2, 3)], "src long, dst long")
     edge_files.write_packed_edges(edges, f"{tmp_path}/out{id_bytes}", id_bytes)
-    back = canonical(edge_files.packed_edges(spark, f"{tmp_path}/out{id_bytes}/part-*", id_bytes))
-    assert found(back) == {(1, 2), (2, 3), (0, 9)}
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / f"out{id_bytes}").glob("part-*")))
+    pairs = list(struct.iter_unpack({4: "<II", 8: "<QQ"}[id_bytes], raw))
+    assert sorted(pairs) == [(0, 9), (1, 2), (2, 3)]
+    assert found(edge_files.packed_edges(spark, f"{tmp_path}/out{id_bytes}", id_bytes)) == {*pairs}
+    far = spark.createDataFrame([(1, 2**32 - 1), (2, 2**31), (3, 2**24 + 1), (5, 6)], "src long, dst long")
+    edge_files.write_packed_edges(far.repartition(4), f"{tmp_path}/far{id_bytes}", id_bytes)
+    raw = b"".join(p.read_bytes() for p in (tmp_path / f"far{id_bytes}").glob("part-*"))
+    assert sorted(struct.iter_unpack({4: "<II", 8: "<QQ"}[id_bytes], raw)) == [(1, 2**32 - 1), (2, 2**31), (3, 2**24 + 1), (5, 6)]
+    edge_files.write_packed_edges(far.where("false"), f"{tmp_path}/none{id_bytes}", id_bytes)
+
+
+def test_order_of_files_and_splits(spark, tmp_path):
+    """Lines are counted over files by name, whatever their sizes and splits."""
+    (tmp_path / "many").mkdir()
+    want, rng = [], random.Random(4)
+    for k in range(5):
+        own = [f"{k} {i}" + "x" * rng.randrange(60) for i in range(rng.randrange(1, 400))]
+        put(tmp_path, f"many/part-{k}", "\n".join(own) + "\n")
+        want += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert [r["value"] for r in numbered(spark, f"{tmp_path}/many").orderBy("line").collect()] == want
+        assert [r["line"] for r in numbered(spark, f"{tmp_path}/many").orderBy("line").collect()] == list(range(len(want)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert head(spark, f"{tmp_path}/many", 2) == [x.split() for x in want[:2]]
+
+
+def test_written_graphs(spark, tmp_path):
+    graph = Graph.from_edges(spark.createDataFrame([(0, 1), (1, 4), (4, 0), (6, 4)], "src long, dst long")).stored()
+    edge_files.write_text_with_header(graph, f"{tmp_path}/h")
+    assert head(spark, f"{tmp_path}/h", 1) == [["4", "4"]] and found(edge_files.text_with_header(spark, f"{tmp_path}/h")) == found(graph.edges)
+    edge_files.write_text_adjacency(graph, f"{tmp_path}/a")
+    both = found(graph.sym)
+    assert found(edge_files.text_adjacency(spark, f"{tmp_path}/a")) == both
+    edge_files.write_binary_adjacency(graph, f"{tmp_path}/b")
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "b").glob("part-*")))
+    assert list(struct.unpack(f"<{len(raw) // 8}Q", raw)) == [7, 0, 2, 5, 0, 1, 5, 0, 0, 0, 1, 2, 7, 0, 0, 5, 0]
+    assert found(edge_files.binary_adjacency(spark, f"{tmp_path}/b")) == both
 
 
 def test_adjacency(spark, tmp_path):

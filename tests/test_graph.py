@@ -7,7 +7,7 @@ import random
 import pytest
 
 import brute
-from knotwork.operators import blocks, certificate, separation, traverse, trees
+from knotwork.operators import blocks, certificate, forest, separation, traverse, trees
 from knotwork.operators import components as comp
 from knotwork.operators.graph import Graph, compare_sets, edge_balanced, room, spread_ids
 from knotwork.sources import tables
@@ -71,6 +71,25 @@ def test_blocks(spark, shapes):
     assert found(blocks.points_on_forest(graph)) == {(v,) for v in brute.articulation(edges)}
 
 
+def test_blocks_of_deep_graphs(spark, shapes):
+    """Blocks by a forest of any depth, and that forest's own labels."""
+    edges, graph = shapes
+    got = blocks.edge_blocks(graph, deep=True)
+    assert {((r[0], r[1]), (r[2], r[3])) for r in got.collect()} == set(brute.blocks(edges).items())
+    tree = {r["v"]: r for r in forest.rooted(forest.forest_edges(graph)).collect()}
+    known = brute.components([e for e in edges if e[0] != e[1]])
+    assert {v: r["root"] for v, r in tree.items()} == known
+    inside = {(a, b) for a in tree for b in tree if tree[a]["root"] == tree[b]["root"] and tree[a]["pre"] <= tree[b]["pre"] < tree[a]["pre"] + tree[a]["n_desc"]}
+    for v, r in tree.items():
+        above, up = [], v
+        while up is not None:
+            above.append(up)
+            up = tree[up]["parent"]
+        assert len(above) == r["level"] + 1 and {a for a in above} == {a for a, b in inside if b == v}
+    adj = brute.neighbours(edges)
+    assert all(r["parent"] is None or r["parent"] in adj[v] for v, r in tree.items())
+
+
 def test_blocks_on_certificate(spark, shapes):
     edges, graph = shapes
     got = blocks.edge_blocks(graph, certificate_first=True)
