@@ -278,7 +278,7 @@ def _groups(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows:
 
         first = materialise(stars(links), "placed")
         placed = members.join(first, "v", "left").select("head", "v", "n", F.coalesce("component", "v").alias("c"))
-        mixed = placed.groupBy("head").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("v") == F.col("head"), F.col("c"))).alias("hc"), F.sort_array(F.collect_set(size_class(F.col("n")))).alias("sizes")).where("low < high")
+        mixed = materialise(placed.groupBy("head").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("v") == F.col("head"), F.col("c"))).alias("hc"), F.sort_array(F.collect_set(size_class(F.col("n")))).alias("sizes")).where("low < high"), "mixed")
         profile = seen.select(F.col("a").alias("head"), F.col("b").alias("v"), "shared", "rest")
         opened = placed.join(mixed.select("head", "hc", "sizes"), "head").join(profile, ["head", "v"], "left")
         none = F.array().cast("array<long>")
