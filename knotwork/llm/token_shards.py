@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import Table, new_path
+from ..sources.edge_files import records
 from .common import map_batches, map_frames, mix64, whole_id
 from .tokens import chunk_ids, word_bpe_path
 
@@ -181,17 +182,20 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 READ = "slot long, shard long, position long, doc_id long, start long, n_docs long, n_tokens long, ids_crc32 long, sound boolean, ids binary"
 
 
-def _read(records: Iterator[bytes], layout: Layout) -> Iterator[tuple]:
-    """What records hold, many at a time."""
-    kind = np.dtype([("head", HEADER), ("ids", f"V{layout.seq_len * layout.id_bytes}"), ("end", "V1")])
-    while some := list(itertools.islice(records, 1024)):
-        found = np.frombuffer(b"".join(some), kind)
-        head = found["head"]
-        ids = [x[: n * layout.id_bytes] for x, n in zip((r[HEADER.itemsize : -1] for r in some), head["n_ids"].tolist(), strict=True)]
-        crc = [zlib.crc32(x) for x in ids]
-        doc = [None if d == NO_ID else d for d in head["doc"].tolist()]
-        sound = (head["crc"] == np.array(crc, np.uint32)).tolist()
-        yield from zip(head["slot"].tolist(), (head["slot"] // layout.shard_rows).tolist(), (head["slot"] % layout.shard_rows).tolist(), doc, head["start"].tolist(), head["n_docs"].tolist(), head["n_ids"].tolist(), crc, sound, map(bytearray, ids), strict=True)
+def _read(batches: Iterator[pa.RecordBatch], layout: Layout, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """What records hold, a batch of them at a time."""
+    names = [x.split()[0] for x in READ.split(", ")]
+    for batch in batches:
+        column = batch.column(0)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, layout.stride) if len(column) else np.empty((0, layout.stride), np.uint8)
+        head = np.ascontiguousarray(raw[:, : HEADER.itemsize]).view(HEADER)[:, 0]
+        ends = HEADER.itemsize + head["n_ids"].astype(np.int64) * layout.id_bytes
+        crc = np.array([zlib.crc32(r[HEADER.itemsize : e]) for r, e in zip(raw, ends.tolist(), strict=True)], np.int64)
+        found = [head["slot"], head["slot"] // layout.shard_rows, head["slot"] % layout.shard_rows, pa.array(head["doc"], mask=head["doc"] == NO_ID), head["start"], head["n_docs"].astype(np.int64), head["n_ids"].astype(np.int64), crc, head["crc"] == crc]
+        if with_ids:
+            found.append(pa.array([r[HEADER.itemsize : e].tobytes() for r, e in zip(raw, ends.tolist(), strict=True)], pa.binary()))
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for x in found], names=names[: len(found)])
 
 
 def read_slots(spark: SparkSession, layout: Layout, first: int = 0, count: int | None = None, with_ids: bool = False) -> DataFrame:
@@ -202,5 +206,5 @@ def read_slots(spark: SparkSession, layout: Layout, first: int = 0, count: int |
         return spark.createDataFrame([], columns)
     shards = range(first // layout.shard_rows, -(-last // layout.shard_rows))
     names = "part-*" if len(shards) == layout.shards else "{" + ",".join(f"part-{s:05d}-*" for s in shards) + "}"
-    rows = spark.sparkContext.binaryRecords(f"{layout.path}/{names}", layout.stride).mapPartitions(lambda r: _read(r, layout) if with_ids else (x[:-1] for x in _read(r, layout)))
-    return spark.createDataFrame(rows, columns).where((F.col("slot") >= first) & (F.col("slot") < last))
+    found = map_batches(records(spark, f"{layout.path}/{names}", layout.stride), lambda batches: _read(batches, layout, with_ids), columns)
+    return found.where((F.col("slot") >= first) & (F.col("slot") < last))
