@@ -5,6 +5,10 @@
 3. ``lines``: long lines that three or more documents hold stay in one of them only; documents stay, even if left empty.
 4. ``near_duplicates``: of documents with word 5-shingles of similarity 0.8 or more, the one with the smallest id stays.
 5. ``packing``: the rest is packed into sequences of 2048 tokens; one row per piece.
+
+Cases. Empty tables give empty results. Null and empty texts go in the second stage, having no letter, if the first lets them pass. Repeated rows are one in the fourth;
+so are ties of documents that are near each other, by the smallest id. Rows without an id take part in all stages but the fourth, which keeps them. Long texts pass whole. Extra
+columns pass through the first, second and fourth stage, whatever their names, and go in the third.
 """
 
 from __future__ import annotations
