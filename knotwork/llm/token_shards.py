@@ -29,14 +29,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import Table, new_path
 from ..sources.edge_files import records
-from .common import map_batches, map_frames, mix64, whole_id
+from .common import cut, map_batches, mix64, whole_id
 from .tokens import chunk_ids, word_bpe_path
 
 SEQ_LEN, KEY, ROUNDS = 2048, 20_261, 6
@@ -91,19 +90,24 @@ def rows_of_shard(sequences: int) -> int:
 def coded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, id_bytes: int) -> DataFrame:
     """(part, at, doc, n, ids) of each row: its ids, and how many of its partition come before."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = np.dtype(f"<u{id_bytes}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, before, ids_of = TaskContext.get().partitionId(), 0, chunk_ids(path)
-        end = np.asarray([end_id], f"<u{id_bytes}").tobytes()
-        for pdf in frames:
-            ids = [np.frombuffer(x, "<u4").astype(f"<u{id_bytes}").tobytes() + end for x in ids_of.encode([t or "" for t in pdf["text"]])]
-            n = np.array([len(x) // id_bytes for x in ids], np.int64)
-            yield pd.DataFrame({"part": part, "at": before + np.cumsum(n) - n, "doc": pdf["id"], "n": n, "ids": ids})
+        end = np.asarray([end_id], "<u4").tobytes()
+        for batch in cut(batches, "text"):
+            raw = ids_of.encode([t or "" for t in batch.column("text").to_pylist()])
+            n = np.array([len(x) // 4 + 1 for x in raw], np.int64)
+            ids = np.frombuffer(end.join(raw) + end, "<u4").astype(kind)  # of all documents at once
+            offsets = np.concatenate([[0], np.cumsum(n) * id_bytes]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(before + np.cumsum(n) - n), batch.column("id"), pa.array(n), packed], names=["part", "at", "doc", "n", "ids"])
             before += int(n.sum())
 
     slim = docs.select(F.coalesce(whole_id(docs, id_col), F.lit(NO_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return map_frames(slim, run, "part long, at long, doc long, n long, ids binary", "text")
+    return map_batches(slim, run, "part long, at long, doc long, n long, ids binary")
 
 
 PIECE = "slot long, place long, doc long, start long, starts long, ids binary"
@@ -114,6 +118,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], base: dict[int, int], layout: Lay
     for batch in batches:
         part, at, doc, n = (batch.column(i).to_numpy() for i in range(4))
         data = batch.column(4)
+        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].tolist()
+        whole = memoryview(data.buffers()[2]) if len(data) else b""
         begin = np.array([base[int(p)] for p in part], np.int64) + at
         # runs of neighbouring documents of the stream, which are cut as one
         heads = np.flatnonzero(np.concatenate([[True], begin[1:] != begin[:-1] + n[:-1]]))
@@ -123,7 +129,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], base: dict[int, int], layout: Lay
             cuts = np.unique(np.concatenate([[first, last], np.arange(-(-first // layout.seq_len) * layout.seq_len, last, layout.seq_len)]))
             own = np.searchsorted(begin[lo:hi], cuts[:-1], "right") - 1 + lo
             started = np.searchsorted(begin[lo:hi], cuts, "left")
-            raw = b"".join(data.slice(lo, hi - lo).to_pylist())
+            raw = whole[offsets[lo] : offsets[hi]]
             ids = [raw[(x - first) * layout.id_bytes : (y - first) * layout.id_bytes] for x, y in itertools.pairwise(cuts.tolist())]
             slots = feistel(cuts[:-1] // layout.seq_len, layout.sequences, key)
             out.append(pa.RecordBatch.from_arrays([slots, cuts[:-1] % layout.seq_len, doc[own], cuts[:-1] - begin[own], np.diff(started), pa.array(ids, pa.binary())], names=[x.split()[0] for x in PIECE.split(", ")]))
