@@ -70,18 +70,20 @@ def clustered(spark: SparkSession, distribution: DataFrame, seed: str = "w") ->
     """(edges, communities) that follow a distribution (d, nd, cd): nd vertices of degree d with clustering cd.
 
     Vertices are listed by degree; each run of d + 1 vertices of degree d becomes a block whose pairs are joined with chance cbrt(cd). What is
-    left of each degree is drawn across blocks in proportion to it, and vertices of degree 1 get one such edge.
+    left of each degree is as many stubs, one at least; every second stub of a vertex is joined with one drawn from all, so both ends of edges across blocks follow
+    what is left.
     """
     from ..functions.prefix import running_sum
 
     starts = running_sum(distribution.where("nd > 0"), "d", "nd", "first")
-    total = distribution.agg(F.sum("nd")).first()[0] or 0
     vertex = starts.select("d", "cd", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nd") - 1)).alias("i")).select((F.col("first") + F.col("i")).alias("v"), "d", "cd", (F.col("first") * 2 + 1 + F.floor(F.col("i") / (F.col("d") + 1)) * 2 * (F.col("d") + 1)).cast("long").alias("community"), (F.col("i") % (F.col("d") + 1)).alias("place"), (F.col("first") + F.col("i") - F.col("i") % (F.col("d") + 1)).alias("head"))
     pairs = vertex.where("d > 1 and place > 0").select("v", "cd", F.explode(F.sequence("head", F.col("v") - 1)).alias("w"))
     dense = pairs.where(hash32(seed, F.col("v"), F.col("w")) < F.cbrt("cd") * (1 << 32)).select(F.col("w").alias("src"), F.col("v").alias("dst"))
     stubs = vertex.select("v", F.greatest(F.lit(1), F.round(F.col("d") * (1 - F.cbrt("cd")))).cast("int").alias("k"))
-    drawn = stubs.select("v", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("j")).where(F.col("j") % 2 == 1)
-    across = drawn.select(F.col("v").alias("src"), (hash32(seed, "x", F.col("v"), F.col("j")) % max(1, total)).alias("dst"))
+    every = running_sum(stubs, "v", "k").select("v", "before", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("j")).select("v", "j", (F.col("before") + F.col("j") - 1).alias("stub"))
+    total = stubs.agg(F.sum("k")).first()[0] or 1
+    drawn = every.where(F.col("j") % 2 == 1).select(F.col("v").alias("src"), (hash32(seed, "x", F.col("v"), F.col("j")) % total).alias("stub"))
+    across = drawn.join(every.select("stub", F.col("v").alias("dst")), "stub").select("src", "dst")
     return canonical(dense.union(across)), vertex.select("v", "community")
 
 

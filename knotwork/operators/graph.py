@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prefix import dense_ids, running_sum
+from ..functions.prefix import dense_ids, range_of, running_sum
 from ..plans.storage import materialise
 
 
@@ -66,6 +66,10 @@ class Graph:
         """(v, degree) of the vertex of largest degree, smallest id first."""
         return self.degrees().orderBy(F.desc("degree"), "v").limit(1)
 
+    def neighbour_degrees(self) -> DataFrame:
+        """(v, neighbour, degree): the degree of each vertex's neighbours, one row each."""
+        return self.sym.join(self.degrees().withColumnRenamed("v", "b"), "b").select(F.col("a").alias("v"), F.col("b").alias("neighbour"), "degree")
+
     def adjacency(self) -> DataFrame:
         """(v, neighbours): compressed rows as sorted arrays."""
         return self.sym.groupBy(F.col("a").alias("v")).agg(F.sort_array(F.collect_list("b")).alias("neighbours"))
@@ -97,6 +101,15 @@ def edge_balanced(degrees: DataFrame, parts: int) -> DataFrame:
     return running_sum(degrees, "v", "degree").select("v", F.least(share, F.lit(parts - 1)).cast("long").alias("part"))
 
 
+def by_starts(vertices: DataFrame, parts: DataFrame) -> DataFrame:
+    """(v, part) of ``vertices`` by the first vertices of contiguous ``parts`` (v, part), one a part, instead of by a join."""
+    starts = sorted(tuple(r) for r in parts.groupBy("part").agg(F.min("v")).select("min(v)", "part").collect())
+    if not starts:
+        return parts
+    numbers = F.array(*[F.lit(p) for _, p in starts])
+    return vertices.select("v", F.get(numbers, range_of(F.col("v"), [v for v, _ in starts]).cast("int")).cast("long").alias("part"))
+
+
 def spread_ids(v: object, n: int, tasks: int) -> object:
     """A column that permutes ids so that neighbours in id order fall into different blocks of n / tasks."""
     v = F.col(v) if isinstance(v, str) else v

@@ -8,9 +8,9 @@ table of its own. The parent of a vertex is its smallest neighbour on the level
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running_sum_within
 from ..plans.storage import Table, materialise, tidy
 from .components import components, stars
 from .graph import Graph
@@ -80,6 +80,8 @@ def bad_tree_rows(graph: Graph, tree: DataFrame) -> DataFrame:
 
 def child_ranks(tree: DataFrame) -> DataFrame:
     """(v, parent, rank, children): place among siblings from 0 by id, and the number of own children."""
+    kids = tree.where("parent is not null").select("v", "parent", F.lit(1).cast("long").alias("one"))
+    ranks = running_sum_within(kids, "parent", "v", "one", "rank").select("v", "parent", "rank")
+    ranks = ranks.union(tree.where("parent is null").select("v", "parent", F.lit(None).cast("long")))
     counts = tree.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("children")).withColumnRenamed("parent", "v")
-    rank = F.when(F.col("parent").isNotNull(), F.row_number().over(W.partitionBy("parent").orderBy("v")) - 1).cast("long")
-    return tree.select("v", "parent", rank.alias("rank")).join(counts, "v", "left").select("v", "parent", "rank", F.coalesce("children", F.lit(0)).alias("children"))
+    return ranks.join(counts, "v", "left").select("v", "parent", "rank", F.coalesce("children", F.lit(0)).alias("children"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.storage import Table, tidy
+from ..functions.prefix import running_sum_within
+from ..plans.storage import Table, materialise, tidy
 from .graph import Graph
 from .traverse import tree_edges
 
@@ -63,8 +63,8 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 def preorder(tree: DataFrame, sizes: DataFrame) -> DataFrame:
     """(v, pre): preorder numbers from 1 in each tree, children by id."""
-    before = F.coalesce(F.sum("n_desc").over(W.partitionBy("parent").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
-    step = tree.where("parent is not null").join(sizes, "v").select("v", before.alias("pre")).union(tree.where("parent is null").select("v", F.lit(1).cast("long")))
+    kids = running_sum_within(tree.where("parent is not null").select("v", "parent").join(sizes, "v"), "parent", "v", "n_desc")
+    step = kids.select("v", (F.col("before") + 1).alias("pre")).union(tree.where("parent is null").select("v", F.lit(1).cast("long")))
     return fold_paths(tree, step, "pre")
 
 
@@ -115,6 +115,17 @@ def lca(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     return top.select("src", "dst", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("up")).alias("lca"))
 
 
+@tidy("covered")
+def covered(tree: DataFrame, met: DataFrame) -> DataFrame:
+    """(v, parent, over): each tree edge, and how many of the edges ``met`` (src, dst, lca) have their path through the tree go over it.
+
+    An edge counts once at each end and is taken back twice at their common ancestor, so the sum over the subtree of v is what leaves it.
+    """
+    ends = met.select(F.explode(F.array(*[F.struct(F.col(c).alias("v"), F.lit(n).cast("long").alias("n")) for c, n in (("src", 1), ("dst", 1), ("lca", -2))])).alias("end"))
+    own = tree.select("v").join(ends.groupBy("end.v").agg(F.sum("end.n").alias("over")), "v", "left").select("v", F.coalesce("over", F.lit(0)).alias("over"))
+    return tree.where("parent is not null").select("v", "parent").join(fold_subtrees(tree, own, {"over": "sum"}), "v")
+
+
 @tidy("euler")
 def euler_preorder(tree: DataFrame) -> DataFrame:
     """(v, pre): preorder numbers from 1 in each tree by ranking its Euler tour.
@@ -122,9 +133,10 @@ def euler_preorder(tree: DataFrame) -> DataFrame:
     The tour goes down and up each tree edge. Each step's successor follows from the order of siblings; doubling counts the
     down steps from each step to the end of its tour.
     """
-    kids = tree.where("parent is not null").select("v", "parent")
-    by_id = W.partitionBy("parent").orderBy("v")
-    order = kids.select("v", "parent", F.lead("v").over(by_id).alias("sibling"))
+    kids = tree.where("parent is not null").select("v", "parent", F.lit(1).cast("long").alias("one"))
+    ranks = materialise(running_sum_within(kids, "parent", "v", "one", "rank").select("v", "parent", "rank"), "ranks")
+    later = ranks.where("rank > 0").select("parent", (F.col("rank") - 1).alias("rank"), F.col("v").alias("sibling"))
+    order = ranks.join(later, ["parent", "rank"], "left").select("v", "parent", "sibling")
     first = kids.groupBy("parent").agg(F.min("v").alias("child")).withColumnRenamed("parent", "v")
     met = order.join(first, "v", "left")
     up_of = lambda v: F.struct(v.alias("v"), F.lit(1).alias("up"))

@@ -47,6 +47,8 @@ STEPS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "blk": ("blk(src, dst, block_src, block_dst)", ("lab",), "SELECT p // 2147483648, p % 2147483648, min(m) // 2147483648, min(m) % 2147483648 FROM lab GROUP BY p"),
     "art": ("art(v)", ("cls",), "SELECT x FROM cls GROUP BY x HAVING count(DISTINCT t) > 1"),
     "cut": ("cut(src, dst, v)", ("sym",), "SELECT src, dst, src FROM e UNION SELECT cut.src, cut.dst, sym.b FROM cut JOIN sym ON sym.a = cut.v WHERE NOT (sym.a = cut.src AND sym.b = cut.dst) AND NOT (sym.a = cut.dst AND sym.b = cut.src)"),
+    "over": ("over(v, parent, over)", ("nt", "anc"), """SELECT tree.v, tree.parent, coalesce(n, 0) FROM tree LEFT JOIN (SELECT a, count(*) AS n FROM (SELECT src, dst, a FROM (SELECT src, dst, a FROM nt JOIN anc ON v = src
+        UNION ALL SELECT src, dst, a FROM nt JOIN anc ON v = dst) GROUP BY src, dst, a HAVING count(*) = 1) GROUP BY a) x ON x.a = tree.v WHERE tree.parent IS NOT NULL"""),
     "bri": ("bri(src, dst)", ("cut",), "SELECT src, dst FROM e EXCEPT SELECT src, dst FROM cut WHERE v = dst"),
 }
 STEPS["cc"] = (STEPS["cc"][0], ("cc0",), STEPS["cc"][2])
@@ -120,6 +122,7 @@ ORACLE_SQL: dict[str, str] = {
     "edge_balanced_partition": sql("SELECT v, CAST(least(floor(coalesce(sum(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8 / (SELECT sum(degree) FROM deg)), 7) AS BIGINT) AS part FROM deg", "deg"),
     "edges_by_part": sql("""SELECT part, count(*) AS ends, count(DISTINCT a) AS vertices FROM sym JOIN (SELECT v, CAST(least(floor(coalesce(sum(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8
         / (SELECT sum(degree) FROM deg)), 7) AS BIGINT) AS part FROM deg) ON v = a GROUP BY part""", "deg"),
+    "neighbour_degrees": sql("SELECT a AS v, b AS neighbour, degree FROM sym JOIN deg ON deg.v = b", "deg"),
     "spread_ids": sql("SELECT v, (v % 16) * 65537 + v // 16 AS id FROM vtx", "vtx"),
     "components": sql("SELECT v, c AS component FROM cc", "cc"),
     "components_max_label": sql("SELECT v, max(v) OVER (PARTITION BY c) AS component FROM cc", "cc", edges=TURNS),
@@ -142,6 +145,8 @@ ORACLE_SQL: dict[str, str] = {
     "low_high": sql("SELECT v, low, high FROM lh", "lh"),
     "related_ends": sql("SELECT x.v IS NOT NULL OR y.v IS NOT NULL AS related, count(*) AS edges FROM e LEFT JOIN anc x ON x.v = src AND x.a = dst LEFT JOIN anc y ON y.v = dst AND y.a = src GROUP BY 1", "anc"),
     "lca_nontree": sql("SELECT src, dst, lca FROM lca", "lca"),
+    "tree_edge_marks": sql("SELECT v, parent, over FROM over", "over"),
+    "bridges_by_marks": sql("SELECT src, dst FROM bri", "bri"),
     "bridges": sql("SELECT src, dst FROM bri", "bri"),
     "candidate_articulation": sql("SELECT lca AS v FROM lca UNION SELECT src FROM bri UNION SELECT dst FROM bri", "lca", "bri"),
     "candidates_compared": sql("""SELECT count(*) FILTER (f AND k) AS correct, count(*) FILTER (NOT k) AS false_positive, count(*) FILTER (NOT f) AS false_negative FROM (SELECT x.v IS NOT NULL AS f, art.v IS NOT NULL AS k
@@ -210,12 +215,15 @@ ORACLE_SQL |= {
     "gen_ring": RING,
     "gen_block_model": BLOCK_MODEL,
 }
+ORACLE_SQL["partition_by_starts"] = ORACLE_SQL["edge_balanced_partition"]
 #: The same questions of all line items, where the steps above answer them in seconds at scale 0.01. Blocks, cut vertices and bridges of the
 #: whole part-supplier graph take these steps too long; tests compare them with a depth-first search.
 WHOLE = """degrees degree_stats max_degree_root adjacency_rows edge_balanced_partition edges_by_part spread_ids components components_max_label
 component_stats largest_component largest_component_edges largest_component_relabelled wrong_components bfs_tree bfs_levels bottom_up_step bad_tree_rows
 children_rank descendants preorder preorder_euler low_high related_ends lca_nontree unlabelled_vertices nontree_components spanning_forest_nontree
-certificate k_forests boundary_nodes""".split()
+certificate k_forests boundary_nodes neighbour_degrees partition_by_starts tree_edge_marks""".split()
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(MAIN, DENSE).replace(TURNS, CUSTOMER_PART) for name in WHOLE}
+#: Bridges as tree edges that no path of another edge goes over.
+ORACLE_SQL |= {f"{name}_whole": sql("SELECT least(v, parent) AS src, greatest(v, parent) AS dst FROM over WHERE over = 0", "over", edges=DENSE) for name in ("bridges", "bridges_by_marks")}
 #: A conversation of one turn is a vertex without edges.
 ORACLE_SQL |= {name: ORACLE_SQL[name].replace(STEPS["vtx"][2], TURN_IDS) for name in ("components_max_label", "component_stats", "largest_component", "largest_component_edges", "without_islands")}

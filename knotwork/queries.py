@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import blocks, certificate, generate, mesh, separation, traverse, trees
 from .operators import components as comp
-from .operators.graph import Graph, by_part, compare_sets, edge_balanced, room, spread_ids
+from .operators.graph import Graph, by_part, by_starts, compare_sets, edge_balanced, room, spread_ids
 from .plans.storage import new_path
 from .sources import edge_files, mesh_files, tables
 
@@ -72,6 +72,11 @@ def _lca(graph: Graph) -> DataFrame:
     return trees.lca(tree, trees.non_tree(graph, tree))
 
 
+def _marks(graph: Graph) -> DataFrame:
+    tree = _forest(graph)[1]
+    return trees.covered(tree, trees.lca(tree, trees.non_tree(graph, tree)))
+
+
 def _dense_certificate(s: SparkSession, d: str) -> DataFrame:
     kept = certificate.certificate(whole(s, d))
     return kept.groupBy("forest").agg(F.count(F.lit(1)).alias("edges"))
@@ -189,6 +194,8 @@ OF_ACCOUNTS: dict[str, Callable[[Graph], DataFrame]] = {
     "adjacency_rows": lambda g: g.adjacency().select("v", F.size("neighbours").cast("long").alias("degree"), F.get("neighbours", F.lit(0)).alias("first"), F.element_at("neighbours", -1).alias("last")),
     "edge_balanced_partition": lambda g: edge_balanced(g.degrees(), 8),
     "edges_by_part": _partitioned,
+    "partition_by_starts": lambda g: by_starts(g.vertices, edge_balanced(g.degrees(), 8)),
+    "neighbour_degrees": lambda g: g.neighbour_degrees(),
     "spread_ids": _spread,
     "components": lambda g: comp.components(g),
     "largest_component_relabelled": lambda g: comp.keep_largest(g).relabelled()[0].edges,
@@ -204,7 +211,9 @@ OF_ACCOUNTS: dict[str, Callable[[Graph], DataFrame]] = {
     "low_high": lambda g: _labels(g)[1].select("v", "low", "high"),
     "related_ends": _related,
     "lca_nontree": _lca,
+    "tree_edge_marks": _marks,
     "bridges": lambda g: blocks.bridges_by_labels(_labels(g)[1]),
+    "bridges_by_marks": lambda g: traverse.tree_edges(_marks(g).where("over = 0")),
     "candidate_articulation": lambda g: blocks.candidates(g),
     "candidates_compared": lambda g: compare_sets(blocks.candidates(g), blocks.articulation_points(_blocks(g))),
     "articulation_points": lambda g: blocks.articulation_points(_blocks(g)),

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
+from knotwork.functions.prefix import range_of, running_sum_within
 from knotwork.operators import blocks, certificate, forest, separation, traverse, trees
 from knotwork.operators import components as comp
-from knotwork.operators.graph import Graph, compare_sets, edge_balanced, room, spread_ids
+from knotwork.operators.graph import Graph, by_starts, compare_sets, edge_balanced, room, spread_ids
 from knotwork.sources import tables
 
 #: Two small graphs without cut vertices.
@@ -151,6 +153,55 @@ def test_lca(spark, shapes):
     assert got == {(a, b, next(x for x in path(a) if x in path(b))) for a, b in set(pairs)}
 
 
+def test_marks_of_tree_edges(spark, shapes):
+    """How many other edges go over each tree edge; bridges are those without any."""
+    edges, graph = shapes
+    tree = traverse.spanning_forest(graph)
+    up = {r["v"]: r["parent"] for r in tree.collect()}
+
+    def above(v):
+        return {v} | (above(up[v]) if up[v] is not None else set())
+
+    rest = trees.non_tree(graph, tree)
+    over = dict.fromkeys((v for v in up if up[v] is not None), 0)
+    for a, b in found(rest):
+        for v in above(a) ^ above(b):
+            over[v] += 1
+    got = trees.covered(tree, trees.lca(tree, rest))
+    assert found(got) == {(v, up[v], n) for v, n in over.items()}
+    assert found(traverse.tree_edges(got.where("over = 0"))) == brute.bridges(edges)
+
+
+def test_neighbours_and_ranges(spark, shapes):
+    edges, graph = shapes
+    adj = brute.neighbours(edges)
+    assert found(graph.neighbour_degrees()) == {(v, w, len(adj[w])) for v in adj for w in adj[v]}
+    parts = edge_balanced(graph.degrees(), 7)
+    assert found(by_starts(graph.vertices, parts)) == found(parts)
+    cases = spark.createDataFrame([(x,) for x in (-1, 0, 4, 5, 9, 10, 11, None)], "x long")
+    got = [r[0] for r in cases.select(range_of(F.col("x"), [0, 5, 10])).collect()]
+    assert got == [None, 0, 0, 1, 1, 2, 2, None]
+    assert cases.select(range_of(F.col("x"), [])).distinct().collect() == [(None,)]
+
+
+def test_children_of_a_hub(spark):
+    """A vertex with most children: its children's places come from several ranges."""
+    rows = spark.range(1, 20_001).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(-5).alias("g"), F.col("id").alias("x"), (F.col("id") % 3).alias("n"))
+    want, sums = set(), {}
+    for g, x, n in sorted(map(tuple, rows.collect())):
+        want.add((g, x, n, sums.get(g, 0)))
+        sums[g] = sums.get(g, 0) + n
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    got = running_sum_within(rows, "g", "x", "n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert set(map(tuple, got.select("g", "x", "n", "before").collect())) == want
+    star = Graph.from_edges(frame(spark, [(0, i) for i in range(1, 300)] + [(5, 1000), (7, 1001)])).stored()
+    tree = traverse.spanning_forest(star)
+    assert {(r["v"], r["rank"]) for r in traverse.child_ranks(tree).collect()} == {(0, None), (1000, 0), (1001, 0)} | {(i, i - 1) for i in range(1, 300)}
+    pre = dict(found(trees.preorder(tree, trees.descendants(tree))))
+    assert pre == dict(found(trees.euler_preorder(tree))) and pre[1000] == pre[5] + 1 and pre[300 - 1] == 302
+
+
 def test_isolated_vertices(spark):
     graph = Graph.from_edges(frame(spark, [(0, 1)]), spark.createDataFrame([(5,), (None,), (0,)], "v long")).stored()
     assert found(comp.components(graph)) == {(0, 0), (1, 0), (5, 5)}
