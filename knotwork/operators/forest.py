@@ -10,9 +10,9 @@ Its trees are deep, unlike those of a breadth-first search, and are no substitut
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running_sum_within
 from ..plans.storage import Table, materialise, tidy
 from .components import stars
 from .graph import Graph
@@ -47,9 +47,10 @@ def rooted(edges: DataFrame) -> DataFrame:
     """
     trees = materialise(stars(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "trees")
     arcs = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select(F.col("dst").alias("x"), F.col("src").alias("y")))
-    by_id = W.partitionBy("x").orderBy("y")
+    ranks = materialise(running_sum_within(arcs.withColumn("one", F.lit(1).cast("long")), "x", "y", "one", "rank").select("x", "y", "rank"), "ranks")
+    later = ranks.where("rank > 0").select("x", (F.col("rank") - 1).alias("rank"), F.col("y").alias("after"))
     # after coming to y from x, the tour goes on from y to the neighbour after x, in a circle
-    turn = arcs.select("x", "y", F.lead("y").over(by_id).alias("after"), F.first("y").over(by_id).alias("first"))
+    turn = ranks.join(later, ["x", "rank"], "left").join(ranks.where("rank = 0").select("x", F.col("y").alias("first")), "x")
     succ = turn.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("x").alias("tx"), F.coalesce("after", "first").alias("ty"), F.col("after").isNull().alias("wraps"))
     root = trees.select(F.col("component").alias("y"), F.lit(True).alias("top")).distinct()
     # a tour starts at its root's smallest neighbour, so it ends with the step that would go on to that again
