@@ -110,10 +110,14 @@ def by_starts(vertices: DataFrame, parts: DataFrame) -> DataFrame:
     return vertices.select("v", F.get(numbers, range_of(F.col("v"), [v for v, _ in starts]).cast("int")).cast("long").alias("part"))
 
 
-def spread_ids(v: object, n: int, tasks: int) -> object:
-    """A column that permutes ids so that neighbours in id order fall into different blocks of n / tasks."""
+def spread_ids(v: object, n: int, tasks: int, clamp: bool = True) -> object:
+    """A column that permutes ids so that neighbours in id order fall into different blocks of n / tasks.
+
+    Results end at n - 1, unless ``clamp`` is off; ids below n stay apart either way but for the last few, larger ones may meet (see ``room``).
+    """
     v = F.col(v) if isinstance(v, str) else v
-    return F.least((v % tasks) * (n // tasks + 1) + F.floor(v / tasks), F.lit(n - 1)).cast("long")
+    spread = ((v % tasks) * (n // tasks + 1) + F.floor(v / tasks)).cast("long")
+    return F.least(spread, F.lit(n - 1)).cast("long") if clamp else spread
 
 
 def room(largest: int, tasks: int, n: int = 1 << 20) -> int:

@@ -269,3 +269,11 @@ def test_long_conversations(spark, tmp_path):
     """A conversation of more than 1,000 turns doesn't run into the next one."""
     spark.createDataFrame([(1, k) for k in range(1003)] + [(2, k) for k in range(5)], "conv_id long, turn long").write.parquet(str(tmp_path / "conversations.parquet"))
     assert tuple(comp.component_stats(comp.components(tables.turns(spark, str(tmp_path)).stored())).first()) == (2, 1003, 2)
+
+
+def test_spread_ids_of_large_ids(spark):
+    from knotwork.queries import OF_ACCOUNTS
+
+    edges = [(3, 1_048_340), (1_048_575, 5_000_000_017)]
+    got = {tuple(r) for r in OF_ACCOUNTS["spread_ids"](Graph.from_edges(frame(spark, edges))).collect()}
+    assert got == {(v, v % 16 * 65537 + v // 16) for e in edges for v in e}
