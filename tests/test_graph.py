@@ -232,6 +232,22 @@ def test_separation_pairs(spark):
     assert found(separation.degree_two_pairs(graph)) == set()
 
 
+def test_separation_pairs_of_twins(spark, monkeypatch):
+    """Vertices with the same neighbours stand for each other, so hundreds of them add nothing to what is searched."""
+    hubs = [0, 1, 2]
+    edges = [(h, v) for v in range(10, 250) for h in hubs] + [(0, 400), (1, 400), (0, 1)] + [(h, v) for v in range(500, 505) for h in (1, 2)]
+    searched = []
+    whole = separation.edge_blocks
+    monkeypatch.setattr(separation, "edge_blocks", lambda g: searched.append(g.edges.count()) or whole(g))
+    assert found(separation.separation_pairs(Graph.from_edges(frame(spark, edges)))) == {(0, 1), (1, 2)}
+    assert searched[0] < 200
+    rng = random.Random(9)
+    own = [(h, v) for v in range(4, 14) for h in rng.sample(range(4), 2)] + [(0, 1), (1, 2), (2, 3), (3, 0)]
+    verts = sorted({v for e in own for v in e})
+    want = {(a, b) for a in verts for b in verts if a < b and b in brute.articulation([e for e in own if a not in e])}
+    assert found(separation.separation_pairs(Graph.from_edges(frame(spark, own)))) == want
+
+
 def test_forests(spark):
     graph = Graph.from_edges(frame(spark, CLIQUE))
     rows = certificate.forests(graph, 2).collect()
