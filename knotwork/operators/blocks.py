@@ -67,8 +67,10 @@ def _on_certificate(graph: Graph) -> DataFrame:
 
 def articulation_points(blocks: DataFrame) -> DataFrame:
     """(v): vertices whose edges lie in two blocks or more."""
-    ends = blocks.select(F.explode(F.array("src", "dst")).alias("v"), F.struct("block_src", "block_dst").alias("block"))
-    return ends.groupBy("v").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low <> high").select("v")
+    ends = blocks.select(F.explode(F.array("src", "dst")).alias("v"), "block_src", "block_dst")
+    # plain numbers are aggregated by hash, structs would be sorted
+    lows, highs = [F.min(c).alias(f"low_{c}") for c in ("block_src", "block_dst")], [F.max(c).alias(f"high_{c}") for c in ("block_src", "block_dst")]
+    return ends.groupBy("v").agg(*lows, *highs).where("low_block_src <> high_block_src or low_block_dst <> high_block_dst").select("v")
 
 
 def block_sizes(blocks: DataFrame) -> DataFrame:

@@ -293,3 +293,11 @@ def test_spread_ids_of_large_ids(spark):
     edges = [(3, 1_048_340), (1_048_575, 5_000_000_017)]
     got = {tuple(r) for r in OF_ACCOUNTS["spread_ids"](Graph.from_edges(frame(spark, edges))).collect()}
     assert got == {(v, v % 16 * 65537 + v // 16) for e in edges for v in e}
+
+
+def test_points_are_aggregated_by_hash(spark):
+    """Blocks are compared as plain numbers: a task keeps the vertices, and doesn't sort all ends of edges."""
+    rows = spark.createDataFrame([(0, 1, 0, 1), (1, 2, 1, 2), (2, 3, 1, 2), (1, 3, 1, 2)], "src long, dst long, block_src long, block_dst long")
+    points = blocks.articulation_points(rows)
+    assert "SortAggregate" not in points._jdf.queryExecution().toString()
+    assert found(points) == {(1,)}
