@@ -11,21 +11,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise, tidy
-from .components import stars
-from .forest import forest_labels
+from .components import tied
+from .forest import forest_edges, rooted
 from .graph import Graph
-from .traverse import bfs, component_roots, spanning_forest, tree_edges
-from .trees import labels, lca, non_tree, related
+from .traverse import spanning_forest, tree_edges
+from .trees import across, labelled, lca, numbered
 
 
-def auxiliary_links(graph: Graph, own: DataFrame) -> DataFrame:
-    """(a, b) between tree edges of one block; ``own`` holds the labels of any spanning forest."""
-    x, y = own.select(F.col("v").alias("src"), F.col("pre").alias("px"), F.col("n_desc").alias("nx")), own.select(F.col("v").alias("dst"), F.col("pre").alias("py"), F.col("n_desc").alias("ny"))
-    apart = non_tree(graph, own).join(x, "src").join(y, "dst").where(~related(F.col("px"), F.col("nx"), F.col("py"), F.col("ny")))
-    cross = apart.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+def auxiliary_links(own: DataFrame, rest: DataFrame) -> DataFrame:
+    """(a, b) between tree edges of one block; ``own`` holds the labels of any spanning forest, ``rest`` the edges across it."""
+    cross = rest.where("cross").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     upper = own.where("parent is not null").select(F.col("v").alias("parent"), F.col("pre").alias("pre_up"), F.col("n_desc").alias("n_up"))
     met = own.where("parent is not null").select("v", "parent", "low", "high").join(upper, "parent")
-    return cross.union(met.where("low < pre_up or high >= pre_up + n_up").select(F.col("parent").alias("a"), F.col("v").alias("b")))
+    inner = met.where("low < pre_up or high >= pre_up + n_up").select(F.col("parent").alias("a"), F.col("v").alias("b"))
+    return cross.union(materialise(inner, "inner"))
+
+
+def _tree_blocks(own: DataFrame, rest: DataFrame) -> DataFrame:
+    """(v, parent, label) of the tree edges, written out: equal labels in one block."""
+    found = tied(auxiliary_links(own, rest))[0]
+    return materialise(own.where("parent is not null").join(found, "v", "left").select("v", "parent", F.coalesce("component", "v").alias("label")), "edge-labels")
+
+
+def _named(block: DataFrame, rest: DataFrame) -> DataFrame:
+    """(src, dst, block_src, block_dst) of the tree edges ``block`` and the other edges ``rest``.
+
+    An edge that isn't in the tree has the block of its end that comes later in preorder, which isn't above the other.
+    """
+    later = F.when(F.col("ps") > F.col("pd"), F.col("src")).otherwise(F.col("dst"))
+    at = rest.select(later.alias("v"), "src", "dst").groupBy("v").agg(F.min(F.when(F.col("v") == F.col("src"), F.col("dst"))).alias("d"), F.min(F.when(F.col("v") == F.col("dst"), F.col("src"))).alias("s"))
+    edge = lambda a, b: F.struct(a.alias("src"), b.alias("dst"))
+    v, s, d = F.col("v"), F.col("s"), F.col("d")
+    first = F.least(edge(F.least("v", "parent"), F.greatest("v", "parent")), F.when(d.isNotNull(), edge(v, d)), F.when(s.isNotNull(), edge(s, v)))
+    names = block.join(at, "v", "left").groupBy("label").agg(F.min(first).alias("first"))
+    named = materialise(block.join(names, "label").select("v", "parent", F.col("first.src").alias("block_src"), F.col("first.dst").alias("block_dst")), "named")
+    tree = named.select(F.least("v", "parent").alias("src"), F.greatest("v", "parent").alias("dst"), "block_src", "block_dst")
+    return tree.union(rest.select("src", "dst", later.alias("v")).join(named.select("v", "block_src", "block_dst"), "v").select("src", "dst", "block_src", "block_dst"))
 
 
 @tidy("blocks")
@@ -36,33 +57,22 @@ def edge_blocks(graph: Graph, certificate_first: bool = False, deep: bool = Fals
     edge left out the block that holds both its ends. ``deep`` is for graphs of large diameter, such as meshes: the tree isn't breadth-first, which
     takes a round a level, but any spanning forest, whose rounds are logarithmic.
     """
+    graph = graph.stored()
     if certificate_first:
         return _on_certificate(graph)
-    graph = graph.stored()
-    own = forest_labels(graph) if deep else labels(graph, spanning_forest(graph))
-    found = stars(auxiliary_links(graph, own))
-    block = materialise(own.where("parent is not null").join(found, "v", "left").select("v", "parent", F.coalesce("component", "v").alias("label")), "edge-labels")
-    tree = block.select(F.least("v", "parent").alias("src"), F.greatest("v", "parent").alias("dst"), "label")
-    # an edge that isn't in the tree has the block of its end that comes later in preorder, which isn't above the other
-    number = own.select("v", "pre")
-    ends = non_tree(graph, own).join(number.toDF("src", "ps"), "src").join(number.toDF("dst", "pd"), "dst").select("src", "dst", F.when(F.col("ps") > F.col("pd"), F.col("src")).otherwise(F.col("dst")).alias("v"))
-    labelled = materialise(tree.union(ends.join(block.select("v", "label"), "v").select("src", "dst", "label")), "labelled")
-    names = labelled.groupBy("label").agg(F.min(F.struct("src", "dst")).alias("first"))
-    return labelled.join(names, "label").select("src", "dst", F.col("first.src").alias("block_src"), F.col("first.dst").alias("block_dst"))
+    own, rest = labelled(graph, rooted(forest_edges(graph)) if deep else numbered(spanning_forest(graph)))
+    return _named(_tree_blocks(own, rest), rest)
 
 
 def _on_certificate(graph: Graph) -> DataFrame:
-    from .certificate import certificate
+    """The certificate's first forest spans the graph, and its blocks have the same vertices; so it serves for the edges left out, too."""
+    from .certificate import non_tree_forest
 
-    graph = graph.stored()
-    kept = materialise(certificate(graph), "certificate").select("src", "dst")
-    blocks = materialise(edge_blocks(Graph(kept)), "blocks")
-    member = blocks.select(F.explode(F.array("src", "dst")).alias("v"), "block_src", "block_dst").distinct()
-    left_out = graph.without(kept).edges
-    met = left_out.join(member.withColumnRenamed("v", "src"), "src").join(member.withColumnRenamed("v", "dst"), ["dst", "block_src", "block_dst"])
-    whole = materialise(blocks.union(met.select("src", "dst", "block_src", "block_dst")), "blocks")
-    names = whole.groupBy("block_src", "block_dst").agg(F.min(F.struct("src", "dst")).alias("first"))
-    return whole.join(names, ["block_src", "block_dst"]).select("src", "dst", F.col("first.src").alias("block_src"), F.col("first.dst").alias("block_dst"))
+    tree = spanning_forest(graph)
+    kept = Graph(tree_edges(tree).union(tree_edges(non_tree_forest(graph, tree)))).stored()
+    numbers = numbered(tree)
+    block = _tree_blocks(*labelled(kept, numbers))
+    return _named(block, materialise(across(graph, numbers), "across"))
 
 
 def articulation_points(blocks: DataFrame) -> DataFrame:
@@ -112,8 +122,8 @@ def block_of_first_edge(blocks: DataFrame, root: int) -> DataFrame:
 def vertex_labels(graph: Graph) -> DataFrame:
     """(v, high, low): of the block of the tree edge above v, its head and its smallest other vertex; roots have none."""
     graph = graph.stored()
-    own = labels(graph, spanning_forest(graph))
-    found = stars(auxiliary_links(graph, own))
+    own, rest = labelled(graph, numbered(spanning_forest(graph)))
+    found = tied(auxiliary_links(own, rest))[0]
     met = own.where("parent is not null").join(found, "v", "left").select("v", "parent", "level", F.coalesce("component", "v").alias("label"))
     head = met.groupBy("label").agg(F.min_by("parent", "level").alias("high"), F.min("v").alias("low"))
     return met.join(head, "label").select("v", "high", "low")
@@ -139,8 +149,8 @@ def unlabelled(graph: Graph, marks: DataFrame) -> DataFrame:
 def candidates(graph: Graph) -> DataFrame:
     """(v): lowest common ancestors of non-tree edges and ends of bridges; all articulation points are among them."""
     graph = graph.stored()
-    own = labels(graph, spanning_forest(graph))
-    tops = lca(own, non_tree(graph, own)).select(F.col("lca").alias("v"))
+    own, rest = labelled(graph, numbered(spanning_forest(graph)))
+    tops = lca(own, rest).select(F.col("lca").alias("v"))
     return tops.union(bridges_by_labels(own).select(F.explode(F.array("src", "dst")))).distinct()
 
 
@@ -152,10 +162,10 @@ def points_on_forest(graph: Graph) -> DataFrame:
     several blocks.
     """
     graph = graph.stored()
-    own = labels(graph, bfs(graph, materialise(component_roots(graph), "roots")))
+    own, rest = labelled(graph, numbered(spanning_forest(graph)))
     up = own.select(F.col("v").alias("parent"), F.col("pre").alias("pre_up"), F.col("n_desc").alias("n_up"), F.col("parent").isNull().alias("top"))
     met = own.where("parent is not null").join(up, "parent")
     inner = met.where("not top and low >= pre_up and high < pre_up + n_up").select(F.col("parent").alias("v"))
-    found = stars(auxiliary_links(graph, own))
+    found = tied(auxiliary_links(own, rest))[0]
     tops = met.where("top").join(found, "v", "left").groupBy("parent").agg(F.countDistinct(F.coalesce("component", "v")).alias("n")).where("n > 1").select(F.col("parent").alias("v"))
     return inner.union(tops).distinct()

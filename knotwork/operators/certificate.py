@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise, tidy
-from .components import stars
+from .components import tied
 from .graph import Graph
 from .traverse import label_forest, spanning_forest, tree_edges
 
@@ -14,9 +14,10 @@ from .traverse import label_forest, spanning_forest, tree_edges
 @tidy("non-tree-components")
 def non_tree_components(graph: Graph, tree: DataFrame) -> DataFrame:
     """(v, component) of the graph without its tree, for vertices that keep an edge."""
-    rest = graph.without(tree_edges(tree))
-    found = stars(rest.edges.toDF("a", "b"))
-    return rest.vertices.join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+    rest = Graph(graph.without(tree_edges(tree)).edges, graph.extra).stored()
+    found, around = tied(rest.edges.toDF("a", "b"))
+    own = around.df.select("v") if rest.extra is None else rest.vertices
+    return own.join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
 @tidy("non-tree-forest")

@@ -40,9 +40,12 @@ def _links(edges: DataFrame) -> Table:
     return Table(edges, "links", n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
 
 
-def stars(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(v, component) of every vertex of ``edges`` (columns a, b) that isn't the smallest of its component."""
-    slim = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _ascending(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _contract(slim: DataFrame, max_rounds: int) -> DataFrame:
+    """(v, component) of every vertex of ``slim`` (a < b, distinct) that isn't the smallest of its component."""
     now = _links(slim)
     for _ in range(max_rounds):
         if not now.found["n"]:
@@ -57,8 +60,43 @@ def stars(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return now.df.select(F.col("b").alias("v"), F.col("a").alias("component"))
 
 
+def tied(edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, Table]:
+    """What ``stars`` gives, for many edges a vertex, and the table (v, n, ...) of all vertices with their numbers of edge ends; its ``found`` counts them.
+
+    One pass over the edges picks two neighbours of each vertex, the smallest and one by chance, and only these links are contracted. The same pass
+    sums 64-bit hashes of each vertex's edges, with opposite signs at the two ends: over a whole component they cancel. Where
+    they don't, edges lead on, and those between the parts found are contracted in turn; so all edges count, but few are shuffled.
+    """
+    slim, chance = _ascending(edges), F.xxhash64("v")
+    mark = F.xxhash64("a", "b")
+    low, high = mark.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(mark, 32)
+    end = lambda v, u, sign: F.struct(F.col(v).alias("v"), F.col(u).alias("u"), (low * sign).alias("low"), (high * sign).alias("high"))
+    ends = slim.select(F.inline(F.array(end("a", "b", 1), end("b", "a", -1))))
+    picks = (F.min("u").alias("least"), F.min(F.col("u").bitwiseXOR(chance)).alias("chance"))
+    summed = ends.groupBy("v").agg(*picks, F.sum("low").alias("low"), F.sum("high").alias("high"), F.count(F.lit(1)).alias("n"))
+    around = Table(summed.withColumn("chance", F.col("chance").bitwiseXOR(chance)), "ends", vertices=F.count(F.lit(1)))
+    links = around.df.select(F.col("v").alias("a"), F.col("least").alias("b")).union(around.df.select("v", "chance"))
+    names = _contract(_ascending(links).distinct(), max_rounds)
+    parts = around.df.join(names, "v", "left").select("v", F.coalesce("component", "v").alias("component"), "low", "high")
+    unsettled = Table(parts.groupBy("component").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).where("low <> 0 or high <> 0").select("component"), "unsettled", n=F.count(F.lit(1)))
+    if unsettled.found["n"]:
+        own = Table(parts.join(unsettled.df, "component", "left_semi").select("v", "component"), "parts").df
+        between = slim.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        more = _contract(_ascending(between).distinct(), max_rounds).toDF("component", "top")
+        names = Table(parts.join(more, "component", "left").select("v", F.coalesce("top", "component").alias("component")).where("v <> component"), "names").df
+    return names, around
+
+
+def stars(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(v, component) of every vertex of ``edges`` (columns a, b) that isn't the smallest of its component."""
+    return _contract(_ascending(edges).distinct(), max_rounds)
+
+
 def components(graph: Graph) -> DataFrame:
     """(v, component): the smallest id of each vertex's component."""
+    if graph.extra is None:
+        found, around = tied(graph.edges.toDF("a", "b"))
+        return around.df.select("v").join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
     found = stars(graph.edges.toDF("a", "b"))
     return graph.vertices.join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 

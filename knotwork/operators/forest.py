@@ -86,11 +86,10 @@ def _down_before(steps: DataFrame) -> DataFrame:
 
 def forest_labels(graph: Graph) -> DataFrame:
     """(v, parent, level, root, n_desc, pre, low, high) of a spanning forest of any depth."""
-    from .trees import low_high
+    from .trees import labelled
 
     @tidy("labels")
     def made() -> DataFrame:
-        tree = rooted(forest_edges(graph))
-        return tree.join(low_high(graph, tree, tree.select("v", "pre")), "v")
+        return labelled(graph, rooted(forest_edges(graph)))[0]
 
     return made()

@@ -23,6 +23,8 @@ class Graph:
 
     edges: DataFrame
     extra: DataFrame | None = None
+    #: Whether ``edges`` just reads a table.
+    written: bool = False
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None, src: str = "src", dst: str = "dst") -> Graph:
@@ -39,7 +41,7 @@ class Graph:
 
     def stored(self) -> Graph:
         """The same graph with its edges written out, so that iterations don't derive them again."""
-        return Graph(materialise(self.edges, "edges"), self.extra)
+        return self if self.written else Graph(materialise(self.edges, "edges"), self.extra, True)
 
     @property
     def sym(self) -> DataFrame:

@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sum_within
 from ..plans.storage import Table, materialise, tidy
-from .components import components, stars
+from .components import components, tied
 from .graph import Graph
 
 
 @tidy("tree")
-def bfs(graph: Graph, roots: DataFrame, max_level: int | None = None) -> DataFrame:
-    """(v, parent, level, root) of all vertices reached from ``roots`` (v); parents of roots are null."""
-    sym = materialise(graph.sym, "sym")
+def bfs(graph: Graph, roots: DataFrame, max_level: int | None = None, total: int | None = None) -> DataFrame:
+    """(v, parent, level, root) of all vertices reached from ``roots`` (v); parents of roots are null.
+
+    ``total`` is the number of vertices that can be reached, where it is known: the search ends with the last of them.
+    """
+    sym = graph.stored().sym
     first = roots.select("v", F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("level"), F.col("v").alias("root")).distinct()
     levels = [Table(first, "level", n=F.count(F.lit(1)))]
-    while levels[-1].found["n"] and (max_level is None or len(levels) <= max_level):
+    while levels[-1].found["n"] and sum(x.found["n"] for x in levels) != total and (max_level is None or len(levels) <= max_level):
         frontier = levels[-1].df
         met = frontier.select(F.col("v").alias("a"), "root").join(sym, "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("parent"), F.min_by("root", "a").alias("root"))
         for old in levels[-2:]:
@@ -34,22 +37,37 @@ def bfs(graph: Graph, roots: DataFrame, max_level: int | None = None) -> DataFra
 
 def component_roots(graph: Graph) -> DataFrame:
     """(v) of one root per component: the vertex of largest degree, smallest id first."""
-    ranked = components(graph).join(graph.degrees(), "v")
+    return _roots(graph)[0]
+
+
+def _roots(graph: Graph) -> tuple[DataFrame, int | None]:
+    """``component_roots``, and the number of vertices if it is found on the way."""
+    total = None
+    if graph.extra is None:
+        found, around = tied(graph.edges.toDF("a", "b"))
+        total = around.found["vertices"]
+        ranked = around.df.join(found, "v", "left").select("v", F.col("n").alias("degree"), F.coalesce("component", "v").alias("component"))
+    else:
+        ranked = components(graph).join(graph.degrees(), "v")
     best = ranked.groupBy("component").agg(F.max(F.struct("degree", -F.col("v"))).alias("top"))
-    return best.select((-F.col("top.col2")).alias("v"))
+    return best.select((-F.col("top.col2")).alias("v")), total
 
 
 @tidy("forest")
 def spanning_forest(graph: Graph) -> DataFrame:
     """The breadth-first tree of each component from its root of largest degree."""
-    return bfs(graph, materialise(component_roots(graph), "roots"))
+    graph = graph.stored()
+    roots, total = _roots(graph)
+    return bfs(graph, materialise(roots, "roots"), total=total)
 
 
 @tidy("label-forest")
 def label_forest(graph: Graph) -> DataFrame:
     """The breadth-first tree of each component from its smallest vertex."""
-    found = stars(graph.edges.toDF("a", "b"))
-    return bfs(graph, materialise(graph.vertices.join(found, "v", "left_anti"), "roots"))
+    graph = graph.stored()
+    found, around = tied(graph.edges.toDF("a", "b"))
+    own, total = (around.df.select("v"), around.found["vertices"]) if graph.extra is None else (graph.vertices, None)
+    return bfs(graph, materialise(own.join(found, "v", "left_anti"), "roots"), total=total)
 
 
 def tree_edges(tree: DataFrame) -> DataFrame:

@@ -81,12 +81,32 @@ def low_high(graph: Graph, tree: DataFrame, pre: DataFrame) -> DataFrame:
     return fold_subtrees(tree, own, {"low": "min", "high": "max"})
 
 
+def across(graph: Graph, own: DataFrame) -> DataFrame:
+    """(src, dst, ps, pd, cross) of the edges of ``graph`` that aren't in the tree ``own`` (v, parent, pre, n_desc): the ends' preorder numbers, and whether neither end lies below the other."""
+    x, y = (own.select(F.col("v").alias(v), F.col("parent").alias(f"u{k}"), F.col("pre").alias(f"p{k}"), F.col("n_desc").alias(f"n{k}")) for v, k in (("src", "s"), ("dst", "d")))
+    met = graph.edges.join(x, "src").join(y, "dst").where(~F.col("us").eqNullSafe(F.col("dst")) & ~F.col("ud").eqNullSafe(F.col("src")))
+    return met.select("src", "dst", "ps", "pd", (~related(F.col("ps"), F.col("ns"), F.col("pd"), F.col("nd"))).alias("cross"))
+
+
+def labelled(graph: Graph, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A tree (v, parent, pre, n_desc, ...) with ``low`` and ``high``, and the edges ``across`` it, both written out."""
+    rest = materialise(across(graph, own), "across")
+    end = lambda v, p: F.struct(F.col(v).alias("v"), F.col(p).alias("p"))
+    reach = rest.select(F.inline(F.array(end("src", "pd"), end("dst", "ps")))).groupBy("v").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    start = own.select("v", "pre").join(reach, "v", "left").select("v", F.least("pre", "lo").alias("low"), F.greatest("pre", "hi").alias("high"))
+    return materialise(own.join(fold_subtrees(own, start, {"low": "min", "high": "max"}), "v"), "labels"), rest
+
+
+def numbered(tree: DataFrame) -> DataFrame:
+    """(v, parent, level, root, n_desc, pre), written out."""
+    sizes = descendants(tree)
+    return materialise(tree.join(sizes, "v").join(preorder(tree, sizes), "v"), "numbers")
+
+
 @tidy("labels")
 def labels(graph: Graph, tree: DataFrame) -> DataFrame:
     """(v, parent, level, root, n_desc, pre, low, high), written out."""
-    sizes = descendants(tree)
-    pre = preorder(tree, sizes)
-    return tree.join(sizes, "v").join(pre, "v").join(low_high(graph, tree, pre), "v")
+    return labelled(graph, numbered(tree))[0]
 
 
 @tidy("lca")
