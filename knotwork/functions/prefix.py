@@ -34,7 +34,8 @@ def running_sum_within(rows: DataFrame, group: str, order: str, value: str, name
     """
     summed = running_sum(rows, (group, order), value, name)
     first = summed.groupBy(group).agg(F.min(name).alias("__first"))
-    return summed.join(first, group).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+    # as many groups as there may be mustn't be sent through the driver
+    return summed.join(first.hint("merge"), group).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
 
 
 def dense_ids(rows: DataFrame, column: str) -> DataFrame:

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise, tidy
+from ..plans.storage import FEW, materialise, tidy
 from .components import tied
 from .forest import forest_edges, rooted
 from .graph import Graph
 from .traverse import spanning_forest, tree_edges
-from .trees import across, labelled, lca, numbered
+from .trees import across, labelled, numbered, over, tops
 
 
 def auxiliary_links(own: DataFrame, rest: DataFrame) -> DataFrame:
@@ -24,13 +24,13 @@ def auxiliary_links(own: DataFrame, rest: DataFrame) -> DataFrame:
     upper = own.where("parent is not null").select(F.col("v").alias("parent"), F.col("pre").alias("pre_up"), F.col("n_desc").alias("n_up"))
     met = own.where("parent is not null").select("v", "parent", "low", "high").join(upper, "parent")
     inner = met.where("low < pre_up or high >= pre_up + n_up").select(F.col("parent").alias("a"), F.col("v").alias("b"))
-    return cross.union(materialise(inner, "inner"))
+    return cross.union(materialise(inner, "inner", FEW))
 
 
 def _tree_blocks(own: DataFrame, rest: DataFrame) -> DataFrame:
     """(v, parent, label) of the tree edges, written out: equal labels in one block."""
     found = tied(auxiliary_links(own, rest))[0]
-    return materialise(own.where("parent is not null").join(found, "v", "left").select("v", "parent", F.coalesce("component", "v").alias("label")), "edge-labels")
+    return materialise(own.where("parent is not null").join(found, "v", "left").select("v", "parent", F.coalesce("component", "v").alias("label")), "edge-labels", FEW)
 
 
 def _named(block: DataFrame, rest: DataFrame) -> DataFrame:
@@ -44,23 +44,23 @@ def _named(block: DataFrame, rest: DataFrame) -> DataFrame:
     v, s, d = F.col("v"), F.col("s"), F.col("d")
     first = F.least(edge(F.least("v", "parent"), F.greatest("v", "parent")), F.when(d.isNotNull(), edge(v, d)), F.when(s.isNotNull(), edge(s, v)))
     names = block.join(at, "v", "left").groupBy("label").agg(F.min(first).alias("first"))
-    named = materialise(block.join(names, "label").select("v", "parent", F.col("first.src").alias("block_src"), F.col("first.dst").alias("block_dst")), "named")
+    named = materialise(block.join(names, "label").select("v", "parent", F.col("first.src").alias("block_src"), F.col("first.dst").alias("block_dst")), "named", FEW)
     tree = named.select(F.least("v", "parent").alias("src"), F.greatest("v", "parent").alias("dst"), "block_src", "block_dst")
     return tree.union(rest.select("src", "dst", later.alias("v")).join(named.select("v", "block_src", "block_dst"), "v").select("src", "dst", "block_src", "block_dst"))
 
 
 @tidy("blocks")
-def edge_blocks(graph: Graph, certificate_first: bool = False, deep: bool = False) -> DataFrame:
+def edge_blocks(graph: Graph, certificate_first: bool = False, deep: bool = False, tree: DataFrame | None = None) -> DataFrame:
     """(src, dst, block_src, block_dst): each edge and the smallest edge of its block.
 
     ``certificate_first`` finds the blocks on a sparse certificate, which has at most two edges a vertex, and gives each
     edge left out the block that holds both its ends. ``deep`` is for graphs of large diameter, such as meshes: the tree isn't breadth-first, which
-    takes a round a level, but any spanning forest, whose rounds are logarithmic.
+    takes a round a level, but any spanning forest, whose rounds are logarithmic. ``tree`` is the breadth-first forest, if it is known.
     """
     graph = graph.stored()
     if certificate_first:
         return _on_certificate(graph)
-    own, rest = labelled(graph, rooted(forest_edges(graph)) if deep else numbered(spanning_forest(graph)))
+    own, rest = labelled(graph, rooted(forest_edges(graph)) if deep else numbered(spanning_forest(graph) if tree is None else tree))
     return _named(_tree_blocks(own, rest), rest)
 
 
@@ -118,13 +118,13 @@ def block_of_first_edge(blocks: DataFrame, root: int) -> DataFrame:
     return blocks.join(top, ["block_src", "block_dst"], "left_semi").select("src", "dst")
 
 
-@tidy("vertex-labels")
+@tidy("vertex-labels", FEW)
 def vertex_labels(graph: Graph) -> DataFrame:
     """(v, high, low): of the block of the tree edge above v, its head and its smallest other vertex; roots have none."""
     graph = graph.stored()
     own, rest = labelled(graph, numbered(spanning_forest(graph)))
     found = tied(auxiliary_links(own, rest))[0]
-    met = own.where("parent is not null").join(found, "v", "left").select("v", "parent", "level", F.coalesce("component", "v").alias("label"))
+    met = materialise(own.where("parent is not null").join(found, "v", "left").select("v", "parent", "level", F.coalesce("component", "v").alias("label")), "met", FEW)
     head = met.groupBy("label").agg(F.min_by("parent", "level").alias("high"), F.min("v").alias("low"))
     return met.join(head, "label").select("v", "high", "low")
 
@@ -145,13 +145,17 @@ def unlabelled(graph: Graph, marks: DataFrame) -> DataFrame:
     return graph.edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct().join(done, "v", "left_anti")
 
 
-@tidy("candidates")
-def candidates(graph: Graph) -> DataFrame:
-    """(v): lowest common ancestors of non-tree edges and ends of bridges; all articulation points are among them."""
+@tidy("candidates", FEW)
+def candidates(graph: Graph, tree: DataFrame | None = None) -> DataFrame:
+    """(v): lowest common ancestors of non-tree edges and ends of bridges; all articulation points are among them.
+
+    Bridges are the tree edges that no other edge's path goes over. ``tree`` is the breadth-first forest, if it is known.
+    """
     graph = graph.stored()
-    own, rest = labelled(graph, numbered(spanning_forest(graph)))
-    tops = lca(own, rest).select(F.col("lca").alias("v"))
-    return tops.union(bridges_by_labels(own).select(F.explode(F.array("src", "dst")))).distinct()
+    tree = spanning_forest(graph) if tree is None else tree
+    found = materialise(tops(tree, graph.edges), "tops", FEW)
+    free = tree_edges(over(graph, tree, found).where("over = 0"))
+    return found.select("v").union(free.select(F.explode(F.array("src", "dst")))).distinct()
 
 
 @tidy("points")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise, tidy
+from ..plans.storage import FEW, materialise, tidy
 from .components import tied
 from .graph import Graph
 from .traverse import label_forest, spanning_forest, tree_edges
 
 
-@tidy("non-tree-components")
+@tidy("non-tree-components", FEW)
 def non_tree_components(graph: Graph, tree: DataFrame) -> DataFrame:
     """(v, component) of the graph without its tree, for vertices that keep an edge."""
     rest = Graph(graph.without(tree_edges(tree)).edges, graph.extra).stored()
@@ -20,7 +20,7 @@ def non_tree_components(graph: Graph, tree: DataFrame) -> DataFrame:
     return own.join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
-@tidy("non-tree-forest")
+@tidy("non-tree-forest", FEW)
 def non_tree_forest(graph: Graph, tree: DataFrame) -> DataFrame:
     """The breadth-first forest of the graph without its tree, from the smallest vertex of each component."""
     return label_forest(graph.without(tree_edges(tree)).stored())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import Table
+from ..plans.storage import FEW, Table
 from .graph import Graph
 
 
@@ -35,23 +35,23 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).distinct().toDF("a", "b")
 
 
-def _links(edges: DataFrame) -> Table:
+def _links(edges: DataFrame, few: int | None) -> Table:
     """The edges written out, with their count and an order-free checksum."""
-    return Table(edges, "links", n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    return Table(edges, "links", few=few, n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
 
 
 def _ascending(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _contract(slim: DataFrame, max_rounds: int) -> DataFrame:
+def _contract(slim: DataFrame, max_rounds: int, few: int | None = None) -> DataFrame:
     """(v, component) of every vertex of ``slim`` (a < b, distinct) that isn't the smallest of its component."""
-    now = _links(slim)
+    now = _links(slim, few)
     for _ in range(max_rounds):
         if not now.found["n"]:
             break
         before = now
-        now = _links(small_star(large_star(before.df)))
+        now = _links(small_star(large_star(before.df)), few)
         before.drop()
         if now.found == before.found:
             break
@@ -60,10 +60,28 @@ def _contract(slim: DataFrame, max_rounds: int) -> DataFrame:
     return now.df.select(F.col("b").alias("v"), F.col("a").alias("component"))
 
 
+def _hooked(around: Table) -> Table:
+    """(v, root, chance, low, high) of the vertices of ``around``: where the way from each to its smallest smaller neighbour, and so on, ends.
+
+    Only vertices that such a way leads through take part in the rounds of pointer doubling; ids fall along it, so it is no circle.
+    """
+    up = F.least("v", "least").alias("up")
+    ways = around.df.select("v", up).join(around.df.select(up).distinct().toDF("v"), "v", "left_semi")
+    now = Table(ways.withColumn("moved", F.col("up") != F.col("v")), "hooks", few=FEW, moved=F.count_if("moved"))
+    while now.found["moved"]:
+        before = now
+        own = before.df.select("v", "up")
+        moved = own.join(own.toDF("up", "up2"), "up").select("v", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved"))
+        now = Table(moved, "hooks", few=FEW, moved=F.count_if("moved"))
+        before.drop()
+    ends = around.plain.select("v", up, "chance", "low", "high").join(now.df.select(F.col("v").alias("up"), F.col("up").alias("root")), "up")
+    return Table(ends.select("v", "root", "chance", "low", "high"), "hooked", few=FEW)
+
+
 def tied(edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, Table]:
     """What ``stars`` gives, for many edges a vertex, and the table (v, n, ...) of all vertices with their numbers of edge ends; its ``found`` counts them.
 
-    One pass over the edges picks two neighbours of each vertex, the smallest and one by chance, and only these links are contracted. The same pass
+    One pass over the edges picks two neighbours of each vertex, the smallest and one by chance. The first lead each vertex to a root, and only links between roots by the others are contracted. The same pass
     sums 64-bit hashes of each vertex's edges, with opposite signs at the two ends: over a whole component they cancel. Where
     they don't, edges lead on, and those between the parts found are contracted in turn; so all edges count, but few are shuffled.
     """
@@ -74,16 +92,18 @@ def tied(edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, Table]:
     ends = slim.select(F.inline(F.array(end("a", "b", 1), end("b", "a", -1))))
     picks = (F.min("u").alias("least"), F.min(F.col("u").bitwiseXOR(chance)).alias("chance"))
     summed = ends.groupBy("v").agg(*picks, F.sum("low").alias("low"), F.sum("high").alias("high"), F.count(F.lit(1)).alias("n"))
-    around = Table(summed.withColumn("chance", F.col("chance").bitwiseXOR(chance)), "ends", vertices=F.count(F.lit(1)))
-    links = around.df.select(F.col("v").alias("a"), F.col("least").alias("b")).union(around.df.select("v", "chance"))
-    names = _contract(_ascending(links).distinct(), max_rounds)
-    parts = around.df.join(names, "v", "left").select("v", F.coalesce("component", "v").alias("component"), "low", "high")
-    unsettled = Table(parts.groupBy("component").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).where("low <> 0 or high <> 0").select("component"), "unsettled", n=F.count(F.lit(1)))
+    around = Table(summed.withColumn("chance", F.col("chance").bitwiseXOR(chance)), "ends", few=FEW, vertices=F.count(F.lit(1)))
+    hooked = _hooked(around)
+    links = hooked.df.select(F.col("root").alias("a"), F.col("chance").alias("v")).join(hooked.df.select("v", F.col("root").alias("b")), "v").select("a", "b")
+    tops = _contract(_ascending(links).distinct(), max_rounds, FEW).toDF("root", "top")
+    parts = Table(hooked.plain.join(tops, "root", "left").select("v", F.coalesce("top", "root").alias("component"), "low", "high"), "parts", few=FEW).df
+    names = parts.where("v <> component").select("v", "component")
+    unsettled = Table(parts.groupBy("component").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).where("low <> 0 or high <> 0").select("component"), "unsettled", few=FEW, n=F.count(F.lit(1)))
     if unsettled.found["n"]:
-        own = Table(parts.join(unsettled.df, "component", "left_semi").select("v", "component"), "parts").df
+        own = Table(parts.join(unsettled.df, "component", "left_semi").select("v", "component"), "parts", few=FEW).df
         between = slim.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        more = _contract(_ascending(between).distinct(), max_rounds).toDF("component", "top")
-        names = Table(parts.join(more, "component", "left").select("v", F.coalesce("top", "component").alias("component")).where("v <> component"), "names").df
+        more = _contract(_ascending(between).distinct(), max_rounds, FEW).toDF("component", "top")
+        names = Table(parts.join(more, "component", "left").select("v", F.coalesce("top", "component").alias("component")).where("v <> component"), "names", few=FEW).df
     return names, around
 
 

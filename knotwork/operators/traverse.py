@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sum_within
-from ..plans.storage import Table, materialise, tidy
+from ..plans.storage import FEW, Table, materialise, tidy
 from .components import components, tied
 from .graph import Graph
 
 
-@tidy("tree")
+#: Rows of levels, of one search, that Spark may broadcast to find the next one, besides levels of few rows: with a broadcast the edges needn't be shuffled.
+FRONTIERS = 1 << 20
+
+
+@tidy("tree", FEW)
 def bfs(graph: Graph, roots: DataFrame, max_level: int | None = None, total: int | None = None) -> DataFrame:
     """(v, parent, level, root) of all vertices reached from ``roots`` (v); parents of roots are null.
 
@@ -24,13 +28,17 @@ def bfs(graph: Graph, roots: DataFrame, max_level: int | None = None, total: int
     """
     sym = graph.stored().sym
     first = roots.select("v", F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("level"), F.col("v").alias("root")).distinct()
-    levels = [Table(first, "level", n=F.count(F.lit(1)))]
-    while levels[-1].found["n"] and sum(x.found["n"] for x in levels) != total and (max_level is None or len(levels) <= max_level):
-        frontier = levels[-1].df
-        met = frontier.select(F.col("v").alias("a"), "root").join(sym, "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("parent"), F.min_by("root", "a").alias("root"))
+    levels, room = [Table(first, "level", few=FEW)], FRONTIERS
+    while levels[-1].found["rows"] and sum(x.found["rows"] for x in levels) != total and (max_level is None or len(levels) <= max_level):
+        n = levels[-1].found["rows"]
+        frontier = levels[-1].plain if n <= room else levels[-1].df
+        room -= n if FEW < n <= room else 0
+        met = frontier.select(F.col("v").alias("a"), "root").join(sym, "a").select(F.col("b").alias("v"), "a", "root", F.lit(False).alias("old"))
+        # one aggregation; anti-joins would be pushed below it, to every edge met
         for old in levels[-2:]:
-            met = met.join(old.df.select("v"), "v", "left_anti")
-        levels.append(Table(met.select("v", "parent", F.lit(len(levels)).cast("long").alias("level"), "root"), "level", n=F.count(F.lit(1))))
+            met = met.union(old.plain.select("v", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(True)))
+        new = met.groupBy("v").agg(F.min("a").alias("parent"), F.min_by("root", "a").alias("root"), F.max("old").alias("old")).where("not old")
+        levels.append(Table(new.select("v", "parent", F.lit(len(levels)).cast("long").alias("level"), "root"), "level", few=FEW))
     out = levels[0].df.sparkSession.read.schema(levels[0].df.schema).parquet(*[x.path for x in levels])
     return out
 
@@ -53,21 +61,21 @@ def _roots(graph: Graph) -> tuple[DataFrame, int | None]:
     return best.select((-F.col("top.col2")).alias("v")), total
 
 
-@tidy("forest")
+@tidy("forest", FEW)
 def spanning_forest(graph: Graph) -> DataFrame:
     """The breadth-first tree of each component from its root of largest degree."""
     graph = graph.stored()
     roots, total = _roots(graph)
-    return bfs(graph, materialise(roots, "roots"), total=total)
+    return bfs(graph, materialise(roots, "roots", FEW), total=total)
 
 
-@tidy("label-forest")
+@tidy("label-forest", FEW)
 def label_forest(graph: Graph) -> DataFrame:
     """The breadth-first tree of each component from its smallest vertex."""
     graph = graph.stored()
     found, around = tied(graph.edges.toDF("a", "b"))
     own, total = (around.df.select("v"), around.found["vertices"]) if graph.extra is None else (graph.vertices, None)
-    return bfs(graph, materialise(own.join(found, "v", "left_anti"), "roots"), total=total)
+    return bfs(graph, materialise(own.join(found, "v", "left_anti"), "roots", FEW), total=total)
 
 
 def tree_edges(tree: DataFrame) -> DataFrame:

@@ -15,10 +15,15 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _open = threading.local()
 
+#: Most rows of a table of vertices that Spark may broadcast. What it broadcasts passes through the driver, and its own limit, by bytes
+#: on disk, lets through some megabytes of every table that a query writes.
+FEW = 1 << 16
+
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
@@ -55,13 +60,16 @@ class Table:
     """A materialised DataFrame: ``df`` reads it, ``drop`` deletes its files.
 
     ``measures`` are aggregates, by name, that are taken of the rows while they are written; ``found`` has their values. ``codec`` is for
-    wide tables, whose size matters more than the time to compress them.
+    wide tables, whose size matters more than the time to compress them. With more than ``few`` rows ``df`` asks for merge joins, so that it isn't
+    broadcast, nor what it is joined with; ``plain`` doesn't ask.
     """
 
-    def __init__(self, df: DataFrame, name: str, codec: str = "snappy", **measures: Column):
+    def __init__(self, df: DataFrame, name: str, codec: str = "snappy", few: int | None = None, **measures: Column):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
         self.found: dict = {}
+        if few is not None:
+            measures["rows"] = F.count(F.lit(1))
         if measures:
             seen = Observation()
             df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(self.path, compression=codec)
@@ -69,7 +77,8 @@ class Table:
         else:
             df.write.parquet(self.path, compression=codec)
         nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-        self.df = self.spark.read.schema(nullable).parquet(self.path)
+        self.plain = self.spark.read.schema(nullable).parquet(self.path)
+        self.df = self.plain.hint("merge") if few is not None and self.found["rows"] > few else self.plain
         self.dropped = False
         blocks = getattr(_open, "blocks", [])
         if blocks:
@@ -99,10 +108,10 @@ class scratch:  # noqa: N801
         self.kept.append(table)
         return table
 
-    def result(self, df: DataFrame, name: str) -> DataFrame:
+    def result(self, df: DataFrame, name: str, few: int | None = None) -> DataFrame:
         """``df`` written out, unless it just reads a table of the block, and kept; nothing else of the block is needed to read it."""
         own = next((t for t in self.tables if t.df is df), None)
-        return self.keep(own or Table(df, name)).df
+        return self.keep(own or Table(df, name, few=few)).df
 
     def __exit__(self, *_: object) -> None:
         _open.blocks.pop()
@@ -113,20 +122,20 @@ class scratch:  # noqa: N801
             _open.blocks[-1].tables += [t for t in self.kept if not t.dropped]
 
 
-def tidy(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+def tidy(name: str, few: int | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
     """For functions of DataFrames: the result is written out, and what was written on the way is deleted."""
 
     def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         @functools.wraps(f)
         def run(*a: object, **b: object) -> DataFrame:
             with scratch() as own:
-                return own.result(f(*a, **b), name)
+                return own.result(f(*a, **b), name, few)
 
         return run
 
     return wrap
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", few: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again."""
-    return Table(df, name).df
+    return Table(df, name, few=few).df

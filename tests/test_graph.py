@@ -301,3 +301,44 @@ def test_points_are_aggregated_by_hash(spark):
     points = blocks.articulation_points(rows)
     assert "SortAggregate" not in points._jdf.queryExecution().toString()
     assert found(points) == {(1,)}
+
+
+def test_paths_by_common_ancestor(spark, shapes):
+    """Edges that share a pair of ancestors go on as one row, with the same counts as one by one."""
+    _, graph = shapes
+    tree = traverse.spanning_forest(graph)
+    one_by_one = trees.lca(tree, trees.non_tree(graph, tree))
+    assert found(trees.tops(tree, graph.edges)) == found(one_by_one.groupBy("lca").count())
+    assert found(trees.marks(graph, tree)) == found(trees.covered(tree, one_by_one))
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_tops_of_a_deep_tree(spark, shuffled):
+    """Ends of an edge may be many levels apart where the tree isn't breadth-first."""
+    rng = random.Random(3)
+    parent = {v: v - 1 if v < 40 else rng.randrange(v) for v in range(1, 60)}
+    level, name = {0: 0}, list(range(60))
+    for v in range(1, 60):
+        level[v] = level[parent[v]] + 1
+    if shuffled:
+        rng.shuffle(name)
+    tree = spark.createDataFrame([(name[v], name[parent[v]] if v else None, level[v], name[0]) for v in range(60)], "v long, parent long, level long, root long")
+    edges = {(min(name[a], name[b]), max(name[a], name[b])) for a, b in (rng.sample(range(60), 2) for _ in range(150)) if a != parent.get(b) and b != parent.get(a)}
+    above = lambda v: [v, *(above(parent[v]) if v else [])]
+    at = {name[v]: v for v in range(60)}
+    want = {e: name[next(u for u in above(at[e[0]]) if u in set(above(at[e[1]])))] for e in edges}
+    assert {(r["src"], r["dst"]): r["lca"] for r in trees.lca(tree, frame(spark, edges)).collect()} == want
+    counted = {v: list(want.values()).count(v) for v in want.values()}
+    assert dict(found(trees.tops(tree, frame(spark, edges)))) == counted
+
+
+def test_few_links_are_contracted(spark, monkeypatch):
+    """Most vertices find a root by their smallest neighbours; only links between roots are contracted."""
+    seen, contract = [], comp._contract
+    monkeypatch.setattr(comp, "_contract", lambda slim, *a: seen.append(slim.count()) or contract(slim, *a))
+    rng = random.Random(11)
+    edges = {(2 * a, 2 * b + 1) for a in range(200) for b in rng.sample(range(40), 8)} | {(1000 + i, 1001 + i) for i in range(50)}
+    names, _ = comp.tied(frame(spark, edges).toDF("a", "b"))
+    want = brute.components(list(edges))
+    assert found(names) == {(v, c) for v, c in want.items() if v != c}
+    assert sum(seen) < len(want) / 4

@@ -7,7 +7,8 @@ from types import SimpleNamespace
 
 import pytest
 
-from knotwork.operators import blocks
+from knotwork.operators import blocks, traverse, trees
+from knotwork.operators import components as comp
 from knotwork.operators.graph import Graph
 from knotwork.plans import storage
 
@@ -50,3 +51,24 @@ def test_shared_folder_is_required_on_a_cluster(master, allowed):
     else:
         with pytest.raises(RuntimeError, match="checkpoint.dir"):
             storage.shared_dir(spark)
+
+
+@pytest.mark.parametrize(("few", "sent"), [(None, True), (200, True), (50, False)])
+def test_large_tables_are_not_broadcast(spark, few, sent):
+    """Tables of vertices with more rows than ``few`` don't pass through the driver for a join, nor do what is derived from them."""
+    rows = storage.Table(spark.range(100).withColumnRenamed("id", "v"), "rows", few=few)
+    other = storage.Table(spark.range(100).selectExpr("id AS v", "id AS w"), "other").df
+    for joined in (other.join(rows.df, "v"), rows.df.groupBy("v").count().join(other, "v"), other.join(rows.df.where("v > 3").select("v"), "v", "left_anti")):
+        assert joined.count() > 0 and ("Broadcast" in joined._jdf.queryExecution().executedPlan().toString()) == sent
+    assert other.join(rows.plain, "v").count() == 100
+
+
+def test_wide_forests_are_not_broadcast(spark, monkeypatch):
+    """The tree of many vertices joins without the driver, and searches give the same whatever levels may be broadcast."""
+    graph = Graph.from_edges(spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1, 299)], "src long, dst long"))
+    want = {tuple(r) for r in blocks.spanning_forest(graph).collect()}
+    for module in (storage, traverse, trees, comp):
+        monkeypatch.setattr(module, "FEW", 20)
+    monkeypatch.setattr(traverse, "FRONTIERS", 100)
+    assert {tuple(r) for r in blocks.spanning_forest(graph).collect()} == want
+    assert {r["over"] for r in trees.marks(graph, blocks.spanning_forest(graph)).collect()} == {1, 2}
