@@ -16,8 +16,8 @@ def word_bpe_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
-#: A word of Latin letters whose composed form is normal, and a run of ASCII punctuation without apostrophes.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: A line of a word of Latin letters whose composed form is normal, and a run of ASCII punctuation without apostrophes; or any other line.
+_PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)|.*)$", re.M)
 
 
 def byte_characters() -> dict[int, str]:
@@ -64,11 +64,14 @@ class ChunkIds(dict):
         missing = chunks - self.keys()
         known = missing & self.older.keys()
         self.update((c, self.older[c]) for c in known)
-        other = []
-        for c in missing - known:
-            plain = _PLAIN.fullmatch(c.decode("utf-8", "replace"))
-            if plain:
-                self[c] = self._merged(plain[1].lower()) + self._merged(plain[2])
+        other, words, merged, new = [], self.words, self._merged, list(missing - known)
+        # one pass over all new chunks, a line each
+        lines = _PLAIN.findall(b"\n".join(new).decode("utf-8", "replace")) if new else []
+        for c, (word, marks) in zip(new, lines, strict=True):
+            if word:
+                word = word.lower()
+                ids = words.get(word) or merged(word)
+                self[c] = ids + (words.get(marks) or merged(marks)) if marks else ids
             else:
                 other.append(c)
         for i in range(0, len(other), 4096):
@@ -80,7 +83,8 @@ class ChunkIds(dict):
         """The ids of each text as little-endian uint32 bytes."""
         split = [t.encode("utf-8", "replace").split() for t in texts]
         self.learn(set().union(*split))
-        return [b"".join([self[c] for c in chunks]) for chunks in split]
+        ids = self.__getitem__
+        return [b"".join(map(ids, chunks)) for chunks in split]
 
 
 @lru_cache(maxsize=2)

@@ -10,6 +10,7 @@ import time
 import zlib
 from html.parser import HTMLParser
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -786,3 +787,14 @@ def test_words_across_chunks(monkeypatch):
     want = shingles.shingle_sets([text, None, "a"], 4)
     monkeypatch.setattr(shingles, "CHUNK", 64)
     assert all((a == b).all() for a, b in zip(want, shingles.shingle_sets([text, None, "a"], 4), strict=True))
+
+
+def test_new_chunks_are_matched_at_once(monkeypatch):
+    """One pass over a batch's new chunks, whatever line ends of other scripts they hold, and the tokenizer's own ids."""
+    calls = []
+    monkeypatch.setattr(tokens, "_PLAIN", SimpleNamespace(findall=lambda x, own=tokens._PLAIN: calls.append(x) or own.findall(x)))
+    ids_of = tokens.ChunkIds(tokens.word_bpe_path())
+    texts = ["Plain words, (again). don't Éclair!! x9 __ a\x85b c d   e\x1cf\x1d \x00 İstanbul", "", " ", "plain WORDS,\r\nnew\x0bline\x0cfeed"]
+    got = ids_of.encode(texts)
+    want = [ids_of.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want and len(calls) == 1
